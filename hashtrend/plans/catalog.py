@@ -35,8 +35,14 @@ def tables(spark: SparkSession, sf_dir: str, win: Windows = WIN) -> IndicatorTab
     return IndicatorTables(posts_from_events(read_events(spark, sf_dir)), win)
 
 
+def rounded(col: str | F.Column, digits: int = DIGITS) -> F.Column:
+    """Round for cross-engine comparison; ``+ 0.0`` folds -0.0 into 0.0."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c, digits) + F.lit(0.0)
+
+
 def _r(col: str) -> F.Column:
-    return F.round(col, DIGITS).alias(col)
+    return rounded(col).alias(col)
 
 
 def _metric(table: str, col: str, *, not_null: bool = False) -> Query:
@@ -134,7 +140,7 @@ def _top(table: str, metric: str, *, digits: int | None = None, n: int = 10) ->
         t = tables(spark, sf_dir)
         rep = top_n(getattr(t, table), metric, n)
         if digits is not None:
-            rep = rep.withColumn("value", F.round("value", digits))
+            rep = rep.withColumn("value", rounded("value", digits))
         return t.with_end(rep)
 
     q.__name__ = f"q_top_{metric}"
@@ -146,8 +152,8 @@ def q_top_delta_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     # sum whose last bit depends on summation order, and exact ties between
     # tags with equal histories must not be broken by that bit.
     t = tables(spark, sf_dir)
-    ranked = top_n(t.reference, F.round("delta_share", 9), 10)
-    return t.with_end(ranked.withColumn("value", F.round("value", DIGITS)))
+    ranked = top_n(t.reference, "delta_share", 10, order=F.round("delta_share", 9))
+    return t.with_end(ranked.withColumn("value", rounded("value")))
 
 
 def q_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

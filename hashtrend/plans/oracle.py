@@ -108,7 +108,7 @@ raw AS (
   SELECT CAST(post_id AS VARCHAR) AS key, post_id,
          CASE WHEN post_id % 7 = 0 THEN '{{"delete":{{"status":{{"id":' || post_id || '}}}}}}'
               WHEN post_id % 11 = 0 THEN 'x'
-              ELSE '{{"id":' || post_id || ',"timestamp_ms":"' || epoch_ms(ts) || '","text":"' || text
+              ELSE '{{"id":' || post_id || ',"timestamp_ms":"' || (epoch_us(ts) // 1000) || '","text":"' || text
                    || '","user":{{"screen_name":"' || screen_name || '","followers_count":' || followers_count
                    || ',"friends_count":' || friends_count || '}}'
                    || CASE WHEN retweet_count IS NOT NULL
@@ -122,7 +122,7 @@ def _end(win: Windows, col: str = "w_idx") -> str:
 
 
 def _top(win: Windows, source: str, value: str, n: int = 10, round_to: int | None = None, order: str | None = None) -> str:
-    v = f"round({value}, {round_to})" if round_to is not None else value
+    v = f"(round({value}, {round_to}) + 0.0)" if round_to is not None else value
     order = order or value
     return f"""
 SELECT {_end(win)} AS w_end, CAST(rk AS INTEGER) AS rank, tag, {v} AS value, n_total FROM (
@@ -152,7 +152,7 @@ def statements(win: Windows) -> dict[str, str]:
         "delete_filter": "SELECT key, value FROM raw WHERE post_id % 7 <> 0",
         "posts_bad": "SELECT key, value FROM raw WHERE post_id % 7 <> 0 AND post_id % 11 = 0",
         "posts_decode": (
-            "SELECT post_id, make_timestamp(epoch_ms(ts) * 1000) AS ts, screen_name, text, "
+            "SELECT post_id, make_timestamp((epoch_us(ts) // 1000) * 1000) AS ts, screen_name, text, "
             "followers_count, friends_count, retweet_count FROM posts "
             "WHERE post_id % 7 <> 0 AND post_id % 11 <> 0"
         ),
@@ -175,21 +175,21 @@ def statements(win: Windows) -> dict[str, str]:
         "first_degree": f"SELECT {e} AS w_end, tag, first_degree FROM degree",
         "first_degree_smoothed": f"SELECT {e} AS w_end, tag, first_degree_smoothed FROM smoothed",
         "total_volume": f"SELECT {e} AS w_end, total_volume FROM totals",
-        "percent_share": f"SELECT {e} AS w_end, tag, round(percent_share, 6) AS percent_share FROM share",
+        "percent_share": f"SELECT {e} AS w_end, tag, (round(percent_share, 6) + 0.0) AS percent_share FROM share",
         "reference_share": (
-            f"SELECT {e} AS w_end, tag, round(reference_share_mean, 6) AS reference_share_mean, "
-            "round(reference_share_halving, 6) AS reference_share_halving FROM ref"
+            f"SELECT {e} AS w_end, tag, (round(reference_share_mean, 6) + 0.0) AS reference_share_mean, "
+            "(round(reference_share_halving, 6) + 0.0) AS reference_share_halving FROM ref"
         ),
         "delta_share": (
-            f"SELECT {e} AS w_end, tag, round(delta_share, 6) AS delta_share, "
-            "round(delta_share_halving, 6) AS delta_share_halving FROM ind"
+            f"SELECT {e} AS w_end, tag, (round(delta_share, 6) + 0.0) AS delta_share, "
+            "(round(delta_share_halving, 6) + 0.0) AS delta_share_halving FROM ind"
         ),
         "indicators": (
             f"SELECT {e} AS w_end, tag, volume, half_volume, velocity, unique_users, follower_reach, "
             "friend_reach, retweeted_volume, activeness, first_degree, total_volume, "
-            "round(percent_share, 6) AS percent_share, round(reference_share_mean, 6) AS reference_share_mean, "
-            "round(reference_share_halving, 6) AS reference_share_halving, round(delta_share, 6) AS delta_share, "
-            "round(delta_share_halving, 6) AS delta_share_halving FROM ind"
+            "(round(percent_share, 6) + 0.0) AS percent_share, (round(reference_share_mean, 6) + 0.0) AS reference_share_mean, "
+            "(round(reference_share_halving, 6) + 0.0) AS reference_share_halving, (round(delta_share, 6) + 0.0) AS delta_share, "
+            "(round(delta_share_halving, 6) + 0.0) AS delta_share_halving FROM ind"
         ),
         "feature_vectors": f"SELECT {e} AS w_end, tag, features FROM fv_text",
         "recurrent_vectors": f"SELECT {e} AS w_end, tag, features FROM rec",

@@ -24,7 +24,7 @@ def _norm(v):
     if v is None or (isinstance(v, float) and pd.isna(v)):
         return "∅"
     if isinstance(v, float):
-        return repr(round(v, 9))
+        return str(int(v)) if v.is_integer() else repr(round(v, 9))
     if hasattr(v, "isoformat"):
         return pd.Timestamp(v).tz_localize(None).isoformat() if getattr(v, "tzinfo", None) else pd.Timestamp(v).isoformat()
     return str(v)
