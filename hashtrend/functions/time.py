@@ -16,7 +16,8 @@ def slot_index(ts: Column | str, batch_us: int) -> Column:
     """``floor(epoch_micros(ts) / batch_us)`` in exact integer arithmetic."""
     col = F.col(ts) if isinstance(ts, str) else ts
     us = F.unix_micros(col)
-    return ((us - F.pmod(us, F.lit(batch_us))) / F.lit(batch_us)).cast("long")
+    b = F.lit(batch_us).cast("long")
+    return F.call_function("div", us - F.pmod(us, b), b)
 
 
 def end_timestamp(idx: Column | str, batch_us: int) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.config import Windows
-from hashtrend.operators.windowing import hop
+from hashtrend.operators.windowing import first_cover_offset, hop
 
 BASE_COLUMNS = [
     "volume",
@@ -22,11 +22,13 @@ def base_indicators(occ: DataFrame, win: Windows) -> DataFrame:
     """A1, A2, A4-A7 in one aggregate, keyed ``(w_idx, tag)``.
 
     Occurrences are first folded into panes per ``(slot, tag, author)``
-    (map-side combine), the panes are copied to the ``analytic`` windows that
-    contain them, and one aggregate finishes every metric.  The distinct-author
-    count shuffles on ``(w_idx, tag, author)`` before ``(w_idx, tag)``, so a
-    hot tag is spread over its authors.  ``retweeted_volume`` stays null when
-    no occurrence came from a retweet (no row in the reference).
+    (map-side combine: a bot posting the same tag all the time becomes one row
+    per slide), the panes are copied to the ``analytic`` windows that contain
+    them, and one aggregate with map-side partial sums finishes every metric.
+    Distinct authors use the first-cover rule: a pane counts its author only in
+    windows where it is that author's earliest pane for the tag, so the count
+    is a sum too.  ``retweeted_volume`` stays null when no occurrence came
+    from a retweet (no row in the reference).
     """
     panes = occ.groupBy("slot", "tag", "screen_name").agg(
         F.count(F.lit(1)).alias("n"),
@@ -34,14 +36,16 @@ def base_indicators(occ: DataFrame, win: Windows) -> DataFrame:
         F.sum("friends_count").alias("fri"),
         F.sum("retweet_count").alias("rt"),
     )
+    panes = panes.withColumn("first_i", first_cover_offset(["tag", "screen_name"], "slot", win.analytic))
     recent = F.col("i") < F.lit(win.half)
+    counted = F.col("screen_name").isNotNull() & (F.col("i") >= F.col("first_i"))
     return (
         hop(panes, "slot", win.analytic)
         .groupBy("w_idx", "tag")
         .agg(
             F.sum("n").alias("volume"),
             F.sum(F.when(recent, F.col("n")).otherwise(F.lit(0))).alias("half_volume"),
-            F.count_distinct("screen_name").alias("unique_users"),
+            F.sum(F.when(counted, F.lit(1)).otherwise(F.lit(0))).alias("unique_users"),
             F.sum("fol").alias("follower_reach"),
             F.sum("fri").alias("friend_reach"),
             F.sum("rt").alias("retweeted_volume"),

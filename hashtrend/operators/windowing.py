@@ -32,6 +32,32 @@ def hop(df: DataFrame, idx_col: str, length: int, *, shift: int = 1, out: str =
     )
 
 
+def first_cover_offset(keys: list[str], slot_col: str, length: int) -> Column:
+    """Offset of the first window a slot row is the *earliest* member of.
+
+    Rows are distinct per ``(keys, slot)``.  With ``prev`` the key's previous
+    slot, the windows ending ``slot+1 … prev+length`` already hold ``prev``; the
+    row is the earliest member of the key only in windows ``i >= prev + length
+    - slot`` (``i`` as in :func:`hop`).  Copying each row to those windows
+    only yields every ``(window, key)`` exactly once, so distinct counts over a
+    sliding window become plain sums, with no distinct aggregate and no
+    shuffle on the distinct value.  The lag runs per key over its distinct
+    slots, so a group is bounded by the number of slides, not by rows.
+    """
+    prev = F.lag(slot_col).over(Window.partitionBy(*keys).orderBy(slot_col))
+    return F.greatest(F.lit(0), F.coalesce(prev + F.lit(length) - F.col(slot_col), F.lit(0))).cast("int")
+
+
+def hop_first_cover(df: DataFrame, keys: list[str], slot_col: str, length: int, *, out: str = "w_idx") -> DataFrame:
+    """Distinct ``(window, keys)`` from distinct ``(slot, keys)`` rows."""
+    staged = df.withColumn("_off", first_cover_offset(keys, slot_col, length))
+    return (
+        staged.withColumn("_i", F.explode(F.sequence(F.col("_off"), F.lit(length - 1))))
+        .withColumn(out, F.col(slot_col) + F.lit(1) + F.col("_i"))
+        .drop("_i", "_off")
+    )
+
+
 def default_chunk(span: int) -> int:
     return max(16 * span, 4096)
 
