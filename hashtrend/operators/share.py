@@ -37,9 +37,7 @@ def reference_share(share: DataFrame, win: Windows, *, chunk: int | None = None)
     def cols(w):
         return {
             "reference_share_mean": F.avg("percent_share").over(w),
-            "reference_share_halving": halving_fold(
-                F.collect_list(F.struct("w_idx", "percent_share")).over(w), "percent_share"
-            ),
+            "reference_share_halving": halving_fold(F.collect_list("percent_share").over(w)),
         }
 
     return bounded_range_frame(share, ["tag"], "w_idx", win.reference, cols, chunk=chunk)

@@ -73,9 +73,7 @@ def recurrent_vectors(fv: DataFrame, win: Windows) -> DataFrame:
         .where(F.col("r_idx") - s < F.lit(rw))
         .withColumn("pos", (F.lit(rw - 1) - (F.col("r_idx") - s)).cast("int"))
     )
-    grouped = expanded.groupBy("r_idx", "tag").agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "features"))).alias("slots")
-    )
+    grouped = expanded.groupBy("r_idx", "tag").agg(F.collect_list(F.struct("pos", "features")).alias("slots"))
     live = fv.select(F.col("w_idx").alias("r_idx")).where(F.pmod("r_idx", F.lit(rs)) == 0).distinct()
     return grouped.join(live, "r_idx", "left_semi").select(
         F.col("r_idx").alias("w_idx"), "tag", slot_vector(F.col("slots"), rw, width).alias("features")
