@@ -73,8 +73,16 @@ def recurrent_vectors(fv: DataFrame, win: Windows) -> DataFrame:
         .where(F.col("r_idx") - s < F.lit(rw))
         .withColumn("pos", (F.lit(rw - 1) - (F.col("r_idx") - s)).cast("int"))
     )
-    grouped = expanded.groupBy("r_idx", "tag").agg(F.collect_list(F.struct("pos", "features")).alias("slots"))
-    live = fv.select(F.col("w_idx").alias("r_idx")).where(F.pmod("r_idx", F.lit(rs)) == 0).distinct()
+    grouped = expanded.groupBy("r_idx", "tag").agg(
+        F.collect_list(F.struct("pos", "features")).alias("slots"),
+        F.max("pos").alias("newest"),
+    )
+    # Liveness from the same groups: the newest slot of a window has keys iff
+    # some group holds an entry at the last position.  One row per slide.
+    # The filter also reads ``slots`` so that column pruning leaves this branch
+    # identical to the main one and Spark reuses its exchange instead of
+    # computing the feature vectors a second time.
+    live = grouped.where((F.col("newest") == F.lit(rw - 1)) & (F.size("slots") > 0)).select("r_idx").distinct()
     return grouped.join(live, "r_idx", "left_semi").select(
         F.col("r_idx").alias("w_idx"), "tag", slot_vector(F.col("slots"), rw, width).alias("features")
     )
