@@ -1,9 +1,11 @@
 """DataFrame -> DataFrame operators; each runs on batch frames, and those
 without a global step also on streaming frames."""
 
-from hashtrend.operators.extract import co_tags, occurrences, slot_pairs, tagged_posts
+from hashtrend.operators.extract import co_tags, co_tags_from_pairs, occurrences, slot_pairs, tagged_posts
 from hashtrend.operators.indicators import (
     activeness,
+    author_panes,
+    base_from_panes,
     base_indicators,
     first_degree,
     smoothed_first_degree,
@@ -18,9 +20,12 @@ __all__ = [
     "FEATURES",
     "activeness",
     "assemble_vectors",
+    "author_panes",
+    "base_from_panes",
     "base_indicators",
     "bounded_range_frame",
     "co_tags",
+    "co_tags_from_pairs",
     "delta_share",
     "feature_vectors",
     "first_degree",

@@ -60,6 +60,9 @@ def co_tags(tagged: DataFrame, win: Windows) -> DataFrame:
     pair's earliest slot, so the result is distinct without a second
     distinct over the 16x copies.
     """
-    return hop_first_cover(slot_pairs(tagged), ["tag", "neighbour"], "slot", win.analytic).select(
-        "w_idx", "tag", "neighbour"
-    )
+    return co_tags_from_pairs(slot_pairs(tagged), win)
+
+
+def co_tags_from_pairs(pairs: DataFrame, win: Windows) -> DataFrame:
+    """Finish :func:`co_tags` from distinct :func:`slot_pairs` rows."""
+    return hop_first_cover(pairs, ["tag", "neighbour"], "slot", win.analytic).select("w_idx", "tag", "neighbour")

@@ -18,6 +18,16 @@ BASE_COLUMNS = [
 ]
 
 
+def author_panes(occ: DataFrame) -> DataFrame:
+    """Occurrences folded per ``(slot, tag, author)``: ``n, fol, fri, rt``."""
+    return occ.groupBy("slot", "tag", "screen_name").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.sum("followers_count").alias("fol"),
+        F.sum("friends_count").alias("fri"),
+        F.sum("retweet_count").alias("rt"),
+    )
+
+
 def base_indicators(occ: DataFrame, win: Windows) -> DataFrame:
     """A1, A2, A4-A7 in one aggregate, keyed ``(w_idx, tag)``.
 
@@ -30,12 +40,12 @@ def base_indicators(occ: DataFrame, win: Windows) -> DataFrame:
     is a sum too.  ``retweeted_volume`` stays null when no occurrence came
     from a retweet (no row in the reference).
     """
-    panes = occ.groupBy("slot", "tag", "screen_name").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.sum("followers_count").alias("fol"),
-        F.sum("friends_count").alias("fri"),
-        F.sum("retweet_count").alias("rt"),
-    )
+    return base_from_panes(author_panes(occ), win)
+
+
+def base_from_panes(panes: DataFrame, win: Windows) -> DataFrame:
+    """Finish :func:`base_indicators` from :func:`author_panes` rows (the
+    streaming path stores panes and calls this per micro-batch)."""
     panes = panes.withColumn("first_i", first_cover_offset(["tag", "screen_name"], "slot", win.analytic))
     recent = F.col("i") < F.lit(win.half)
     counted = F.col("screen_name").isNotNull() & (F.col("i") >= F.col("first_i"))
