@@ -105,3 +105,16 @@ def test_posts_view_matches_fixture_rules(spark):
     r = posts.where("post_id = 15").first()  # divisible by 3 and 5
     assert r.text.count("#") == 3 and r.text.startswith("#")
     assert posts.where("retweet_count IS NOT NULL AND NOT text LIKE '#view%'").count() == 0
+
+
+def test_batch_job_tables_equal_lazy_plans(spark, tmp_path):
+    from hashtrend.plans.job import run
+
+    posts = posts_from_events(spark.read.parquet(f"{SF}/events.parquet"))
+    paths = run(spark, posts, str(tmp_path / "out"), HOURLY)
+    lazy = catalog.tables(spark, SF)
+    for name, df in (("feature_vectors", lazy.feature_vectors), ("recurrent_vectors", lazy.recurrent_vectors)):
+        written = spark.read.parquet(paths[name]).select("w_idx", "tag", "features")
+        want = df.select("w_idx", "tag", "features")
+        assert written.exceptAll(want).count() == 0 and want.exceptAll(written).count() == 0
+    assert spark.read.parquet(paths["indicators"]).count() == lazy.indicators.count()
