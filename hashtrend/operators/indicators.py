@@ -46,9 +46,10 @@ def base_indicators(occ: DataFrame, win: Windows) -> DataFrame:
 def base_from_panes(panes: DataFrame, win: Windows) -> DataFrame:
     """Finish :func:`base_indicators` from :func:`author_panes` rows (the
     streaming path stores panes and calls this per micro-batch)."""
-    panes = panes.withColumn("first_i", first_cover_offset(["tag", "screen_name"], "slot", win.analytic))
-    recent = F.col("i") < F.lit(win.half)
-    counted = F.col("screen_name").isNotNull() & (F.col("i") >= F.col("first_i"))
+    panes = panes.select("*", first_cover_offset(["tag", "screen_name"], "slot", win.analytic).alias("first_i"))
+    offset = F.col("w_idx") - F.col("slot") - F.lit(1)
+    recent = offset < F.lit(win.half)
+    counted = F.col("screen_name").isNotNull() & (offset >= F.col("first_i"))
     return (
         hop(panes, "slot", win.analytic)
         .groupBy("w_idx", "tag")

@@ -43,8 +43,8 @@ def feature_vectors(ind: DataFrame, win: Windows) -> DataFrame:
     columns (null = absent) next to ``features``.
     """
     current = FEATURES[:3]
-    h = hop(ind.select("w_idx", "tag", *current, "first_degree"), "w_idx", win.analytic, shift=0, out="s_idx", offset="j")
-    now = F.col("j") == 0
+    h = hop(ind.select("w_idx", "tag", *current, "first_degree"), "w_idx", win.analytic, shift=0, out="s_idx")
+    now = F.col("s_idx") == F.col("w_idx")
     agg = h.groupBy(F.col("s_idx").alias("w_idx"), "tag").agg(
         *[F.max(F.when(now, F.col(c))).alias(c) for c in current],
         F.sum("first_degree").alias("first_degree_smoothed"),
@@ -52,7 +52,7 @@ def feature_vectors(ind: DataFrame, win: Windows) -> DataFrame:
     return agg.withColumn("features", zero_filled([F.col(c) for c in FEATURES]))
 
 
-def recurrent_vectors(fv: DataFrame, win: Windows) -> DataFrame:
+def recurrent_vectors(fv: DataFrame, win: Windows, live: DataFrame | None = None) -> DataFrame:
     """V2: every ``rec_slide`` slides, for each tag seen in the latest
     ``rec_window`` slides, its slot vectors oldest first, zero-filled to a
     constant width.  Nothing is emitted for a window whose newest slot has no
@@ -61,28 +61,32 @@ def recurrent_vectors(fv: DataFrame, win: Windows) -> DataFrame:
     Each slot row is copied to the ``rec_window / rec_slide`` recurrent windows
     holding it and grouped per ``(window, tag)``: at most ``rec_window``
     entries per group, whatever the data size.
+
+    ``live`` (one ``w_idx`` per slide that has feature vectors) may be given
+    when the caller knows it more cheaply than from ``fv`` itself.
     """
     rs, rw, width = win.rec_slide, win.rec_window, win.n_features
     s = F.col("w_idx")
     first_r = s + F.pmod(-s, F.lit(rs))
     n_copies = -(-rw // rs)
-    expanded = (
-        fv.select("w_idx", "tag", "features")
-        .withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n_copies - 1))))
-        .withColumn("r_idx", first_r + F.col("k") * F.lit(rs))
-        .where(F.col("r_idx") - s < F.lit(rw))
-        .withColumn("pos", (F.lit(rw - 1) - (F.col("r_idx") - s)).cast("int"))
-    )
+    last_r = first_r + F.lit((n_copies - 1) * rs)
+    expanded = fv.select(
+        "w_idx", "tag", "features", F.explode(F.sequence(first_r, last_r, F.lit(rs).cast("long"))).alias("r_idx")
+    ).where(F.col("r_idx") - s < F.lit(rw))
+    pos = (F.lit(rw - 1) - (F.col("r_idx") - s)).cast("int")
     grouped = expanded.groupBy("r_idx", "tag").agg(
-        F.collect_list(F.struct("pos", "features")).alias("slots"),
-        F.max("pos").alias("newest"),
+        F.collect_list(F.struct(pos.alias("pos"), F.col("features"))).alias("slots"),
+        F.max(pos).alias("newest"),
     )
-    # Liveness from the same groups: the newest slot of a window has keys iff
-    # some group holds an entry at the last position.  One row per slide.
-    # The filter also reads ``slots`` so that column pruning leaves this branch
-    # identical to the main one and Spark reuses its exchange instead of
-    # computing the feature vectors a second time.
-    live = grouped.where((F.col("newest") == F.lit(rw - 1)) & (F.size("slots") > 0)).select("r_idx").distinct()
+    if live is None:
+        # From the same groups: the newest slot of a window has keys iff some
+        # group holds an entry at the last position.  One row per slide.  The
+        # filter also reads ``slots`` so that column pruning leaves this branch
+        # identical to the main one and Spark reuses its exchange instead of
+        # computing the feature vectors a second time.
+        live = grouped.where((F.col("newest") == F.lit(rw - 1)) & (F.size("slots") > 0)).select("r_idx").distinct()
+    else:
+        live = live.select(F.col("w_idx").alias("r_idx")).where(F.pmod("r_idx", F.lit(rs)) == 0)
     return grouped.join(live, "r_idx", "left_semi").select(
         F.col("r_idx").alias("w_idx"), "tag", slot_vector(F.col("slots"), rw, width).alias("features")
     )

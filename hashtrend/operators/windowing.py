@@ -20,16 +20,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def hop(df: DataFrame, idx_col: str, length: int, *, shift: int = 1, out: str = "w_idx", offset: str = "i") -> DataFrame:
-    """Copy each row to windows ending at ``idx + shift + i`` for ``i < length``.
+def hop(df: DataFrame, idx_col: str, length: int, *, shift: int = 1, out: str = "w_idx") -> DataFrame:
+    """Copy each row to the windows ending at ``idx + shift … idx + shift + length - 1``.
 
     ``shift=1`` for slots (a slot ``s`` lies in windows ending ``s+1 … s+length``);
     ``shift=0`` for rows that are themselves window results indexed by their
-    end, re-windowed over the slides ending in ``(e - length, e]``.
+    end, re-windowed over the slides ending in ``(e - length, e]``.  The copy
+    offset is ``out - idx - shift``.  One ``select``: a long chain of
+    ``withColumn`` calls costs analysis time on every step.
     """
-    return df.withColumn(offset, F.explode(F.sequence(F.lit(0), F.lit(length - 1)))).withColumn(
-        out, F.col(idx_col) + F.lit(shift) + F.col(offset)
-    )
+    start = F.col(idx_col) + F.lit(shift)
+    return df.select("*", F.explode(F.sequence(start, start + F.lit(length - 1))).alias(out))
 
 
 def first_cover_offset(keys: list[str], slot_col: str, length: int) -> Column:
@@ -37,12 +38,13 @@ def first_cover_offset(keys: list[str], slot_col: str, length: int) -> Column:
 
     Rows are distinct per ``(keys, slot)``.  With ``prev`` the key's previous
     slot, the windows ending ``slot+1 … prev+length`` already hold ``prev``; the
-    row is the earliest member of the key only in windows ``i >= prev + length
-    - slot`` (``i`` as in :func:`hop`).  Copying each row to those windows
-    only yields every ``(window, key)`` exactly once, so distinct counts over a
-    sliding window become plain sums, with no distinct aggregate and no
-    shuffle on the distinct value.  The lag runs per key over its distinct
-    slots, so a group is bounded by the number of slides, not by rows.
+    row is the earliest member of the key only in windows at offsets ``>= prev
+    + length - slot`` (offsets as in :func:`hop`).  Copying each row to those
+    windows only yields every ``(window, key)`` exactly once, so distinct
+    counts over a sliding window become plain sums, with no distinct
+    aggregate and no shuffle on the distinct value.  The lag runs per key over
+    its distinct slots, so a group is bounded by the number of slides, not by
+    rows.
     """
     prev = F.lag(slot_col).over(Window.partitionBy(*keys).orderBy(slot_col))
     return F.greatest(F.lit(0), F.coalesce(prev + F.lit(length) - F.col(slot_col), F.lit(0))).cast("int")
@@ -50,12 +52,11 @@ def first_cover_offset(keys: list[str], slot_col: str, length: int) -> Column:
 
 def hop_first_cover(df: DataFrame, keys: list[str], slot_col: str, length: int, *, out: str = "w_idx") -> DataFrame:
     """Distinct ``(window, keys)`` from distinct ``(slot, keys)`` rows."""
-    staged = df.withColumn("_off", first_cover_offset(keys, slot_col, length))
-    return (
-        staged.withColumn("_i", F.explode(F.sequence(F.col("_off"), F.lit(length - 1))))
-        .withColumn(out, F.col(slot_col) + F.lit(1) + F.col("_i"))
-        .drop("_i", "_off")
-    )
+    cols = df.columns
+    staged = df.select("*", first_cover_offset(keys, slot_col, length).alias("_off"))
+    slot = F.col(slot_col)
+    ends = F.sequence(slot + F.lit(1) + F.col("_off"), slot + F.lit(length))
+    return staged.select(*cols, F.explode(ends).alias(out))
 
 
 def default_chunk(span: int) -> int:
@@ -80,7 +81,8 @@ def bounded_range_frame(
     home = F.floor(idx / F.lit(chunk)).cast("long")
     in_halo = (idx - home * F.lit(chunk)) >= F.lit(chunk - (span - 1))
     copies = F.when(in_halo, F.array(home, home + 1)).otherwise(F.array(home))
-    staged = df.withColumn("_home", home).withColumn("_chunk", F.explode(copies))
+    staged = df.select("*", home.alias("_home"), F.explode(copies).alias("_chunk"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(idx_col).rangeBetween(-(span - 1), 0)
-    out = staged.select("*", *[c.alias(n) for n, c in columns(w).items()])
-    return out.where(F.col("_chunk") == F.col("_home")).drop("_home", "_chunk")
+    added = columns(w)
+    out = staged.select(*df.columns, "_home", "_chunk", *[c.alias(n) for n, c in added.items()])
+    return out.where(F.col("_chunk") == F.col("_home")).select(*df.columns, *added)

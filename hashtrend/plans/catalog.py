@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hashtrend.config import HOURLY, Windows
 from hashtrend.operators import top_n
 from hashtrend.plans.tables import IndicatorTables, vector_text
-from hashtrend.session import ensure_engine_conf
+from hashtrend.session import ensure_engine_conf, spread_input
 from hashtrend.sources import decode, drop_delete_notices, posts_from_events, raw_messages_from_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ DIGITS = 6
 
 def read_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_engine_conf(spark)
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    return spread_input(spark.read.parquet(f"{sf_dir}/events.parquet"))
 
 
 def tables(spark: SparkSession, sf_dir: str, win: Windows = WIN) -> IndicatorTables:

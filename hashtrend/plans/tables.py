@@ -24,6 +24,7 @@ from hashtrend.operators import (
     delta_share,
     feature_vectors,
     first_degree,
+    hop,
     occurrences,
     percent_share,
     recurrent_vectors,
@@ -108,9 +109,23 @@ class IndicatorTables:
     def feature_vectors(self) -> DataFrame:
         return feature_vectors(self.base.join(self.first_degree, ["w_idx", "tag"]), self.win)
 
+    @cached_property
+    def vector_slides(self) -> DataFrame:
+        """Slides that have feature vectors, one row each, from post slots alone.
+
+        A smoothed key at ``s`` needs an indicator row in ``[s - analytic + 1,
+        s]``, which needs an occurrence in the ``analytic`` slots before it:
+        ``s`` has vectors iff some tagged post lies in ``[s - 2 * analytic + 1,
+        s - 1]``.  Cheaper than deriving it from the vectors (one aggregate
+        over slots instead of a second pass over the vector groups).
+        """
+        span = 2 * self.win.analytic - 1
+        slots = self.occurrences.select("slot").distinct()
+        return hop(slots, "slot", span).select("w_idx").distinct()
+
     @cached_property
     def recurrent_vectors(self) -> DataFrame:
-        return recurrent_vectors(self.feature_vectors, self.win)
+        return recurrent_vectors(self.feature_vectors, self.win, live=self.vector_slides)
 
     def with_end(self, df: DataFrame, idx: str = "w_idx") -> DataFrame:
         """Replace the slide index by the window end timestamp (first column)."""

@@ -56,6 +56,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def spread_input(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that has fewer splits than the cluster has cores.
+
+    A small table stored as one row group is read by a single task, and every
+    branch of a plan would then build posts in that one task.  The split
+    count comes from planning alone (file listing, no job).  Big inputs
+    already have thousands of splits and pass through untouched; when the
+    exchange is added it is identical in every branch, so Spark reuses it.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)
