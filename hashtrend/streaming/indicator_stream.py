@@ -22,6 +22,7 @@ own partitions and sees the same inputs.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,6 +52,8 @@ BUCKET_SLIDES = 1024
 
 PANE_COLUMNS = ["slot", "kind", "tag", "item", "n", "fol", "fri", "rt"]
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def _interval(us: int) -> str:
     return f"{us // 1_000_000} seconds" if us % 1_000_000 == 0 else f"{us} microseconds"
@@ -100,6 +103,9 @@ class IndicatorSink:
     def __init__(self, root: str, win: Windows):
         self.root = root.rstrip("/")
         self.win = win
+        # (batch_id, frontier) of the last batch this process completed; the
+        # progress table is read only after a restart.
+        self._done: tuple[int, int | None] | None = None
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -115,24 +121,47 @@ class IndicatorSink:
             .parquet(self.path(name))
         )
 
+    def _existing(self, spark: SparkSession, paths: list[str]) -> list[str]:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        out = []
+        for p in paths:
+            hp = jvm.org.apache.hadoop.fs.Path(p)
+            if hp.getFileSystem(conf).exists(hp):
+                out.append(p)
+        return out
+
     def _read(self, spark: SparkSession, name: str, batch_id: int, idx: str, lo: int, hi: int) -> DataFrame | None:
-        """Rows of ``name`` with ``lo <= idx <= hi`` written by earlier batches
-        (``hi`` inclusive; ``batch_id`` bound makes replays deterministic)."""
+        """Rows of ``name`` with ``lo <= idx <= hi`` written by batches up to
+        ``batch_id`` (``hi`` inclusive; the bound makes replays deterministic).
+
+        Only the bucket folders overlapping ``[lo, hi]`` are listed, so the
+        cost of a read does not grow with the age of the stream.
+        """
+        base = self.path(name)
+        b_lo, b_hi = lo // BUCKET_SLIDES, hi // BUCKET_SLIDES
+        if b_hi - b_lo > 64:  # open-ended range: list the table once
+            paths = self._existing(spark, [base])
+        else:
+            paths = self._existing(spark, [f"{base}/bucket={b}" for b in range(b_lo, b_hi + 1)])
+        if not paths:
+            return None
         try:
-            df = spark.read.parquet(self.path(name))
-        except Exception:  # nothing written yet
+            df = spark.read.option("basePath", base).parquet(*paths)
+        except AnalysisException:  # folders exist but hold no data files yet
             return None
-        b_lo, b_hi = lo // BUCKET_SLIDES, hi // BUCKET_SLIDES
         return df.where(
-            F.col("bucket").between(b_lo, b_hi)
-            & (F.col("batch_id") <= F.lit(batch_id))
-            & F.col(idx).between(lo, hi)
+            F.col("bucket").between(b_lo, b_hi) & (F.col("batch_id") <= F.lit(batch_id)) & F.col(idx).between(lo, hi)
         ).drop("bucket", "batch_id")
 
     def _frontier_before(self, spark: SparkSession, batch_id: int) -> int | None:
+        if self._done is not None and self._done[0] == batch_id - 1:
+            return self._done[1]
+        if not self._existing(spark, [self.path("progress")]):
+            return None
         try:
             prog = spark.read.parquet(self.path("progress"))
-        except Exception:
+        except AnalysisException:
             return None
         row = prog.where(F.col("batch_id") < batch_id).agg(F.max("frontier")).first()
         return row[0] if row else None
@@ -142,16 +171,20 @@ class IndicatorSink:
         spark = batch.sparkSession
         win = self.win
         panes = batch.select(slot_index(F.col("pane.start"), win.batch_us).alias("slot"), *PANE_COLUMNS[1:])
-        self._write(panes, "panes", batch_id, idx="slot")
-
+        panes = panes.persist()
+        try:
+            self._write(panes, "panes", batch_id, idx="slot")
+            # Panes leave the state in watermark order, so this batch holds the
+            # newest closed pane: every window ending at or before its end is
+            # complete.
+            bounds = panes.agg(F.min("slot"), F.max("slot")).first()
+        finally:
+            panes.unpersist()
         prev = self._frontier_before(spark, batch_id)
-        stored = self._read(spark, "panes", batch_id, "slot", (prev or 0) - win.analytic, 1 << 62)
-        if stored is None:
-            return
-        bounds = stored.agg(F.min("slot"), F.max("slot")).first()
         if bounds[1] is None:
+            self._progress(spark, batch_id, prev)
             return
-        hi = bounds[1] + 1  # every pane ending at or before ``hi`` is closed
+        hi = bounds[1] + 1
         lo = prev + 1 if prev is not None else bounds[0] + 1
         if hi < lo:
             self._progress(spark, batch_id, prev)
@@ -160,6 +193,7 @@ class IndicatorSink:
         self._progress(spark, batch_id, hi)
 
     def _progress(self, spark: SparkSession, batch_id: int, frontier: int | None) -> None:
+        self._done = (batch_id, frontier)
         schema = T.StructType([T.StructField("frontier", T.LongType())])
         df = spark.createDataFrame([(frontier,)], schema).withColumn("batch_id", F.lit(batch_id).cast("long"))
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id").parquet(
@@ -228,13 +262,21 @@ def start_indicator_stream(
     checkpoint: str | None = None,
     trigger: dict | None = None,
     query_name: str | None = None,
+    rocksdb: bool = True,
 ) -> StreamingQuery:
     """Start the pane aggregate with :class:`IndicatorSink` as its sink.
 
     ``checkpoint`` defaults to a folder under the session's
-    ``spark.checkpoint.dir`` (shared storage on a cluster).
+    ``spark.checkpoint.dir`` (shared storage on a cluster).  With ``rocksdb``
+    the pane state lives in RocksDB (off-heap, spills to local disk,
+    checkpointed to ``checkpoint``) unless the session already names a state
+    store provider.
     """
     spark = posts.sparkSession
+    key = "spark.sql.streaming.stateStore.providerClass"
+    default_provider = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    if rocksdb and spark.conf.get(key, default_provider) == default_provider:
+        spark.conf.set(key, ROCKSDB_PROVIDER)
     if checkpoint is None:
         checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{query_name or 'indicators'}"
     writer = (
