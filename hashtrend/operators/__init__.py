@@ -9,10 +9,11 @@ from hashtrend.operators.indicators import (
     base_indicators,
     first_degree,
     smoothed_first_degree,
+    with_first_degree,
     with_velocity,
 )
 from hashtrend.operators.report import top_n
-from hashtrend.operators.share import delta_share, percent_share, reference_share, total_volume
+from hashtrend.operators.share import delta_share, percent_share, reference_share, slot_totals, total_volume
 from hashtrend.operators.vectors import FEATURES, assemble_vectors, feature_vectors, recurrent_vectors
 from hashtrend.operators.windowing import bounded_range_frame, hop
 
@@ -35,9 +36,11 @@ __all__ = [
     "recurrent_vectors",
     "reference_share",
     "slot_pairs",
+    "slot_totals",
     "smoothed_first_degree",
     "tagged_posts",
     "top_n",
     "total_volume",
+    "with_first_degree",
     "with_velocity",
 ]

@@ -93,6 +93,25 @@ def first_degree(pairs: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
+def with_first_degree(pairs: DataFrame, base: DataFrame) -> DataFrame:
+    """The wide table: every column of ``base`` plus ``activeness`` and
+    ``first_degree``, from a single join.
+
+    Each tag is its own neighbour, so joining the pairs with the *whole* base
+    table on ``(w_idx, neighbour)`` and aggregating per ``(w_idx, tag)`` yields
+    A8 and A9, and the self pair carries the tag's own metrics.  The base
+    aggregate is computed once; no second join with it is needed.
+    """
+    metrics = [c for c in base.columns if c not in ("w_idx", "tag")]
+    me = F.col("neighbour") == F.col("tag")
+    joined = pairs.join(base.withColumnRenamed("tag", "neighbour"), ["w_idx", "neighbour"])
+    return joined.groupBy("w_idx", "tag").agg(
+        *[F.max(F.when(me, F.col(c))).alias(c) for c in metrics],
+        F.count(F.lit(1)).alias("activeness"),
+        F.sum("volume").alias("first_degree"),
+    )
+
+
 def smoothed_first_degree(fd: DataFrame, win: Windows) -> DataFrame:
     """A10: first-degree summed again over the latest ``analytic`` slides.
 

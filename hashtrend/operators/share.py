@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from hashtrend.config import Windows
 from hashtrend.functions.vectors import halving_fold
-from hashtrend.operators.windowing import bounded_range_frame
+from hashtrend.operators.windowing import bounded_range_frame, hop
 
 REFERENCE_MODES = ("mean", "halving")
 
@@ -18,10 +18,21 @@ def total_volume(base: DataFrame) -> DataFrame:
     return base.groupBy("w_idx").agg(F.sum("volume").alias("total_volume"))
 
 
-def percent_share(base: DataFrame) -> DataFrame:
+def slot_totals(occ: DataFrame, win: Windows, weight: str | None = None) -> DataFrame:
+    """A11 straight from occurrences: per-slot counts (one row per slide)
+    copied to the windows holding them.  Equal to summing the tag volumes,
+    but independent of the per-tag aggregate, so using it never recomputes
+    that aggregate.  ``weight`` sums a count column instead (pane rows)."""
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    per_slot = occ.groupBy("slot").agg(n.alias("n"))
+    return hop(per_slot, "slot", win.analytic).groupBy("w_idx").agg(F.sum("n").alias("total_volume"))
+
+
+def percent_share(base: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """A12: ``volume / total`` as a fraction.  The per-window totals are one
     row per slide; AQE broadcasts them once measured small."""
-    return base.join(total_volume(base), "w_idx").withColumn(
+    totals = total_volume(base) if totals is None else totals
+    return base.join(totals, "w_idx").withColumn(
         "percent_share", F.col("volume").cast("double") / F.col("total_volume")
     )
 

@@ -29,9 +29,10 @@ from hashtrend.operators import (
     percent_share,
     recurrent_vectors,
     reference_share,
+    slot_totals,
     smoothed_first_degree,
     tagged_posts,
-    total_volume,
+    with_first_degree,
     with_velocity,
 )
 
@@ -83,17 +84,22 @@ class IndicatorTables:
     def first_degree(self) -> DataFrame:
         return first_degree(self.co_tags, self.base)
 
+    @cached_property
+    def wide(self) -> DataFrame:
+        """Base metrics + activeness + first-degree, one row per ``(w_idx, tag)``."""
+        return with_first_degree(self.co_tags, self.base)
+
     @cached_property
     def smoothed(self) -> DataFrame:
         return smoothed_first_degree(self.first_degree, self.win)
 
     @cached_property
     def total_volume(self) -> DataFrame:
-        return total_volume(self.base)
+        return slot_totals(self.occurrences, self.win)
 
     @cached_property
     def share(self) -> DataFrame:
-        return percent_share(self.base)
+        return percent_share(self.base, self.total_volume)
 
     @cached_property
     def reference(self) -> DataFrame:
@@ -102,12 +108,12 @@ class IndicatorTables:
     @cached_property
     def indicators(self) -> DataFrame:
         """Wide table, one row per ``(w_idx, tag)`` with any occurrence."""
-        wide = self.base.join(self.first_degree, ["w_idx", "tag"])
-        return delta_share(reference_share(percent_share(wide), self.win)).select("w_idx", "tag", *INDICATOR_COLUMNS)
+        share = percent_share(self.wide, self.total_volume)
+        return delta_share(reference_share(share, self.win)).select("w_idx", "tag", *INDICATOR_COLUMNS)
 
     @cached_property
     def feature_vectors(self) -> DataFrame:
-        return feature_vectors(self.base.join(self.first_degree, ["w_idx", "tag"]), self.win)
+        return feature_vectors(self.wide, self.win)
 
     @cached_property
     def vector_slides(self) -> DataFrame:

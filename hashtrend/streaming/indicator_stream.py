@@ -36,10 +36,11 @@ from hashtrend.operators import (
     co_tags_from_pairs,
     delta_share,
     feature_vectors,
-    first_degree,
     percent_share,
     recurrent_vectors,
     reference_share,
+    slot_totals,
+    with_first_degree,
     with_velocity,
 )
 from hashtrend.plans.tables import INDICATOR_COLUMNS
@@ -211,7 +212,8 @@ class IndicatorSink:
         pairs_in = panes.where(F.col("kind") == "n").select("slot", "tag", F.col("item").alias("neighbour"))
         base = with_velocity(base_from_panes(authors, win)).where(in_range)
         pairs = co_tags_from_pairs(pairs_in, win).where(in_range)
-        wide = percent_share(base.join(first_degree(pairs, base), ["w_idx", "tag"]))
+        totals = slot_totals(authors, win, weight="n").where(in_range)
+        wide = percent_share(with_first_degree(pairs, base), totals)
 
         hist = self._read(spark, "indicators", batch_id - 1, "w_idx", lo - win.reference + 1, lo - 1)
         share_hist = wide.select("w_idx", "tag", "percent_share")
