@@ -78,7 +78,7 @@ def bounded_range_frame(
     if chunk < span:
         raise ValueError("chunk must be at least the frame span")
     idx = F.col(idx_col)
-    home = F.floor(idx / F.lit(chunk)).cast("long")
+    home = F.call_function("div", idx, F.lit(chunk).cast("long"))
     in_halo = (idx - home * F.lit(chunk)) >= F.lit(chunk - (span - 1))
     copies = F.when(in_halo, F.array(home, home + 1)).otherwise(F.array(home))
     staged = df.select("*", home.alias("_home"), F.explode(copies).alias("_chunk"))

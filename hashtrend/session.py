@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Confs the engine expects.  AQE is on so that joins against small per-window
 # tables become broadcasts only after their real size is known at runtime, and
-# skewed join partitions (hot tags) are split.
+# skewed join partitions (hot tags) are split.  Static (estimate-based)
+# broadcasts are off: size estimates do not follow the 16x copies of the hop
+# expansion, so only AQE's measured sizes decide, with sort-merge join (and
+# skew splitting) beyond the threshold.
 ENGINE_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB",
 }
 
 
