@@ -66,7 +66,16 @@ def read_kafka(
     r = reader.format("kafka").option("kafka.bootstrap.servers", bootstrap_servers).option("subscribe", topic)
     if starting_offsets:
         r = r.option("startingOffsets", starting_offsets)
-    return r.load().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+    try:
+        df = r.load()
+    except Exception as e:  # connector missing: fail with the fix, not a class-path trace
+        if "kafka" in str(e).lower() and ("find data source" in str(e).lower() or "DATA_SOURCE_NOT_FOUND" in str(e)):
+            raise RuntimeError(
+                "The Kafka source needs the spark-sql-kafka-0-10 package matching this Spark version "
+                "(e.g. --packages org.apache.spark:spark-sql-kafka-0-10_2.13:<spark version>)."
+            ) from e
+        raise
+    return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
 
 
 def read_json_lines(

@@ -40,6 +40,7 @@ from hashtrend.operators import (
     recurrent_vectors,
     reference_share,
     slot_totals,
+    top_n,
     with_first_degree,
     with_velocity,
 )
@@ -55,6 +56,10 @@ PANE_COLUMNS = ["slot", "kind", "tag", "item", "n", "fol", "fri", "rt"]
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+# Per-slide top-N tables written by default: volume (the reference's commented
+# report) and delta share (the one report it prints).
+DEFAULT_REPORTS = {"volume": 10, "delta_share": 10}
+
 
 def _interval(us: int) -> str:
     return f"{us // 1_000_000} seconds" if us % 1_000_000 == 0 else f"{us} microseconds"
@@ -101,9 +106,14 @@ def pane_stream(posts: DataFrame, win: Windows, watermark: str = "0 seconds") ->
 class IndicatorSink:
     """``foreachBatch`` handler writing panes, indicators and vectors under ``root``."""
 
-    def __init__(self, root: str, win: Windows):
+    def __init__(self, root: str, win: Windows, reports: dict[str, int] | None = None, vector_report: int = 10):
+        """``reports`` maps an indicator column to the N of its per-slide top-N
+        table (``top_<column>``, S5/O1/O2); ``vector_report`` is the N of the
+        recurrent-vector report (``top_vectors``, O3; 0 turns it off)."""
         self.root = root.rstrip("/")
         self.win = win
+        self.reports = dict(DEFAULT_REPORTS if reports is None else reports)
+        self.vector_report = vector_report
         # (batch_id, frontier) of the last batch this process completed; the
         # progress table is read only after a restart.
         self._done: tuple[int, int | None] | None = None
@@ -243,6 +253,21 @@ class IndicatorSink:
         rv = recurrent_vectors(fv_all, win).where(in_range)
         self._write(rv.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "recurrent_vectors", batch_id)
 
+        # Reports read the rows just written (small, bounded per slide).
+        ind_written = spark.read.parquet(self.path("indicators")).where(
+            (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
+        )
+        for metric, n in self.reports.items():
+            rep = top_n(ind_written, metric, n)
+            self._write(rep.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), f"top_{metric}", batch_id)
+        if self.vector_report:
+            rv_written = spark.read.parquet(self.path("recurrent_vectors")).where(
+                (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
+            )
+            newest = (win.rec_window - 1) * win.n_features
+            rep = top_n(rv_written.withColumn("newest_volume", F.col("features")[newest]), "newest_volume", self.vector_report)
+            self._write(rep.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "top_vectors", batch_id)
+
 
 def posts_stream_from_json_lines(
     spark: SparkSession, path: str, max_files_per_trigger: int | None = None
@@ -265,6 +290,7 @@ def start_indicator_stream(
     trigger: dict | None = None,
     query_name: str | None = None,
     rocksdb: bool = True,
+    reports: dict[str, int] | None = None,
 ) -> StreamingQuery:
     """Start the pane aggregate with :class:`IndicatorSink` as its sink.
 
@@ -284,7 +310,7 @@ def start_indicator_stream(
     writer = (
         pane_stream(posts, win, watermark)
         .writeStream.outputMode("append")
-        .foreachBatch(IndicatorSink(out_dir, win))
+        .foreachBatch(IndicatorSink(out_dir, win, reports=reports))
         .option("checkpointLocation", checkpoint)
     )
     if query_name:

@@ -125,3 +125,19 @@ def test_sink_replay_and_restart_are_idempotent(spark, tmp_path):
     s = spark.read.parquet(f"{out}/recurrent_vectors").where(F.col("w_idx") <= frontier)
     b = tables.recurrent_vectors.where(F.col("w_idx") <= frontier)
     _same(s.select("w_idx", "tag", "features"), b.select("w_idx", "tag", "features"))
+
+
+def test_stream_reports_equal_batch(streamed):
+    from hashtrend.operators import top_n
+
+    spark, out, frontier, tables, _ = streamed
+    cols = ["w_idx", "rank", "tag", "value", "n_total"]
+    for metric in ("volume", "delta_share"):
+        s = spark.read.parquet(os.path.join(out, f"top_{metric}")).where(F.col("w_idx") <= frontier)
+        b = top_n(tables.indicators, metric, 10).where(F.col("w_idx") <= frontier)
+        assert s.count() > 0
+        _same(s.select(*cols).withColumn("value", F.round("value", 9)), b.select(*cols).withColumn("value", F.round("value", 9)))
+    s = spark.read.parquet(os.path.join(out, "top_vectors")).where(F.col("w_idx") <= frontier)
+    rv = tables.recurrent_vectors.withColumn("newest_volume", F.col("features")[(HOURLY.rec_window - 1) * 4])
+    b = top_n(rv, "newest_volume", 10).where(F.col("w_idx") <= frontier)
+    _same(s.select(*cols), b.select(*cols))
