@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from hashtrend.config import Windows
 from hashtrend.functions.time import end_timestamp
+from hashtrend.session import cut_lineage
 from hashtrend.operators import (
     activeness,
     base_indicators,
@@ -56,9 +57,19 @@ INDICATOR_COLUMNS = [
 
 
 class IndicatorTables:
-    def __init__(self, posts: DataFrame, win: Windows):
+    """Lazy derived tables.  With ``materialize=True`` the wide table and the
+    feature vectors are reliably checkpointed (``spark.checkpoint.dir``) on
+    first use: every table built from them then starts from stored data, both
+    for reuse and for recovery after executor loss.  Off by default, as each
+    checkpoint runs a job when the property is first read."""
+
+    def __init__(self, posts: DataFrame, win: Windows, materialize: bool = False):
         self.win = win
         self.posts = posts
+        self.materialize = materialize
+
+    def _stage(self, df: DataFrame) -> DataFrame:
+        return cut_lineage(df) if self.materialize else df
 
     @cached_property
     def tagged(self) -> DataFrame:
@@ -87,7 +98,7 @@ class IndicatorTables:
     @cached_property
     def wide(self) -> DataFrame:
         """Base metrics + activeness + first-degree, one row per ``(w_idx, tag)``."""
-        return with_first_degree(self.co_tags, self.base)
+        return self._stage(with_first_degree(self.co_tags, self.base))
 
     @cached_property
     def smoothed(self) -> DataFrame:
@@ -113,7 +124,7 @@ class IndicatorTables:
 
     @cached_property
     def feature_vectors(self) -> DataFrame:
-        return feature_vectors(self.wide, self.win)
+        return self._stage(feature_vectors(self.wide, self.win))
 
     @cached_property
     def vector_slides(self) -> DataFrame:

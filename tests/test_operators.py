@@ -118,3 +118,15 @@ def test_batch_job_tables_equal_lazy_plans(spark, tmp_path):
         want = df.select("w_idx", "tag", "features")
         assert written.exceptAll(want).count() == 0 and want.exceptAll(written).count() == 0
     assert spark.read.parquet(paths["indicators"]).count() == lazy.indicators.count()
+
+
+def test_materialized_tables_equal_lazy(spark):
+    from hashtrend.plans.tables import IndicatorTables
+
+    posts = posts_from_events(spark.read.parquet(f"{SF}/events.parquet"))
+    lazy = IndicatorTables(posts, HOURLY)
+    cut = IndicatorTables(posts, HOURLY, materialize=True)
+    assert spark.sparkContext.getCheckpointDir()
+    for name in ("indicators", "recurrent_vectors"):
+        a, b = getattr(lazy, name), getattr(cut, name)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
