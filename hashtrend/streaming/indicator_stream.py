@@ -75,29 +75,28 @@ def pane_stream(posts: DataFrame, win: Windows, watermark: str = "0 seconds") ->
         F.col("retweet_count").cast("long").alias("rt"),
         hashtags("text").alias("tags"),
     )
-    null_long = F.lit(None).cast("long")
-    one = F.lit(1).cast("long")
-
-    def row(kind: str, tag, item, fol, fri, rt):
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            tag.alias("tag"),
-            item.cast("string").alias("item"),
-            one.alias("n"),
-            fol.alias("fol"),
-            fri.alias("fri"),
-            rt.alias("rt"),
-        )
-
-    authors = F.transform("tags", lambda t: row("u", t, F.col("screen_name"), F.col("fol"), F.col("fri"), F.col("rt")))
+    # Two chained generators, both lazy: first one row per tag occurrence
+    # (kind 'u') and per distinct tag (kind 'n'), then the item of each: the
+    # author for 'u', every distinct tag of the post for 'n'.  No array of all
+    # pairs of a post is ever built.
     distinct_tags = F.array_distinct("tags")
-    neighbours = F.flatten(
-        F.transform(
-            distinct_tags,
-            lambda t: F.transform(distinct_tags, lambda y: row("n", t, y, null_long, null_long, null_long)),
-        )
+    keyed = F.concat(
+        F.transform("tags", lambda t: F.struct(F.lit("u").alias("kind"), t.alias("tag"))),
+        F.transform(distinct_tags, lambda t: F.struct(F.lit("n").alias("kind"), t.alias("tag"))),
+    )
+    first = tagged.select("ts", "screen_name", "fol", "fri", "rt", distinct_tags.alias("dtags"), F.explode(keyed).alias("k"))
+    author = F.col("k.kind") == "u"
+    items = F.when(author, F.array(F.col("screen_name"))).otherwise(F.col("dtags"))
+    rows = first.select(
+        "ts",
+        F.col("k.kind").alias("kind"),
+        F.col("k.tag").alias("tag"),
+        F.explode(items).alias("item"),
+        F.lit(1).cast("long").alias("n"),
+        F.when(author, F.col("fol")).alias("fol"),
+        F.when(author, F.col("fri")).alias("fri"),
+        F.when(author, F.col("rt")).alias("rt"),
     )
-    rows = tagged.select("ts", F.explode(F.concat(authors, neighbours)).alias("r")).select("ts", "r.*")
     return rows.groupBy(F.window("ts", _interval(win.batch_us)).alias("pane"), "kind", "tag", "item").agg(
         F.sum("n").alias("n"), F.sum("fol").alias("fol"), F.sum("fri").alias("fri"), F.sum("rt").alias("rt")
     )

@@ -130,3 +130,30 @@ def test_materialized_tables_equal_lazy(spark):
     for name in ("indicators", "recurrent_vectors"):
         a, b = getattr(lazy, name), getattr(cut, name)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_big_posts_are_split_without_changing_pairs(spark):
+    import datetime as dt
+
+    from fixture_posts import POST_SCHEMA
+
+    from hashtrend.operators import co_tags, slot_pairs, tagged_posts
+
+    e = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    giant = " ".join(f"#t{i}" for i in range(300)) + " #t1 #t2"
+    rows = [
+        (1, e, "a", giant, 1, 1, None),
+        (2, e + dt.timedelta(hours=3), "b", "#t1 #x", 1, 1, None),
+        (3, e + dt.timedelta(hours=30), "c", "#x #y", 1, 1, None),
+    ]
+    tagged = tagged_posts(spark.createDataFrame(rows, POST_SCHEMA), HOURLY)
+    split = slot_pairs(tagged, big_post_tags=64)
+    whole = slot_pairs(tagged, big_post_tags=10_000)
+    assert split.count() == 300 * 300 + 4 + 4
+    assert split.exceptAll(whole).count() == 0 and whole.exceptAll(split).count() == 0
+    act = dict(
+        co_tags(tagged, HOURLY).groupBy("w_idx", "tag").count().where("tag = '#t1'").select("w_idx", "count").collect()
+    )
+    first = min(act)
+    assert act[first] == 300  # the giant post alone
+    assert act[first + 3] == 301  # plus #x from the second post
