@@ -14,12 +14,20 @@ from hashtrend.operators.indicators import (
 )
 from hashtrend.operators.report import top_n
 from hashtrend.operators.share import delta_share, percent_share, reference_share, slot_totals, total_volume
-from hashtrend.operators.vectors import FEATURES, assemble_vectors, feature_vectors, recurrent_vectors
+from hashtrend.operators.vectors import (
+    FEATURES,
+    assemble_recurrent,
+    assemble_vectors,
+    feature_vectors,
+    recurrent_groups,
+    recurrent_vectors,
+)
 from hashtrend.operators.windowing import bounded_range_frame, hop
 
 __all__ = [
     "FEATURES",
     "activeness",
+    "assemble_recurrent",
     "assemble_vectors",
     "author_panes",
     "base_from_panes",
@@ -33,6 +41,7 @@ __all__ = [
     "hop",
     "occurrences",
     "percent_share",
+    "recurrent_groups",
     "recurrent_vectors",
     "reference_share",
     "slot_pairs",

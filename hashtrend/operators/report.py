@@ -14,19 +14,23 @@ def top_n(
     key: str = "w_idx",
     label: str = "tag",
     order: Column | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Rank ``label`` per ``key`` by ``metric`` descending (ties by label),
     keep ``rank <= n`` and carry ``n_total``, the number of ranked rows of the
-    slide.  ``order`` ranks on another expression than the reported value.
+    slide.  ``order`` ranks on another expression than the reported value;
+    ``carry`` keeps more columns on the ranked rows.
 
     ``row_number`` with ``rank <= n`` is planned as a window group limit, so
     each map task ships at most ``n`` rows per slide to the final ranking;
     the totals are a grouped count.
     """
     value = F.col(metric) if isinstance(metric, str) else metric
-    present = df.select(key, label, value.alias("value"), (order if order is not None else value).alias("_order"))
-    present = present.where(F.col("value").isNotNull())
+    carry = carry or []
+    present = df.select(
+        key, label, value.alias("value"), (order if order is not None else value).alias("_order"), *carry
+    ).where(F.col("value").isNotNull())
     w = Window.partitionBy(key).orderBy(F.desc("_order"), F.asc(label))
     ranked = present.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     totals = present.groupBy(key).agg(F.count(F.lit(1)).alias("n_total"))
-    return ranked.join(totals, key).select(key, "rank", label, "value", "n_total")
+    return ranked.join(totals, key).select(key, "rank", label, "value", "n_total", *carry)

@@ -52,20 +52,20 @@ def feature_vectors(ind: DataFrame, win: Windows) -> DataFrame:
     return agg.withColumn("features", zero_filled([F.col(c) for c in FEATURES]))
 
 
-def recurrent_vectors(fv: DataFrame, win: Windows, live: DataFrame | None = None) -> DataFrame:
-    """V2: every ``rec_slide`` slides, for each tag seen in the latest
-    ``rec_window`` slides, its slot vectors oldest first, zero-filled to a
-    constant width.  Nothing is emitted for a window whose newest slot has no
-    keys at all (the reference's liveness rule).
+def recurrent_groups(fv: DataFrame, win: Windows, live: DataFrame | None = None) -> DataFrame:
+    """Live recurrent windows as ``(w_idx, tag, slots, newest_volume)``:
+    ``slots`` holds the ``struct(pos, features)`` entries present (at most
+    ``rec_window``), ``newest_volume`` the volume of the newest slot (0 if
+    absent).  :func:`recurrent_vectors` assembles the dense vectors from it;
+    reports can rank first and assemble only the rows they keep.
 
     Each slot row is copied to the ``rec_window / rec_slide`` recurrent windows
     holding it and grouped per ``(window, tag)``: at most ``rec_window``
-    entries per group, whatever the data size.
-
-    ``live`` (one ``w_idx`` per slide that has feature vectors) may be given
-    when the caller knows it more cheaply than from ``fv`` itself.
+    entries per group, whatever the data size.  ``live`` (one ``w_idx`` per
+    slide that has feature vectors) may be given when the caller knows it more
+    cheaply than from ``fv`` itself.
     """
-    rs, rw, width = win.rec_slide, win.rec_window, win.n_features
+    rs, rw = win.rec_slide, win.rec_window
     s = F.col("w_idx")
     first_r = s + F.pmod(-s, F.lit(rs))
     n_copies = -(-rw // rs)
@@ -77,6 +77,7 @@ def recurrent_vectors(fv: DataFrame, win: Windows, live: DataFrame | None = None
     grouped = expanded.groupBy("r_idx", "tag").agg(
         F.collect_list(F.struct(pos.alias("pos"), F.col("features"))).alias("slots"),
         F.max(pos).alias("newest"),
+        F.coalesce(F.max(F.when(pos == F.lit(rw - 1), F.col("features")[0])), F.lit(0.0)).alias("newest_volume"),
     )
     if live is None:
         # From the same groups: the newest slot of a window has keys iff some
@@ -88,5 +89,19 @@ def recurrent_vectors(fv: DataFrame, win: Windows, live: DataFrame | None = None
     else:
         live = live.select(F.col("w_idx").alias("r_idx")).where(F.pmod("r_idx", F.lit(rs)) == 0)
     return grouped.join(live, "r_idx", "left_semi").select(
-        F.col("r_idx").alias("w_idx"), "tag", slot_vector(F.col("slots"), rw, width).alias("features")
+        F.col("r_idx").alias("w_idx"), "tag", "slots", "newest_volume"
     )
+
+
+def recurrent_vectors(fv: DataFrame, win: Windows, live: DataFrame | None = None) -> DataFrame:
+    """V2: every ``rec_slide`` slides, for each tag seen in the latest
+    ``rec_window`` slides, its slot vectors oldest first, zero-filled to a
+    constant width.  Nothing is emitted for a window whose newest slot has no
+    keys at all (the reference's liveness rule).  See :func:`recurrent_groups`.
+    """
+    return assemble_recurrent(recurrent_groups(fv, win, live), win).select("w_idx", "tag", "features")
+
+
+def assemble_recurrent(groups: DataFrame, win: Windows) -> DataFrame:
+    """Dense ``features`` (``rec_window * n_features`` values) from ``slots``."""
+    return groups.withColumn("features", slot_vector(F.col("slots"), win.rec_window, win.n_features)).drop("slots")

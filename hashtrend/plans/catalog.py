@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashtrend.config import HOURLY, Windows
-from hashtrend.operators import top_n
+from hashtrend.operators import assemble_recurrent, top_n
 from hashtrend.plans.tables import IndicatorTables, vector_text
 from hashtrend.session import ensure_engine_conf, spread_input
 from hashtrend.sources import decode, drop_delete_notices, posts_from_events, raw_messages_from_events
@@ -158,11 +158,12 @@ def q_top_delta_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O3: the first 10 recurrent vectors of each window (by newest-slot
-    volume) with the window's vector count."""
+    volume), with the window's vector count.  Ranked on the collected slot
+    entries; only the kept rows are assembled into dense vectors."""
     t = tables(spark, sf_dir)
-    newest = (WIN.rec_window - 1) * WIN.n_features
-    rv = t.recurrent_vectors.withColumn("newest_volume", F.col("features")[newest])
-    return t.with_end(top_n(rv, "newest_volume", 10))
+    ranked = top_n(t.recurrent_groups, "newest_volume", 10, carry=["slots"])
+    vec = assemble_recurrent(ranked, WIN)
+    return t.with_end(vec.select("w_idx", "rank", "tag", "value", "n_total", vector_text().alias("features")))
 
 
 TOP_METRICS = {

@@ -103,7 +103,8 @@ rec AS (
   SELECT r_idx AS w_idx, tag, string_agg(features, ' ' ORDER BY pos) AS features
   FROM rec_grid GROUP BY 1, 2),
 rec_newest AS (
-  SELECT w_idx, tag, CAST(split_part(features, ' ', {(rw - 1) * win.n_features + 1}) AS DOUBLE) AS value FROM rec),
+  SELECT w_idx, tag, features,
+         CAST(split_part(features, ' ', {(rw - 1) * win.n_features + 1}) AS DOUBLE) AS value FROM rec),
 raw AS (
   SELECT CAST(post_id AS VARCHAR) AS key, post_id,
          CASE WHEN post_id % 7 = 0 THEN '{{"delete":{{"status":{{"id":' || post_id || '}}}}}}'
@@ -195,7 +196,12 @@ def statements(win: Windows) -> dict[str, str]:
         "recurrent_vectors": f"SELECT {e} AS w_end, tag, features FROM rec",
         "top_tags": _top(win, "ind", "volume"),
         "top_delta_share": _top(win, "ind", "delta_share", round_to=6, order="round(delta_share, 9)"),
-        "top_vectors": _top(win, "rec_newest", "value"),
+        "top_vectors": f"""
+SELECT {e} AS w_end, CAST(rk AS INTEGER) AS rank, tag, value, n_total, features FROM (
+  SELECT w_idx, tag, value, features,
+         row_number() OVER (PARTITION BY w_idx ORDER BY value DESC, tag ASC) AS rk,
+         count(*) OVER (PARTITION BY w_idx) AS n_total
+  FROM rec_newest) WHERE rk <= 10""",
     }
     for name, (src, col, rnd) in TOP_METRICS.items():
         if name != "volume":

@@ -28,7 +28,8 @@ from hashtrend.operators import (
     hop,
     occurrences,
     percent_share,
-    recurrent_vectors,
+    assemble_recurrent,
+    recurrent_groups,
     reference_share,
     slot_totals,
     smoothed_first_degree,
@@ -140,9 +141,13 @@ class IndicatorTables:
         slots = self.occurrences.select("slot").distinct()
         return hop(slots, "slot", span).select("w_idx").distinct()
 
+    @cached_property
+    def recurrent_groups(self) -> DataFrame:
+        return recurrent_groups(self.feature_vectors, self.win, live=self.vector_slides)
+
     @cached_property
     def recurrent_vectors(self) -> DataFrame:
-        return recurrent_vectors(self.feature_vectors, self.win, live=self.vector_slides)
+        return assemble_recurrent(self.recurrent_groups, self.win).select("w_idx", "tag", "features")
 
     def with_end(self, df: DataFrame, idx: str = "w_idx") -> DataFrame:
         """Replace the slide index by the window end timestamp (first column)."""

@@ -264,7 +264,12 @@ class IndicatorSink:
                 (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
             )
             newest = (win.rec_window - 1) * win.n_features
-            rep = top_n(rv_written.withColumn("newest_volume", F.col("features")[newest]), "newest_volume", self.vector_report)
+            rep = top_n(
+                rv_written.withColumn("newest_volume", F.col("features")[newest]),
+                "newest_volume",
+                self.vector_report,
+                carry=["features"],
+            )
             self._write(rep.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "top_vectors", batch_id)
 
 
