@@ -27,14 +27,16 @@ def slot_vector(entries: Column, n_slots: int, width: int, pos: str = "pos", val
     """Concatenate ``n_slots`` slot vectors oldest first; missing slots are zeros.
 
     ``entries`` is an array of ``struct(pos, features)`` with distinct ``pos``
-    (at most ``n_slots`` of them).  A filter per slot beats building a map:
-    ``map_from_entries`` hashes every key to check duplicates and costs twice
-    as much here.
+    (at most ``n_slots`` of them).  Each slot is found with ``array_position``
+    over the entries' positions (a compiled scan) rather than a map, whose
+    construction hashes every key to check duplicates, or a per-slot
+    ``filter``, which runs a lambda per entry.
     """
     zeros = F.array_repeat(F.lit(0.0), width)
+    positions = F.transform(entries, lambda e: e[pos])
     return F.flatten(
         F.transform(
             F.sequence(F.lit(0), F.lit(n_slots - 1)),
-            lambda i: F.coalesce(F.get(F.filter(entries, lambda e: e[pos] == i), 0)[value], zeros),
+            lambda i: F.coalesce(F.get(entries, F.array_position(positions, i).cast("int") - 1)[value], zeros),
         )
     )
