@@ -2,10 +2,12 @@
 
 ``occurrences -> indicators -> feature_vectors -> recurrent_vectors``.  Each
 property is a Catalyst plan; nothing is collected.  Shuffle layout of the
-wide table: the base aggregate and the first-degree aggregate both come out
-hash-partitioned on ``(w_idx, tag)`` and join without another exchange; the
-per-slide totals are a tiny grouped aggregate that AQE broadcasts once
-measured; the reference frame is the one re-shuffle (by tag and time chunk).
+wide table: author panes (by slot, tag, author) -> first-cover lag (by tag,
+author) -> base aggregate (by window, tag); pair panes likewise; one join of
+the pairs with the base table on ``(window, neighbour)`` and one aggregate per
+``(window, tag)`` give every per-tag column; the per-slide totals (one row per
+slide, from slot counts) join on the window; the reference frame is the last
+re-shuffle (by tag and time chunk).
 """
 
 from __future__ import annotations
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 from hashtrend.config import Windows
 from hashtrend.functions.time import end_timestamp
-from hashtrend.session import cut_lineage
 from hashtrend.operators import (
     activeness,
+    assemble_recurrent,
     base_indicators,
     co_tags,
     delta_share,
@@ -28,7 +30,6 @@ from hashtrend.operators import (
     hop,
     occurrences,
     percent_share,
-    assemble_recurrent,
     recurrent_groups,
     reference_share,
     slot_totals,
@@ -37,6 +38,7 @@ from hashtrend.operators import (
     with_first_degree,
     with_velocity,
 )
+from hashtrend.session import cut_lineage
 
 INDICATOR_COLUMNS = [
     "volume",

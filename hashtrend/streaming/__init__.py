@@ -1,0 +1,18 @@
+"""Structured Streaming: pane aggregate + ``foreachBatch`` sink running the
+batch operators on bounded history."""
+
+from hashtrend.streaming.indicator_stream import (
+    IndicatorSink,
+    pane_stream,
+    posts_stream_from_json_lines,
+    start_bad_record_sink,
+    start_indicator_stream,
+)
+
+__all__ = [
+    "IndicatorSink",
+    "pane_stream",
+    "posts_stream_from_json_lines",
+    "start_bad_record_sink",
+    "start_indicator_stream",
+]
