@@ -59,9 +59,13 @@ def main(argv: list[str] | None = None) -> None:
     src.add_argument("--messages", help="folder of tweet JSON lines")
     ap.add_argument("--out", required=True)
     ap.add_argument("--batch", default="2 seconds")
+    ap.add_argument("--master", help="only when not launched by spark-submit, e.g. local[8]")
     args = ap.parse_args(argv)
 
-    spark = SparkSession.builder.appName("hashtrend-batch").getOrCreate()
+    builder = SparkSession.builder.appName("hashtrend-batch")
+    if args.master:
+        builder = builder.master(args.master)
+    spark = builder.getOrCreate()
     win = Windows(batch=args.batch)
     if args.events:
         posts = posts_from_events(spark.read.parquet(args.events))
