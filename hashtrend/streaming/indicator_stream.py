@@ -335,3 +335,46 @@ def start_bad_record_sink(
     if trigger:
         writer = writer.trigger(**trigger)
     return writer.start()
+
+
+def main(argv: list[str] | None = None) -> None:
+    """Run the indicator stream (the reference's long-running application).
+
+    python -m hashtrend.streaming.indicator_stream --json-lines /landing/tweets --out /shared/trends
+    python -m hashtrend.streaming.indicator_stream --kafka host:9092 --topic Tweet --out /shared/trends
+    """
+    import argparse
+
+    from hashtrend.session import ensure_engine_conf
+    from hashtrend.sources.messages import read_kafka
+
+    ap = argparse.ArgumentParser(description="hashtag indicator stream")
+    src = ap.add_mutually_exclusive_group(required=True)
+    src.add_argument("--json-lines", help="folder receiving tweet JSON-lines files")
+    src.add_argument("--kafka", help="bootstrap servers")
+    ap.add_argument("--topic", default="Tweet")
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--batch", default="2 seconds")
+    ap.add_argument("--watermark", default="10 seconds")
+    ap.add_argument("--trigger", default="10 seconds", help="processing-time trigger interval")
+    ap.add_argument("--master", help="only when not launched by spark-submit")
+    args = ap.parse_args(argv)
+
+    builder = SparkSession.builder.appName("hashtrend-stream")
+    if args.master:
+        builder = builder.master(args.master)
+    spark = builder.getOrCreate()
+    ensure_engine_conf(spark)
+    if args.json_lines:
+        posts, bad = posts_stream_from_json_lines(spark, args.json_lines)
+    else:
+        posts, bad = decode(drop_delete_notices(read_kafka(spark, args.kafka, args.topic)))
+    trigger = {"processingTime": args.trigger}
+    out = args.out.rstrip("/")
+    start_bad_record_sink(bad, f"{out}/bad_records", trigger=trigger)
+    start_indicator_stream(posts, out, Windows(batch=args.batch), watermark=args.watermark, trigger=trigger)
+    spark.streams.awaitAnyTermination()
+
+
+if __name__ == "__main__":
+    main()
