@@ -93,3 +93,15 @@ def test_json_lines_batch_reader(spark, tmp_path):
     posts, bad = decode(drop_delete_notices(read_json_lines(spark, str(p))))
     assert [r.post_id for r in posts.collect()] == [1]
     assert [r.value for r in bad.collect()] == ["x"]
+
+
+def test_hashtags_match_literal_split_rule(spark):
+    import random
+
+    rnd = random.Random(7)
+    alphabet = ["#", " ", "  ", "\t", "\n", "a", "B", ",", "é", "#x", "ab", "", "　"]
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 12))) for _ in range(500)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
+    got = {r.i: r.t for r in df.select("i", hashtags("text").alias("t")).collect()}
+    for i, t in enumerate(texts):
+        assert got[i] == [tok for tok in t.split(" ") if tok.startswith("#")], repr(t)
