@@ -141,3 +141,59 @@ def test_stream_reports_equal_batch(streamed):
     rv = tables.recurrent_vectors.withColumn("newest_volume", F.col("features")[(HOURLY.rec_window - 1) * 4])
     b = top_n(rv, "newest_volume", 10).where(F.col("w_idx") <= frontier)
     _same(s.select(*cols), b.select(*cols))
+
+
+def test_stream_reproduces_golden_fixture_at_reference_cadence(spark, tmp_path):
+    """2 s batches, 32 s windows: the golden values of FIXTURES.md from the stream."""
+    import json
+    import math
+
+    from fixture_posts import GOLDEN, GOLDEN_RECURRENT_10, POSTS
+
+    from hashtrend.config import REFERENCE
+
+    def msg(i, sec, user, fol, fri, rt, text):
+        t = {"id": i, "timestamp_ms": str(int(sec * 1000)), "text": text,
+             "user": {"screen_name": user, "followers_count": fol, "friends_count": fri}}
+        if rt is not None:
+            t["retweeted_status"] = {"retweet_count": rt}
+        return json.dumps(t)
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    # Two later sentinel posts move the watermark past every window up to t = 62.
+    files = [POSTS[:5], POSTS[5:], [(300, "z", 0, 0, None, "#end")], [(400, "z", 0, 0, None, "#end2")]]
+    n = 0
+    for k, chunk in enumerate(files):
+        lines = []
+        for sec, user, fol, fri, rt, text in chunk:
+            n += 1
+            lines.append(msg(n, sec, user, fol, fri, rt, text))
+        path = inbox / f"part-{k:02d}.json"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_000_000 + k, 1_000_000 + k))
+
+    posts, _ = posts_stream_from_json_lines(spark, str(inbox), max_files_per_trigger=1)
+    out = str(tmp_path / "out")
+    q = start_indicator_stream(
+        posts, out, REFERENCE, checkpoint=str(tmp_path / "ckpt"), trigger={"availableNow": True}, reports={}
+    )
+    q.awaitTermination(600)
+    assert q.exception() is None
+
+    ind = {(r.w_idx * 2, r.tag): r for r in spark.read.parquet(f"{out}/indicators").collect()}
+    fv = {(r.w_idx * 2, r.tag): r.features for r in spark.read.parquet(f"{out}/feature_vectors").collect()}
+    for t, tag, vol, half, vel, users, fol, fri, rt, act, deg, sdeg, share, ref_mean, ref_halving in GOLDEN:
+        assert fv[(t, tag)][3] == sdeg, (t, tag)
+        if vol is None:
+            assert (t, tag) not in ind
+            continue
+        r = ind[(t, tag)]
+        assert (r.volume, r.half_volume, r.velocity, r.unique_users) == (vol, half, vel, users), (t, tag)
+        assert (r.follower_reach, r.friend_reach, r.retweeted_volume) == (fol, fri, rt), (t, tag)
+        assert (r.activeness, r.first_degree) == (act, deg), (t, tag)
+        assert math.isclose(r.percent_share, share, abs_tol=1e-6)
+        assert math.isclose(r.reference_share_mean, ref_mean, abs_tol=1e-6)
+        assert math.isclose(r.reference_share_halving, ref_halving, abs_tol=1e-6)
+    rv = {r.tag: r.features for r in spark.read.parquet(f"{out}/recurrent_vectors").where("w_idx = 5").collect()}
+    assert {k: v[-20:] for k, v in rv.items()} == {k: [float(x) for x in v] for k, v in GOLDEN_RECURRENT_10.items()}
