@@ -13,7 +13,11 @@ from pyspark.sql import functions as F
 from hashtrend.config import HOURLY
 from hashtrend.plans.tables import INDICATOR_COLUMNS, IndicatorTables
 from hashtrend.sources import decode, drop_delete_notices, raw_messages_from_events
-from hashtrend.streaming.indicator_stream import posts_stream_from_json_lines, start_indicator_stream
+from hashtrend.streaming.indicator_stream import (
+    posts_stream_from_json_lines,
+    start_bad_record_sink,
+    start_indicator_stream,
+)
 
 SF = "/root/testdata/sf0.001"
 N_FILES = 4
@@ -35,7 +39,7 @@ def streamed(spark):
             f.write("\n".join(r.value for r in rows[i * size : (i + 1) * size]) + "\n")
         os.utime(path, (1_000_000 + i, 1_000_000 + i))
 
-    posts, _bad = posts_stream_from_json_lines(spark, inbox, max_files_per_trigger=1)
+    posts, bad = posts_stream_from_json_lines(spark, inbox, max_files_per_trigger=1)
     out = os.path.join(work, "out")
     q = start_indicator_stream(
         posts,
@@ -44,14 +48,28 @@ def streamed(spark):
         checkpoint=os.path.join(work, "ckpt"),
         trigger={"availableNow": True},
     )
+    qb = start_bad_record_sink(
+        bad, os.path.join(out, "bad_records"), checkpoint=os.path.join(work, "ckpt_bad"), trigger={"availableNow": True}
+    )
     q.awaitTermination(600)
-    assert q.exception() is None
+    qb.awaitTermination(600)
+    assert q.exception() is None and qb.exception() is None
     frontier = spark.read.parquet(os.path.join(out, "progress")).agg(F.max("frontier")).first()[0]
 
     batch_posts, _ = decode(drop_delete_notices(spark.read.text(inbox).select(F.lit(None).cast("string").alias("key"), "value")))
     return spark, out, frontier, IndicatorTables(batch_posts, HOURLY), q
 
 
+def test_bad_records_equal_batch(streamed):
+    spark, out, frontier, tables, _ = streamed
+    inbox_bad = decode(
+        drop_delete_notices(raw_messages_from_events(spark.read.parquet(f"{SF}/events.parquet")))
+    )[1].select("value")
+    streamed_bad = spark.read.parquet(os.path.join(out, "bad_records")).select("value")
+    assert streamed_bad.count() == inbox_bad.count() > 0
+    assert streamed_bad.exceptAll(inbox_bad).count() == 0
+
+
 def _same(a, b):
     assert a.count() == b.count()
     assert a.exceptAll(b).count() == 0
