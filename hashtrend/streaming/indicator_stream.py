@@ -249,7 +249,9 @@ class IndicatorSink:
         fv_hist = self._read(spark, "feature_vectors", batch_id - 1, "w_idx", lo - win.rec_window + 1, lo - 1)
         if fv_hist is not None:
             fv_all = fv_all.unionByName(fv_hist.select("w_idx", "tag", "features"))
-        rv = recurrent_vectors(fv_all, win).where(in_range)
+        # Slides with vectors come straight from the stored feature vectors.
+        live = fv_all.select("w_idx").distinct()
+        rv = recurrent_vectors(fv_all, win, live=live).where(in_range)
         self._write(rv.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "recurrent_vectors", batch_id)
 
         # Reports read the rows just written (small, bounded per slide).
