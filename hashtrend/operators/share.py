@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hashtrend.config import Windows
 from hashtrend.functions.vectors import halving_fold
-from hashtrend.operators.windowing import bounded_range_frame, hop
+from hashtrend.operators.windowing import bounded_range_frame, chunk_copies, hop
+
+# Rows per (tag, chunk) partition stay below this so that 2**row fits a double.
+MAX_PREFIX_ROWS = 1000
 
 REFERENCE_MODES = ("mean", "halving")
 
@@ -43,7 +46,47 @@ def reference_share(share: DataFrame, win: Windows, *, chunk: int | None = None)
     ``reference_share_mean`` is their average (deterministic stand-in for the
     reference's order-dependent pairwise halving); ``reference_share_halving``
     folds ``(acc + x) / 2`` oldest to newest over the same present slides.
+
+    The halving fold over frame rows ``j..n`` (positions ``r`` within the
+    tag's chunk) has a closed form,
+    ``2**-(r_n + 1) * sum(x_k * 2**r_k, k = j..n) + x_j * 2**-(r_n - r_j + 1)``,
+    so it needs two running sums (Spark evaluates those incrementally) and the
+    frame's first value instead of collecting and folding up to ``reference``
+    values per row.  Chunks are kept under ``MAX_PREFIX_ROWS`` rows so the
+    powers of two stay finite; longer spans fall back to the collected fold.
     """
+    span = win.reference
+    prefix_chunk = MAX_PREFIX_ROWS - (span - 1)
+    if chunk is not None or prefix_chunk < span:
+        return _reference_share_collected(share, win, chunk=chunk)
+
+    x = F.col("percent_share")
+    staged = chunk_copies(share, "w_idx", span, prefix_chunk)
+    ordered = Window.partitionBy("tag", "_chunk").orderBy("w_idx")
+    frame = ordered.rangeBetween(-(span - 1), 0)
+    before = ordered.rangeBetween(Window.unboundedPreceding, -span)
+    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = staged.select("*", F.row_number().over(ordered).alias("_r"))
+    weighted = x * F.pow(F.lit(2.0), F.col("_r"))
+    stats = ranked.select(
+        "*",
+        F.avg(x).over(frame).alias("reference_share_mean"),
+        F.first(x).over(frame).alias("_first"),
+        F.sum(weighted).over(upto).alias("_s_upto"),
+        F.coalesce(F.sum(weighted).over(before), F.lit(0.0)).alias("_s_before"),
+        F.count(x).over(before).alias("_c_before"),
+    )
+    r = F.col("_r")
+    halving = F.pow(F.lit(2.0), -(r + 1)) * (F.col("_s_upto") - F.col("_s_before")) + F.col("_first") * F.pow(
+        F.lit(2.0), -(r - F.col("_c_before"))
+    )
+    return stats.where(F.col("_chunk") == F.col("_home")).select(
+        *share.columns, "reference_share_mean", halving.alias("reference_share_halving")
+    )
+
+
+def _reference_share_collected(share: DataFrame, win: Windows, *, chunk: int | None = None) -> DataFrame:
+    """A13 by collecting the frame and folding it (any span)."""
 
     def cols(w):
         return {

@@ -63,6 +63,21 @@ def default_chunk(span: int) -> int:
     return max(16 * span, 4096)
 
 
+def chunk_copies(df: DataFrame, idx_col: str, span: int, chunk: int) -> DataFrame:
+    """Add ``_home`` (chunk of the row) and ``_chunk`` (chunk it is placed in):
+    a row is placed in its own chunk and, when within ``span - 1`` slides of
+    the chunk's end, copied into the next one as halo.  A frame reaching
+    ``span - 1`` slides back is then complete inside ``(keys, _chunk)`` for
+    every row with ``_chunk == _home``."""
+    if chunk < span:
+        raise ValueError("chunk must be at least the frame span")
+    idx = F.col(idx_col)
+    home = F.call_function("div", idx, F.lit(chunk).cast("long"))
+    in_halo = (idx - home * F.lit(chunk)) >= F.lit(chunk - (span - 1))
+    copies = F.when(in_halo, F.array(home, home + 1)).otherwise(F.array(home))
+    return df.select("*", home.alias("_home"), F.explode(copies).alias("_chunk"))
+
+
 def bounded_range_frame(
     df: DataFrame,
     keys: list[str],
@@ -75,13 +90,7 @@ def bounded_range_frame(
     """Add ``columns(w)`` computed over ``w = partitionBy(keys).orderBy(idx)
     .rangeBetween(-(span - 1), 0)``, exactly, with bounded partitions."""
     chunk = chunk or default_chunk(span)
-    if chunk < span:
-        raise ValueError("chunk must be at least the frame span")
-    idx = F.col(idx_col)
-    home = F.call_function("div", idx, F.lit(chunk).cast("long"))
-    in_halo = (idx - home * F.lit(chunk)) >= F.lit(chunk - (span - 1))
-    copies = F.when(in_halo, F.array(home, home + 1)).otherwise(F.array(home))
-    staged = df.select("*", home.alias("_home"), F.explode(copies).alias("_chunk"))
+    staged = chunk_copies(df, idx_col, span, chunk)
     w = Window.partitionBy(*keys, "_chunk").orderBy(idx_col).rangeBetween(-(span - 1), 0)
     added = columns(w)
     out = staged.select(*df.columns, "_home", "_chunk", *[c.alias(n) for n, c in added.items()])

@@ -157,3 +157,21 @@ def test_big_posts_are_split_without_changing_pairs(spark):
     first = min(act)
     assert act[first] == 300  # the giant post alone
     assert act[first + 3] == 301  # plus #x from the second post
+
+
+def test_halving_closed_form_equals_collected_fold(spark):
+    import random
+
+    from hashtrend.operators import reference_share
+
+    rnd = random.Random(3)
+    win = Windows(batch="1 hour", reference=20)
+    rows = [(t, tag, rnd.random()) for tag in ("a", "b", "c") for t in range(0, 3000) if rnd.random() < 0.6]
+    share = spark.createDataFrame(rows, "w_idx long, tag string, percent_share double")
+    fast = {(r.w_idx, r.tag): r for r in reference_share(share, win).collect()}
+    slow = {(r.w_idx, r.tag): r for r in reference_share(share, win, chunk=64).collect()}
+    assert fast.keys() == slow.keys() and len(fast) == len(rows)
+    for k, a in fast.items():
+        b = slow[k]
+        assert math.isclose(a.reference_share_mean, b.reference_share_mean, rel_tol=1e-12)
+        assert math.isclose(a.reference_share_halving, b.reference_share_halving, rel_tol=1e-12, abs_tol=1e-15)
