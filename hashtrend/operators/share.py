@@ -40,24 +40,31 @@ def percent_share(base: DataFrame, totals: DataFrame | None = None) -> DataFrame
     )
 
 
-def reference_share(share: DataFrame, win: Windows, *, chunk: int | None = None) -> DataFrame:
+def reference_share(
+    share: DataFrame, win: Windows, *, chunk: int | None = None, halving: str = "fold"
+) -> DataFrame:
     """A13: the tag's shares over the slides ending in ``(t - reference, t]``.
 
     ``reference_share_mean`` is their average (deterministic stand-in for the
     reference's order-dependent pairwise halving); ``reference_share_halving``
     folds ``(acc + x) / 2`` oldest to newest over the same present slides.
 
-    The halving fold over frame rows ``j..n`` (positions ``r`` within the
-    tag's chunk) has a closed form,
-    ``2**-(r_n + 1) * sum(x_k * 2**r_k, k = j..n) + x_j * 2**-(r_n - r_j + 1)``,
-    so it needs two running sums (Spark evaluates those incrementally) and the
-    frame's first value instead of collecting and folding up to ``reference``
-    values per row.  Chunks are kept under ``MAX_PREFIX_ROWS`` rows so the
-    powers of two stay finite; longer spans fall back to the collected fold.
+    ``halving="fold"`` (default) collects the ordered frame and folds it:
+    exactly the sequential definition, bit for bit.  ``halving="closed_form"``
+    uses ``2**-(r_n + 1) * sum(x_k * 2**r_k, k = j..n) + x_j * 2**-(r_n - r_j +
+    1)`` over frame rows ``j..n`` (positions ``r`` within the tag's chunk): two
+    running sums (incremental in Spark) and the frame's first value instead of
+    up to ``reference`` values per row.  It agrees to about 1e-16 relative, but
+    not bit for bit, and halving folds of simple fractions often land exactly
+    on a decimal rounding tie, so it is opt-in for very large runs.  Chunks
+    stay under ``MAX_PREFIX_ROWS`` rows so the powers of two are finite;
+    longer spans always fold.
     """
+    if halving not in ("fold", "closed_form"):
+        raise ValueError(f"unknown halving mode {halving!r}")
     span = win.reference
     prefix_chunk = MAX_PREFIX_ROWS - (span - 1)
-    if chunk is not None or prefix_chunk < span:
+    if halving == "fold" or chunk is not None or prefix_chunk < span:
         return _reference_share_collected(share, win, chunk=chunk)
 
     x = F.col("percent_share")

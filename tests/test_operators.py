@@ -168,7 +168,7 @@ def test_halving_closed_form_equals_collected_fold(spark):
     win = Windows(batch="1 hour", reference=20)
     rows = [(t, tag, rnd.random()) for tag in ("a", "b", "c") for t in range(0, 3000) if rnd.random() < 0.6]
     share = spark.createDataFrame(rows, "w_idx long, tag string, percent_share double")
-    fast = {(r.w_idx, r.tag): r for r in reference_share(share, win).collect()}
+    fast = {(r.w_idx, r.tag): r for r in reference_share(share, win, halving="closed_form").collect()}
     slow = {(r.w_idx, r.tag): r for r in reference_share(share, win, chunk=64).collect()}
     assert fast.keys() == slow.keys() and len(fast) == len(rows)
     for k, a in fast.items():
