@@ -12,8 +12,6 @@ from hashtrend.operators.windowing import bounded_range_frame, chunk_copies, hop
 # Rows per (tag, chunk) partition stay below this so that 2**row fits a double.
 MAX_PREFIX_ROWS = 1000
 
-REFERENCE_MODES = ("mean", "halving")
-
 
 def total_volume(base: DataFrame) -> DataFrame:
     """A11: one row per window.  A grouped aggregate (partial sums before the
