@@ -215,3 +215,51 @@ def test_stream_reproduces_golden_fixture_at_reference_cadence(spark, tmp_path):
         assert math.isclose(r.reference_share_halving, ref_halving, abs_tol=1e-6)
     rv = {r.tag: r.features for r in spark.read.parquet(f"{out}/recurrent_vectors").where("w_idx = 5").collect()}
     assert {k: v[-20:] for k, v in rv.items()} == {k: [float(x) for x in v] for k, v in GOLDEN_RECURRENT_10.items()}
+
+
+def test_stream_drops_posts_behind_the_watermark(spark, tmp_path):
+    """T8: a post older than the watermark is dropped; closed windows keep their values.
+
+    Spark filters late rows with the previous micro-batch's watermark (the
+    current one only evicts), so the late post comes two files after the
+    posts that moved the watermark past it.  A pane Spark does emit always
+    ends after that previous watermark, hence after the sink's frontier.
+    """
+    import json
+
+    from fixture_posts import GOLDEN, POSTS
+
+    from hashtrend.config import REFERENCE
+
+    def msg(i, sec, text, user="late"):
+        return json.dumps({"id": i, "timestamp_ms": str(int(sec * 1000)), "text": text,
+                           "user": {"screen_name": user, "followers_count": 1, "friends_count": 1}})
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir()
+    files = [
+        [msg(i + 1, s, text, user) for i, (s, user, _f, _r, _rt, text) in enumerate(POSTS)],
+        [msg(101, 300, "#end")],
+        [msg(100, 15, "#late #spark")],  # two batches behind: the late-row watermark is 40 s
+        [msg(102, 400, "#end2")],
+        [msg(103, 500, "#end3")],
+    ]
+    for k, lines in enumerate(files):
+        path = inbox / f"part-{k:02d}.json"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_000_000 + k, 1_000_000 + k))
+    posts, _ = posts_stream_from_json_lines(spark, str(inbox), max_files_per_trigger=1)
+    out = str(tmp_path / "out")
+    q = start_indicator_stream(
+        posts, out, REFERENCE, checkpoint=str(tmp_path / "ckpt"), trigger={"availableNow": True}, reports={}
+    )
+    q.awaitTermination(600)
+    assert q.exception() is None
+    dropped = sum(s.get("numRowsDroppedByWatermark", 0) for p in q.recentProgress for s in p.get("stateOperators", []))
+    assert dropped > 0
+    ind = spark.read.parquet(f"{out}/indicators")
+    assert ind.where("tag = '#late'").count() == 0
+    vol = {(r.w_idx * 2, r.tag): r.volume for r in ind.collect()}
+    for t, tag, v, *_ in GOLDEN:
+        if v is not None:
+            assert vol[(t, tag)] == v, (t, tag)
