@@ -175,3 +175,17 @@ def test_halving_closed_form_equals_collected_fold(spark):
         b = slow[k]
         assert math.isclose(a.reference_share_mean, b.reference_share_mean, rel_tol=1e-12)
         assert math.isclose(a.reference_share_halving, b.reference_share_halving, rel_tol=1e-12, abs_tol=1e-15)
+
+
+def test_empty_and_tagless_input(spark):
+    import datetime as dt
+
+    from fixture_posts import POST_SCHEMA
+
+    from hashtrend.plans.tables import IndicatorTables
+
+    e = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    for rows in ([], [(1, e, "a", "no tags here", 1, 1, None), (2, e, None, None, None, None, None)]):
+        t = IndicatorTables(spark.createDataFrame(rows, POST_SCHEMA), HOURLY)
+        for name in ("indicators", "co_tags", "smoothed", "feature_vectors", "recurrent_vectors"):
+            assert getattr(t, name).count() == 0, name
