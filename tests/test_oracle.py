@@ -33,3 +33,20 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() > 0
     assert df.columns[:2] == ["w_end", "tag"]
+
+
+SPARK_TO_DUCK = {
+    "LongType()": "BIGINT",
+    "IntegerType()": "INTEGER",
+    "StringType()": "VARCHAR",
+    "DoubleType()": "DOUBLE",
+    "TimestampNTZType()": "TIMESTAMP",
+}
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_column_types_match_oracle(spark, con, name):
+    sp = {f.name: SPARK_TO_DUCK.get(str(f.dataType), str(f.dataType)) for f in entry.queries()[name](spark, SF).schema.fields}
+    rel = con.sql(entry.oracle_sql()[name])
+    dk = {c: str(t) for c, t in zip(rel.columns, rel.types)}
+    assert sp == dk
