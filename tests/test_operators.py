@@ -189,3 +189,15 @@ def test_empty_and_tagless_input(spark):
         t = IndicatorTables(spark.createDataFrame(rows, POST_SCHEMA), HOURLY)
         for name in ("indicators", "co_tags", "smoothed", "feature_vectors", "recurrent_vectors"):
             assert getattr(t, name).count() == 0, name
+
+
+def test_validation_errors(spark):
+    from hashtrend.operators import reference_share
+
+    bad = spark.createDataFrame([(1, "x", 1.0, 2.0)], "w_idx long, tag string, a double, b double")
+    with pytest.raises(ValueError, match="exactly one value column"):
+        assemble_vectors([bad])
+    w = Windows.from_durations("2 seconds", "32 seconds", "512 seconds", "2 minutes", "10 seconds", half="8 seconds")
+    assert (w.analytic, w.half) == (16, 4)
+    with pytest.raises(ValueError, match="halving"):
+        reference_share(bad.select("w_idx", "tag", F.col("a").alias("percent_share")), HOURLY, halving="pairwise")
