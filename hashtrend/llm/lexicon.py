@@ -125,13 +125,14 @@ def ask(chunks: DataFrame, answer: Callable[[list[bytes], np.ndarray | None], np
 
     ``answers`` packs one ``dtype`` value per word the chunk sent to that bucket, in the order sent.  ``answer`` may
     return a list of byte strings instead; they come back joined, with their lengths in front (``unpack_strings``).
+    With ``report``, each bucket adds a row with ``chunk`` -1 and the bytes that ``report(words, sums)`` returns.
     """
     sent = chunks.select("chunk", F.explode("parts").alias("p")).select("p.bucket", "chunk", "p.words", "p.weights")
 
     def look(key, table):
         words, sums, where = merge_words(table)
         values = answer(words, sums)
-        chunk, blob = [], []
+        chunk, blob = ([-1], [report(words, sums)]) if report else ([], [])
         for c, which in zip(table["chunk"].to_pylist(), where, strict=True):
             chunk.append(c)
             blob.append(pack(np.asarray(values, dtype)[which]) if dtype is not None else pack_strings([values[i] for i in which.tolist()]))
@@ -175,15 +176,9 @@ def with_answers(chunks: DataFrame, answers: DataFrame, finish: Callable[[dict,
         order = np.argsort(right["bucket"].to_numpy()) if right.num_rows else []
         blobs = right["answers"].to_pylist()
         tables = [finish(row, [blobs[i] for i in order]) for row in left.to_pylist()]
-        return pa.concat_tables(tables) if tables else None
+        return pa.concat_tables(tables) if tables else empty_table(schema)
 
-    empty = None
-
-    def safe(key, left, right):
-        out = meet(key, left, right)
-        return out if out is not None else empty_table(schema)
-
-    return chunks.select(*columns).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(safe, schema)
+    return chunks.select(*columns).groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(meet, schema)
 
 
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary(), "string": pa.string()}
