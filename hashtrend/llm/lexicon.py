@@ -90,7 +90,7 @@ def word_chunks(docs: DataFrame, fold: bool = False, chunk_bytes: int = CHUNK_BY
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 32
+        number = TaskContext.get().partitionId() << 16
         held: list[pa.RecordBatch] = []
         size = 0
 
