@@ -8,6 +8,7 @@ join sides are plain exchanges, so a hub with very many neighbours is split by S
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +43,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Within a task: edges (node, smallest node of its component) that connect what the edges (u, v) connect."""
+    nodes, at = np.unique(np.concatenate((u, v)), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        new = root.copy()
+        np.minimum.at(new, root[a], least)
+        np.minimum.at(new, root[b], least)
+        new = new[new]
+        while not np.array_equal(new, new[new]):
+            new = new[new]
+        new = new[root]
+        if np.array_equal(new, root):
+            break
+        root = new
+    keep = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[keep], nodes[root[keep]]
