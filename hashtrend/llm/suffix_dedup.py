@@ -66,12 +66,12 @@ class _Plan:
 
 
 def _ordered(table: pa.Table):
-    """Documents of a group by (doc_id, text): ids and byte arrays."""
+    """Documents of a group by (doc_id, text): ids, byte arrays and their places in the table."""
     data, offsets = tx.flat(table["text"])
     ids = tx.longs(table["doc_id"])
     texts = [data[offsets[i] : offsets[i + 1]] for i in range(len(ids))]
     order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i].tobytes() if len(texts[i]) else b""))
-    return ids[order], [texts[i] for i in order]
+    return ids[order], [texts[i] for i in order], order
 
 
 _SENT = "bucket int, gid int, one binary, many binary, counts binary"
@@ -155,7 +155,7 @@ class _Segments:
     """The distinct segments of a group, in the order that both later steps rebuild."""
 
     def __init__(self, plan: _Plan, table: pa.Table, answers: pa.Table):
-        self.ids, self.texts = _ordered(table)
+        self.ids, self.texts, self.order = _ordered(table)
         keys, hot = [], []
         for bucket, a, b, c in zip(*(answers[n].to_pylist() for n in ("bucket", "a", "b", "c")), strict=True):
             if c is None:
@@ -403,6 +403,7 @@ def _find_repeats(plan: _Plan):
 _ARROW_OUT = pa.schema(
     [
         ("doc_id", pa.int64()),
+        ("text_key", pa.int64()),
         ("n_bytes", pa.int64()),
         ("n_removed", pa.int64()),
         ("span_starts", pa.list_(pa.int64())),
@@ -410,7 +411,7 @@ _ARROW_OUT = pa.schema(
         ("kept", pa.binary()),
     ]
 )
-_OUT = "doc_id long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary"
+_OUT = "doc_id long, text_key long, n_bytes long, n_removed long, span_starts array<long>, span_ends array<long>, kept binary"
 
 
 def _cut_documents(plan: _Plan):
@@ -419,6 +420,7 @@ def _cut_documents(plan: _Plan):
         if not table.num_rows:
             return _table(out, _ARROW_OUT)
         segs = _Segments(plan, table, answers)
+        keys = table["text_key"].to_pylist()
         sizes = np.array([len(t) for t in segs.texts], np.int64)
         offset = np.cumsum(sizes) - sizes
         mark = np.zeros(int(sizes.sum()) + 1, np.int32)
@@ -459,6 +461,7 @@ def _cut_documents(plan: _Plan):
             out["span_starts"].append(np.flatnonzero(step == 1).tolist())
             out["span_ends"].append(np.flatnonzero(step == -1).tolist())
             out["kept"].append(b[~own].tobytes())
+        out["text_key"] = [keys[i] for i in segs.order]
         return _table(out, _ARROW_OUT)
 
     return cut
@@ -467,11 +470,11 @@ def _cut_documents(plan: _Plan):
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
     """Repeated passages of every document: removed spans and the bytes that stay.
 
-    Returns doc_id, n_bytes, n_removed, span_starts, span_ends (byte offsets of the maximal removed runs, ends
+    Returns doc_id, text_key (xxhash64 of the text), n_bytes, n_removed, span_starts, span_ends (byte offsets of the maximal removed runs, ends
     exclusive) and kept (the remaining bytes).
     """
     spark = docs.sparkSession
-    docs = documents_of(docs)
+    docs = documents_of(docs).withColumn("text_key", F.xxhash64("text"))
     groups = group_count(docs)
     plan = _Plan(length, max(groups, shuffle_partitions(spark)), hot_documents)
     rows = with_group(docs, groups)
@@ -487,6 +490,25 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT
     return by_gid(rows).cogroup(by_gid(shared.unionByName(holders))).applyInArrow(_cut_documents(plan), _OUT)
 
 
+def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The documents with their repeated passages cut out of ``text`` (a character cut in part goes whole) and their
+    new ``n_chars``; all other columns and all rows stay."""
+
+    def readable(batches):
+        for batch in batches:
+            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("text_key"), pa.array(texts, pa.string())], ["cut_id", "cut_key", "cut_text"]
+            )
+
+    cut = suffix_dedup(docs, length).filter("n_removed > 0").select("doc_id", "text_key", "kept")
+    cut = cut.mapInArrow(readable, "cut_id long, cut_key long, cut_text string").dropDuplicates(["cut_id", "cut_key"])
+    text = F.coalesce("cut_text", "text")
+    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
+    same = docs["doc_id"].eqNullSafe(cut["cut_id"]) & (F.xxhash64(docs["text"]) == cut["cut_key"])
+    return docs.join(cut, same, "left").withColumns(new).select(*docs.columns)
+
+
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return suffix_dedup(docs).select(
