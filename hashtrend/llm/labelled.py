@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hashtrend.llm.groups import documents_of
 
-PIECE_BYTES = 8 << 20
+PIECE_BYTES = 4 << 20
 
 
 def crc_remainder(divisor: int) -> F.Column:

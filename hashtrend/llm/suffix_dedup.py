@@ -31,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.groups import documents_of, group_count, pack, shuffle_partitions, unpack, unpack_bytes, with_group
+from hashtrend.llm.groups import documents_of, group_count, pack, unpack, unpack_bytes, with_group
 
 LENGTH = 50
 HOT_DOCUMENTS = 20_000
 _RUN = 256  # windows in a segment at most; longer runs (periodic text) become several segments
+_SPOTS = 1 << 20  # windows that repeat groups cover, handled at a time
 _LOW = tx.U64(0xFFFFFFFF)
 
 
@@ -170,7 +171,7 @@ class _Segments:
         self.seg: list[bytes] = []  # distinct segments
         self.bucket: list[int] = []
         self.holder: list[int] = []  # smallest doc_id
-        doc, start, which = [], [], []
+        docs, starts, which = [], [], []
         L = plan.length
         for d, b in enumerate(self.texts):
             if len(b) < L or not len(known):
@@ -180,26 +181,31 @@ class _Segments:
             full = (h & _LOW) | (bucket.astype(np.uint64) << tx.U64(32))
             at = np.minimum(np.searchsorted(known, full), len(known) - 1)
             hit = np.flatnonzero(known[at] == full)
-            raw = b.tobytes()
-            for i, burning in zip(hit.tolist(), is_hot[at[hit]].tolist(), strict=True):
-                first, count = int(s[i]), int(n[i])
-                if burning:
-                    own = tx.byte_grams(b[first : first + count + L - 1], L)
-                    spots = [(first + j, first + j + L, int(x)) for j, x in enumerate((own % tx.U64(plan.buckets)).tolist())]
-                else:
-                    spots = [(first, first + count + L - 1, int(bucket[i]))]
-                for lo, hi, k in spots:
-                    piece = raw[lo:hi]
-                    x = index.get(piece)
-                    if x is None:
-                        x = index[piece] = len(self.seg)
-                        self.seg.append(piece)
-                        self.bucket.append(k)
-                        self.holder.append(self.ids[d])
-                    doc.append(d)
-                    start.append(lo)
-                    which.append(x)
-        self.doc, self.start, self.which = (np.array(x, np.int64) for x in (doc, start, which))
+            if not len(hit):
+                continue
+            lo, hi, where = s[hit], s[hit] + n[hit] + L - 1, bucket[hit]
+            burning = is_hot[at[hit]] == 1
+            if burning.any():  # windows one by one, dealt by their own hash
+                cold = ~burning
+                single = tx.ranges(lo[burning], n[hit][burning])
+                lo = np.concatenate((lo[cold], single))
+                hi = np.concatenate((hi[cold], single + L))
+                own = tx.byte_grams_at(b, L, single) % tx.U64(plan.buckets)
+                where = np.concatenate((where[cold], own.astype(np.int64)))
+            raw, mine = b.tobytes(), self.ids[d]
+            own = [raw[i:j] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
+            for piece, k in zip(own, where.tolist(), strict=True):
+                if piece not in index:
+                    index[piece] = len(index)
+                    self.bucket.append(k)
+                    self.holder.append(mine)
+            which.append([index[piece] for piece in own])
+            starts.append(lo)
+            docs.append(np.full(len(lo), d))
+        self.seg = list(index)
+        none = [np.zeros(0, np.int64)]
+        self.doc, self.start = np.concatenate(docs or none), np.concatenate(starts or none)
+        self.which = np.array([x for w in which for x in w], np.int64)
 
     def by_bucket(self):
         """(bucket, indices of its segments) in a fixed order."""
@@ -234,7 +240,7 @@ def _send_segments(plan: _Plan):
 
 
 def interval_tree(lcp: np.ndarray, change: np.ndarray, least: int):
-    """Left-diverse intervals (lcp, first, last) of one run of a suffix array.
+    """Left-diverse intervals (lcp, first, last, lcp of the interval around it) of one run of a suffix array.
 
     ``lcp[i]`` belongs to neighbours i-1 and i (``lcp[0]`` unused); ``change`` counts, up to each place, how often the
     left byte differs from its neighbour's, so an interval is left-diverse when the count grows inside it.
@@ -248,7 +254,7 @@ def interval_tree(lcp: np.ndarray, change: np.ndarray, least: int):
         while stack and stack[-1][0] > now:
             high, first = stack.pop()
             if high >= least and left[i - 1] > left[first]:
-                found.append((high, first, i - 1))
+                found.append((high, first, i - 1, max(now, stack[-1][0] if stack else 0, least - 1)))
         if now and (not stack or stack[-1][0] < now):
             stack.append((now, first))
     return found
@@ -257,8 +263,9 @@ def interval_tree(lcp: np.ndarray, change: np.ndarray, least: int):
 def maximal_repeats(segments: list[bytes], length: int, words: int | None = None):
     """Maximal repeat groups of at least ``length`` bytes in a list of distinct segments.
 
-    Returns (lens, sizes, members): for each group its length, its number of occurrences, and the concatenated
-    occurrences as places in the segments joined by one 0xFF byte each.
+    Returns (lens, around, sizes, members): for each group its length, the length of the repeat group that encloses it
+    (length - 1 if none does), its number of occurrences, and the concatenated occurrences as places in the segments
+    joined by one 0xFF byte each.
     """
     words = words or length // 8 + 1
     longest = max(map(len, segments), default=0)
@@ -271,29 +278,31 @@ def maximal_repeats(segments: list[bytes], length: int, words: int | None = None
     end = np.repeat(begin + seg_len, windows)
     none = np.zeros(0, np.int64)
     if len(pos) < 2:
-        return none, none, none
+        return none, none, none, none
     # windows that occur once cannot be part of a repeat
-    print_ = tx.byte_grams(b, length)[pos]
-    order = np.argsort(print_)
-    same = print_[order][1:] == print_[order][:-1]
+    prints = tx.byte_grams_at(b, length, pos)
+    order = np.argsort(prints)
+    same = prints[order][1:] == prints[order][:-1]
     keep = np.zeros(len(pos), bool)
     keep[order[1:][same]] = True
     keep[order[:-1][same]] = True
     pos, end = pos[keep], end[keep]
     if len(pos) < 2:
-        return none, none, none
-    word = np.empty(len(b) - 7, np.uint64)
-    for j in range(8):
-        m = (len(b) - j) // 8
-        word[j::8] = np.frombuffer(joined, ">u8", m, j)[: len(word[j::8])]
-    order = np.lexsort([word[pos + 8 * w] for w in range(words - 1, -1, -1)])
+        return none, none, none, none
+    eight = np.lib.stride_tricks.sliding_window_view(b, 8)
+
+    def word(places: np.ndarray) -> np.ndarray:
+        """The 8 bytes at each place as a number that sorts like them."""
+        return eight[places].reshape(-1).view(">u8").astype(np.uint64)
+
+    order = np.lexsort([word(pos + 8 * w) for w in range(words - 1, -1, -1)])
     sa, end = pos[order], end[order]
     # longest common prefix of neighbours; places that still agree are sorted by their next words
     lcp = np.zeros(len(sa), np.int64)
     alive, done = np.arange(1, len(sa)), 0
     while True:
         for w in range(done, done + words):
-            x = word[sa[alive] + 8 * w] ^ word[sa[alive - 1] + 8 * w]
+            x = word(sa[alive] + 8 * w) ^ word(sa[alive - 1] + 8 * w)
             equal = x == 0
             rest = x[~equal]
             high = np.zeros(len(rest), np.int64)
@@ -313,7 +322,7 @@ def maximal_repeats(segments: list[bytes], length: int, words: int | None = None
         at = np.flatnonzero(tied)
         head = np.ones(len(sa), bool)
         head[alive] = False
-        keys = [word[sa[at] + 8 * w] for w in range(done + words - 1, done - 1, -1)]
+        keys = [word(sa[at] + 8 * w) for w in range(done + words - 1, done - 1, -1)]
         order = at[np.lexsort([*keys, np.cumsum(head)[at]])]
         sa[at], end[at] = sa[order], end[order]
     lcp[1:] = np.minimum(lcp[1:], np.minimum(end[1:] - sa[1:], end[:-1] - sa[:-1]))
@@ -327,17 +336,17 @@ def maximal_repeats(segments: list[bytes], length: int, words: int | None = None
     runs = np.flatnonzero(lcp == 0)
     stops = np.concatenate((runs[1:], [len(sa)]))
     diverse = (stops - runs > 1) & (change[stops - 1] > change[runs])
-    groups: list[tuple[int, int, int]] = []
+    groups: list[tuple[int, int, int, int]] = []
     for lo, hi in zip(runs[diverse].tolist(), stops[diverse].tolist(), strict=True):
         if hi - lo == 2:
-            groups.append((int(lcp[lo + 1]), lo, lo + 1))
+            groups.append((int(lcp[lo + 1]), lo, lo + 1, length - 1))
         else:
-            groups += [(n, lo + a, lo + z) for n, a, z in interval_tree(lcp[lo:hi], change[lo:hi], length)]
+            groups += [(n, lo + a, lo + z, m) for n, a, z, m in interval_tree(lcp[lo:hi], change[lo:hi], length)]
     if not groups:
-        return none, none, none
-    lens, first, last = np.array(groups, np.int64).T
+        return none, none, none, none
+    lens, first, last, around = np.array(groups, np.int64).T
     sizes = last - first + 1
-    return lens, sizes, sa[tx.ranges(first, sizes)]
+    return lens, around, sizes, sa[tx.ranges(first, sizes)]
 
 
 def _find_repeats(plan: _Plan):
@@ -371,14 +380,22 @@ def _find_repeats(plan: _Plan):
         windows = seg_len - L + 1
         first_window = np.cumsum(windows) - windows
         least = np.repeat(np.array(holder, np.int64), windows)
-        lens, sizes, members = maximal_repeats(segments, L, plan.words)
-        if len(members):
-            seg = np.searchsorted(begin, members, side="right") - 1
-            group_first = np.cumsum(sizes) - sizes
-            smallest = np.minimum.reduceat(np.array(holder, np.int64)[seg], group_first)
-            covered = np.repeat(lens, sizes) - L + 1
-            spots = tx.ranges(first_window[seg] + members - begin[seg], covered)
-            np.minimum.at(least, spots, np.repeat(np.repeat(smallest, sizes), covered))
+        lens, around, sizes, members = maximal_repeats(segments, L, plan.words)
+        holder = np.array(holder, np.int64)
+        group_first = np.cumsum(sizes) - sizes
+        # the enclosing group holds all occurrences of the inner one: only windows beyond it are new
+        work = np.cumsum(sizes * (lens - around))
+        lo = 0
+        while lo < len(lens):  # a bounded number of windows at a time
+            hi = max(lo + 1, int(np.searchsorted(work, (work[lo - 1] if lo else 0) + _SPOTS, side="right")))
+            n = sizes[lo:hi]
+            part = members[group_first[lo] : group_first[hi - 1] + sizes[hi - 1]]
+            seg = np.searchsorted(begin, part, side="right") - 1
+            smallest = np.minimum.reduceat(holder[seg], group_first[lo:hi] - group_first[lo])
+            covered = np.repeat((lens - around)[lo:hi], n)
+            spots = tx.ranges(first_window[seg] + part - begin[seg] + np.repeat(around[lo:hi] - L + 1, n), covered)
+            np.minimum.at(least, spots, np.repeat(np.repeat(smallest, n), covered))
+            lo = hi
         # run lengths that do not cross segments
         cut = np.ones(len(least), bool)
         cut[1:] = least[1:] != least[:-1]
@@ -473,10 +490,9 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT
     Returns doc_id, text_key (xxhash64 of the text), n_bytes, n_removed, span_starts, span_ends (byte offsets of the maximal removed runs, ends
     exclusive) and kept (the remaining bytes).
     """
-    spark = docs.sparkSession
     docs = documents_of(docs).withColumn("text_key", F.xxhash64("text"))
     groups = group_count(docs)
-    plan = _Plan(length, max(groups, shuffle_partitions(spark)), hot_documents)
+    plan = _Plan(length, 2 * groups, hot_documents)
     rows = with_group(docs, groups)
     by_gid = lambda df: df.groupBy("gid")
     shared = by_gid(rows).applyInArrow(_send_anchors(plan), _SENT).groupBy("bucket").applyInArrow(_shared_anchors(plan), _BACK)

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 _P = 0x9E3779B97F4A7C15
-_MASK = (1 << 64) - 1
+_STRIP = 1 << 20
 
 # Byte classes of the two word definitions in use.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -111,17 +111,24 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     while size < lens.max():
         size *= 4
     keys = _position_keys(size)
-    at = np.cumsum(lens) - lens
-    inside = np.arange(lens.sum(), dtype=np.int64)
-    inside -= np.repeat(at, lens)
-    where = inside + np.repeat(starts, lens)
-    with np.errstate(over="ignore"):
-        value = data[where].astype(np.uint64)
-        value += U64(1)
-        value *= keys[inside]
-        h = np.add.reduceat(value, at)
-        h += lens.astype(np.uint64) * U64(0x2545F4914F6CDD1D)
-        return mix(h)
+    out = np.empty(len(starts), np.uint64)
+    total = np.concatenate(([0], np.cumsum(lens)))
+    lo = 0
+    while lo < len(starts):  # a bounded number of bytes at a time
+        hi = max(lo + 1, int(np.searchsorted(total, total[lo] + _STRIP, side="right")) - 1)
+        at = total[lo:hi] - total[lo]
+        inside = np.arange(total[hi] - total[lo], dtype=np.int64)
+        inside -= np.repeat(at, lens[lo:hi])
+        where = inside + np.repeat(starts[lo:hi], lens[lo:hi])
+        with np.errstate(over="ignore"):
+            value = data[where].astype(np.uint64)
+            value += U64(1)
+            value *= keys[inside]
+            h = np.add.reduceat(value, at)
+            h += lens[lo:hi].astype(np.uint64) * U64(0x2545F4914F6CDD1D)
+            out[lo:hi] = mix(h)
+        lo = hi
+    return out
 
 
 def shingles(word_hash: np.ndarray, size: int) -> np.ndarray:
@@ -161,6 +168,16 @@ def byte_grams(b: np.ndarray, k: int) -> np.ndarray:
         return mix(z)
 
 
+def byte_grams_at(b: np.ndarray, k: int, pos: np.ndarray) -> np.ndarray:
+    """Hashes of the k-byte substrings at the given ascending places, a bounded number of bytes at a time."""
+    out = np.empty(len(pos), np.uint64)
+    for lo in range(0, len(b), _STRIP):
+        i, j = np.searchsorted(pos, (lo, lo + _STRIP))
+        if j > i:
+            out[i:j] = byte_grams(b[lo : lo + _STRIP + k - 1], k)[pos[i:j] - lo]
+    return out
+
+
 def sliding_min(z: np.ndarray, width: int) -> np.ndarray:
     """Minimum of every ``width`` consecutive values."""
     span, m = 1, z

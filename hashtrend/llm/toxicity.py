@@ -74,9 +74,10 @@ def units(column):
     symbol = _SYMBOL[data]
     letter = np.flatnonzero(symbol)
     word = np.searchsorted(starts, letter, side="right") - 1
-    inside, at, count = np.unique(word, return_index=True, return_counts=True) if len(letter) else (none, none, none)
-    if not len(inside):
+    if not len(letter):
         return none, np.zeros(1, np.int64), none, none, n
+    at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+    inside, count = word[at], np.diff(np.concatenate((at, [len(word)])))
     doc = np.searchsorted(first, inside, side="right") - 1
     # neighbouring words of one letter are one unit
     joins = np.zeros(len(inside), bool)
