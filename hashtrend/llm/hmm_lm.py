@@ -58,41 +58,43 @@ def _report(top: int, tails: int):
         mass = np.zeros(tails)
         for i in known.tolist():
             mass[_tail_class(words[i], tails)] += sums[i] + 0.5
-        best = known[np.argsort(-sums[known], kind="stable")]
-        if len(best) > top:  # all ties of the last place
-            best = best[sums[best] >= sums[best[top - 1]]]
+        best = sorted(known.tolist(), key=lambda i: (-sums[i], words[i]))[:top]
         head = np.array([len(known), sums.sum(), (sums == 1).sum()], np.float64)
         numbers = np.concatenate((head, mass, sums[best].astype(np.float64)))
-        return pack_strings([numbers.tobytes(), *[words[i] for i in best.tolist()]])
+        return pack_strings([numbers.tobytes(), *[words[i] for i in best]])
 
     return report
 
 
+def _open_report(blob: bytes, tails: int):
+    """(totals and class masses, [(word, count)]) of a report."""
+    lens, raw = unpack_strings(blob)
+    numbers = np.frombuffer(raw[: lens[0]], np.float64)
+    at = np.concatenate((lens[:1], lens[0] + np.cumsum(lens[1:])))
+    names = [raw[at[i] : at[i + 1]] for i in range(len(lens) - 1)]
+    return numbers[: 3 + tails], list(zip(names, numbers[3 + tails :].tolist(), strict=True))
+
+
+def _merge_reports(blobs: list[bytes], top: int, tails: int):
+    opened = [_open_report(b, tails) for b in blobs]
+    best = sorted((pair for _, words in opened for pair in words), key=lambda p: (-p[1], p[0]))[:top]
+    return np.sum([n for n, _ in opened], axis=0), best
+
+
 def _statistics(answers: DataFrame, top: int, tails: int):
-    """(distinct, total, once, class masses, [(word, count)] of the commonest) over all buckets."""
+    """(distinct, total, once, class masses, [(word, count)] of the commonest) over all buckets.
 
-    def unfold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for blob in batch.column("answers").to_pylist():
-                lens, raw = unpack_strings(blob)
-                numbers = np.frombuffer(raw[: lens[0]], np.float64)
-                at = np.concatenate((lens[:1], lens[0] + np.cumsum(lens[1:])))
-                names = [raw[at[i] : at[i + 1]] for i in range(len(lens) - 1)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([*range(3 + tails), *[-1] * len(names)], pa.int32()),
-                        pa.array([*[None] * (3 + tails), *names], pa.binary()),
-                        pa.array(numbers),
-                    ],
-                    ["k", "word", "x"],
-                )
+    Reports merge to a fixed number of rows, of bounded size each, before they reach the driver.
+    """
+
+    def merge(key, table):
+        numbers, best = _merge_reports(table["answers"].to_pylist(), top, tails)
+        numbers = np.concatenate((numbers, [n for _, n in best]))
+        return pa.table({"answers": pa.array([pack_strings([numbers.tobytes(), *[w for w, _ in best]])], pa.binary())})
 
-    rows = answers.filter("chunk = -1").select("answers").mapInArrow(unfold, "k int, word binary, x double")
-    totals = np.zeros(3 + tails)
-    for r in rows.filter("k >= 0").groupBy("k").agg(F.sum("x").alias("x")).collect():
-        totals[r.k] = r.x
-    best = rows.filter("k < 0").orderBy(F.desc("x"), "word").limit(top).collect()
-    return totals[0], totals[1], totals[2], totals[3:], [(bytes(r.word), r.x) for r in best]
+    rows = answers.filter("chunk = -1").select((F.col("bucket") % _SUMS).alias("s"), "answers").groupBy("s").applyInArrow(merge, "answers binary")
+    numbers, best = _merge_reports([bytes(r.answers) for r in rows.collect()] or [_report(top, tails)([], np.zeros(0, np.int64))], top, tails)
+    return numbers[0], numbers[1], numbers[2], numbers[3:].copy(), best
 
 
 class Model:
