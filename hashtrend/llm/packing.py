@@ -39,15 +39,23 @@ K1, B = 1.2, 0.75
 _VOCABULARY = 1 << 16
 
 
+def document_terms(ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, token id, count) of each document's distinct ids, in order."""
+    ids = np.concatenate([np.sort(ids[a:b], kind="stable") for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)] or [ids])
+    new = np.ones(len(ids), bool)
+    new[1:] = ids[1:] != ids[:-1]
+    new[first[:-1]] = True  # every document holds at least its closing id
+    at = np.flatnonzero(new)
+    return np.searchsorted(first, at, side="right") - 1, ids[at].astype(np.int64), np.diff(np.concatenate((at, [len(ids)])))
+
+
 class Shard:
     """Inverted index of token ids over one shard's documents."""
 
     def __init__(self, ids: np.ndarray, first: np.ndarray, idf: np.ndarray, mean_length: float):
         lens = np.diff(first)
         self.n = len(lens)
-        pair = np.repeat(np.arange(self.n, dtype=np.int64), lens) * _VOCABULARY + ids
-        pair, count = np.unique(pair, return_counts=True)
-        doc, term = pair // _VOCABULARY, pair % _VOCABULARY
+        doc, term, count = document_terms(ids, first)
         self.by_doc = np.searchsorted(doc, np.arange(self.n + 1))
         self.doc_terms = term
         self.tell = idf[term] * count  # how much a term says about its document
@@ -168,8 +176,7 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
         body[stop - 1] = False
         ids[body] = pool[tx.ranges(begin[sequence], word_len)]
         ids[stop - 1] = CLOSING_ID
-        pair = np.unique(np.repeat(np.arange(len(lens), dtype=np.int64), lens) * _VOCABULARY + ids)
-        frequency = np.bincount(pair % _VOCABULARY, minlength=_VOCABULARY)
+        frequency = np.bincount(document_terms(ids, np.concatenate(([0], stop)))[1], minlength=_VOCABULARY)
         values = {"doc_ids": row["doc_ids"], "lens": pack(lens), "ids": pack(ids), "terms": pack(frequency.astype(np.uint32))}
         return pa.table({"chunk": pa.array([row["chunk"]], pa.int64()), **{n: pa.array([v], pa.binary()) for n, v in values.items()}})
 
