@@ -74,10 +74,8 @@ class Windows:
         def slides(name: str, text: str) -> int:
             us = duration_us(text)
             if us <= 0 or us % b:
-                raise ValueError(
-                    f"The {name} duration ({text}) must be a multiple of the "
-                    f"slide duration of the parent stream ({batch})"
-                )
+                nearest = max(1, round(us / b)) * b / 1_000_000
+                raise ValueError(f"{name} = {text!r} is no positive multiple of batch = {batch!r}; nearest: {nearest:g} seconds")
             return us // b
 
         a = slides("analytic", analytic)

@@ -38,8 +38,7 @@ def occurrences(tagged: DataFrame) -> DataFrame:
     )
 
 
-# Posts with more distinct tags than this have their pair generation split
-# into chunks of this many neighbours, spread over tasks (tweets stay far below).
+# Neighbours per row while pairs are generated (tweets stay far below).
 BIG_POST_TAGS = 256
 
 
@@ -49,27 +48,18 @@ def slot_pairs(tagged: DataFrame, big_post_tags: int = BIG_POST_TAGS) -> DataFra
     the edges of its co-tag clique; deduplicating per slot right away lets the
     map-side partial aggregate shrink them before any shuffle.
 
-    A post with ``k`` distinct tags yields ``k**2`` pairs.  Posts above
-    ``big_post_tags`` are salted: their neighbour list is cut into chunks of
-    ``big_post_tags``, one row per chunk, and those rows are hash-spread over
-    the shuffle partitions before the second explode, so one huge text is
-    paired by many tasks instead of one.  Other posts take the shuffle-free
-    path.
+    A post with ``k`` distinct tags yields ``k**2`` pairs.  Every post's
+    neighbour list is cut into chunks of ``big_post_tags`` (one chunk for all
+    but huge texts), so no row holds more than that many neighbours.
     """
     K = big_post_tags
     posts = tagged.select("slot", F.array_distinct("tags").alias("tags")).where(F.size("tags") > 0)
-    k = F.size("tags")
-    n_chunks = F.call_function("div", k + F.lit(K - 1), F.lit(K))
-    small = posts.where(k <= K).select("slot", "tags", F.col("tags").alias("nbs"))
-    big = (
-        posts.where(k > K)
-        .select("slot", "tags", F.explode(F.sequence(F.lit(0), n_chunks - 1)).alias("c"))
-        .repartition(int(tagged.sparkSession.conf.get("spark.sql.shuffle.partitions")), "slot", "c")
-        .select("slot", "tags", F.slice("tags", F.col("c") * K + 1, F.lit(K)).alias("nbs"))
+    last_chunk = F.call_function("div", F.size("tags") - F.lit(1), F.lit(K))
+    chunked = posts.select("slot", "tags", F.explode(F.sequence(F.lit(0).cast("long"), last_chunk)).alias("c")).select(
+        "slot", "tags", F.slice("tags", (F.col("c") * K + 1).cast("int"), F.lit(K)).alias("nbs")
     )
     return (
-        small.unionByName(big)
-        .select("slot", F.explode("tags").alias("tag"), "nbs")
+        chunked.select("slot", F.explode("tags").alias("tag"), "nbs")
         .select("slot", "tag", F.explode("nbs").alias("neighbour"))
         .distinct()
     )

@@ -56,13 +56,15 @@ def reference_share(
     not bit for bit, and halving folds of simple fractions often land exactly
     on a decimal rounding tie, so it is opt-in for very large runs.  Chunks
     stay under ``MAX_PREFIX_ROWS`` rows so the powers of two are finite;
-    longer spans always fold.
+    longer spans are refused.
     """
     if halving not in ("fold", "closed_form"):
         raise ValueError(f"unknown halving mode {halving!r}")
     span = win.reference
     prefix_chunk = MAX_PREFIX_ROWS - (span - 1)
-    if halving == "fold" or chunk is not None or prefix_chunk < span:
+    if halving == "closed_form" and (chunk is not None or prefix_chunk < span):
+        raise ValueError(f"the closed form takes no chunk and a reference of at most {MAX_PREFIX_ROWS // 2} slides, not {span}")
+    if halving == "fold":
         return _reference_share_collected(share, win, chunk=chunk)
 
     x = F.col("percent_share")

@@ -22,7 +22,7 @@ def assemble_vectors(metrics: list[DataFrame], key: tuple[str, ...] = ("w_idx",
     cost is one shuffle whatever N is.
     """
     if not metrics:
-        raise ValueError("List of metric frames to combine is empty")
+        raise ValueError("assemble_vectors got an empty list; pass at least one metric frame")
     tagged = None
     for i, m in enumerate(metrics):
         value_col = [c for c in m.columns if c not in key]
@@ -34,6 +34,13 @@ def assemble_vectors(metrics: list[DataFrame], key: tuple[str, ...] = ("w_idx",
     return tagged.groupBy(*key).agg(zero_filled(slots).alias("features"))
 
 
+def ml_vectors(frame: DataFrame, column: str = "features") -> DataFrame:
+    """The same rows with ``column`` as a Spark ML vector, ready for ``pyspark.ml`` estimators."""
+    from pyspark.ml.functions import array_to_vector
+
+    return frame.withColumn(column, array_to_vector(column))
+
+
 def feature_vectors(ind: DataFrame, win: Windows) -> DataFrame:
     """V1 over (volume, unique users, activeness, smoothed first-degree).
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Confs the engine expects.  AQE is on so that joins against small per-window
@@ -37,7 +35,6 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
@@ -49,31 +46,27 @@ def ensure_engine_conf(spark: SparkSession) -> None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's ``spark.checkpoint.dir``; only when unset (tests,
-    local runs) fall back to a fresh scratch folder."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; there is no
+    machine-local fallback."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
-    path = configured or tempfile.mkdtemp(prefix="hashtrend-ckpt-")
-    sc.setCheckpointDir(path)
-    return path
+    if not configured:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(configured)
+    return configured
 
 
 def spread_input(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that has fewer splits than the cluster has cores.
+    """Round-robin the input over ``hashtrend.input.partitions`` partitions.
 
-    A small table stored as one row group is read by a single task, and every
-    branch of a plan would then build posts in that one task.  The split
-    count comes from planning alone (file listing, no job).  Big inputs
-    already have thousands of splits and pass through untouched; when the
-    exchange is added it is identical in every branch, so Spark reuses it.
+    Off unless that conf is set: it helps when the input is a single small row
+    group, which one task would read and expand (the bench's tables).
     """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    partitions = df.sparkSession.conf.get("hashtrend.input.partitions", None)
+    return df.repartition(int(partitions)) if partitions else df
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

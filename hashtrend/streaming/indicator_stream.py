@@ -3,7 +3,8 @@
 One streaming query keeps Spark's event-time state small: posts are folded
 into *panes*, one tumbling slide each, per ``(kind, tag, item)`` where
 ``kind = 'u'`` carries the author of a tag occurrence (with its counts and
-reach) and ``kind = 'n'`` a distinct co-occurring neighbour.  Append mode
+reach), ``kind = 'n'`` a distinct co-occurring neighbour and ``kind = 't'`` is
+the tick of a slide that had any post, tagged or not.  Append mode
 emits a pane once the watermark passes its end, so the state holds about one
 slide of keys, spread by tag and item.
 
@@ -45,7 +46,6 @@ from hashtrend.operators import (
     with_velocity,
 )
 from hashtrend.plans.tables import INDICATOR_COLUMNS
-from hashtrend.session import ensure_checkpoint_dir
 from hashtrend.sources.messages import decode, drop_delete_notices
 
 # Output files are grouped by slide bucket so that history reads prune whole
@@ -83,10 +83,13 @@ def pane_stream(posts: DataFrame, win: Windows, watermark: str = "0 seconds") ->
     keyed = F.concat(
         F.transform("tags", lambda t: F.struct(F.lit("u").alias("kind"), t.alias("tag"))),
         F.transform(distinct_tags, lambda t: F.struct(F.lit("n").alias("kind"), t.alias("tag"))),
+        # one tick per post, tagged or not, so that every slide with any post closes
+        F.array(F.struct(F.lit("t").alias("kind"), F.lit("").alias("tag"))),
     )
     first = tagged.select("ts", "screen_name", "fol", "fri", "rt", distinct_tags.alias("dtags"), F.explode(keyed).alias("k"))
     author = F.col("k.kind") == "u"
-    items = F.when(author, F.array(F.col("screen_name"))).otherwise(F.col("dtags"))
+    tick = F.col("k.kind") == "t"
+    items = F.when(author, F.array(F.col("screen_name"))).when(tick, F.array(F.lit(""))).otherwise(F.col("dtags"))
     rows = first.select(
         "ts",
         F.col("k.kind").alias("kind"),
@@ -150,10 +153,7 @@ class IndicatorSink:
         """
         base = self.path(name)
         b_lo, b_hi = lo // BUCKET_SLIDES, hi // BUCKET_SLIDES
-        if b_hi - b_lo > 64:  # open-ended range: list the table once
-            paths = self._existing(spark, [base])
-        else:
-            paths = self._existing(spark, [f"{base}/bucket={b}" for b in range(b_lo, b_hi + 1)])
+        paths = self._existing(spark, [f"{base}/bucket={b}" for b in range(b_lo, b_hi + 1)])
         if not paths:
             return None
         try:
@@ -164,6 +164,16 @@ class IndicatorSink:
             F.col("bucket").between(b_lo, b_hi) & (F.col("batch_id") <= F.lit(batch_id)) & F.col(idx).between(lo, hi)
         ).drop("bucket", "batch_id")
 
+    def _written(self, spark: SparkSession, name: str, batch_id: int, lo: int, hi: int, schema: T.StructType) -> DataFrame:
+        """What this batch just wrote for the window ends ``lo..hi``: only its own
+        folders are read, and a batch that wrote no row gives an empty frame."""
+        buckets = range(lo // BUCKET_SLIDES, hi // BUCKET_SLIDES + 1)
+        paths = self._existing(spark, [f"{self.path(name)}/bucket={b}/batch_id={batch_id}" for b in buckets])
+        if not paths:
+            return spark.createDataFrame([], schema)
+        # a replay may have left rows of a wider range in the same folders
+        return spark.read.schema(schema).parquet(*paths).where(F.col("w_idx").between(lo, hi))
+
     def _frontier_before(self, spark: SparkSession, batch_id: int) -> int | None:
         if self._done is not None and self._done[0] == batch_id - 1:
             return self._done[1]
@@ -230,41 +240,36 @@ class IndicatorSink:
             share_hist = share_hist.unionByName(hist.select("w_idx", "tag", "percent_share"))
         ref = reference_share(share_hist, win).where(in_range).drop("percent_share")
         ind = delta_share(wide.join(ref, ["w_idx", "tag"])).select("w_idx", "tag", *INDICATOR_COLUMNS)
-        self._write(ind.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "indicators", batch_id)
+        ind = ind.withColumn("w_end", end_timestamp("w_idx", win.batch_us))
+        self._write(ind, "indicators", batch_id)
 
         vec_cols = ["w_idx", "tag", "volume", "unique_users", "activeness", "first_degree"]
-        ind_now = spark.read.parquet(self.path("indicators")).where(
-            (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
-        )
+        ind_now = self._written(spark, "indicators", batch_id, lo, hi, ind.schema)
         ind_all = ind_now.select(*vec_cols)
         ind_hist = self._read(spark, "indicators", batch_id - 1, "w_idx", lo - win.analytic + 1, lo - 1)
         if ind_hist is not None:
             ind_all = ind_all.unionByName(ind_hist.select(*vec_cols))
         fv = feature_vectors(ind_all, win).where(in_range)
-        self._write(fv.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "feature_vectors", batch_id)
+        fv = fv.withColumn("w_end", end_timestamp("w_idx", win.batch_us))
+        self._write(fv, "feature_vectors", batch_id)
 
-        fv_all = spark.read.parquet(self.path("feature_vectors")).where(
-            (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
-        ).select("w_idx", "tag", "features")
+        fv_all = self._written(spark, "feature_vectors", batch_id, lo, hi, fv.schema).select("w_idx", "tag", "features")
         fv_hist = self._read(spark, "feature_vectors", batch_id - 1, "w_idx", lo - win.rec_window + 1, lo - 1)
         if fv_hist is not None:
             fv_all = fv_all.unionByName(fv_hist.select("w_idx", "tag", "features"))
         # Slides with vectors come straight from the stored feature vectors.
         live = fv_all.select("w_idx").distinct()
         rv = recurrent_vectors(fv_all, win, live=live).where(in_range)
-        self._write(rv.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), "recurrent_vectors", batch_id)
+        rv = rv.withColumn("w_end", end_timestamp("w_idx", win.batch_us))
+        self._write(rv, "recurrent_vectors", batch_id)
 
         # Reports read the rows just written (small, bounded per slide).
-        ind_written = spark.read.parquet(self.path("indicators")).where(
-            (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
-        )
+        ind_written = ind_now
         for metric, n in self.reports.items():
             rep = top_n(ind_written, metric, n)
             self._write(rep.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), f"top_{metric}", batch_id)
         if self.vector_report:
-            rv_written = spark.read.parquet(self.path("recurrent_vectors")).where(
-                (F.col("batch_id") == batch_id) & F.col("w_idx").between(lo, hi)
-            )
+            rv_written = self._written(spark, "recurrent_vectors", batch_id, lo, hi, rv.schema)
             newest = (win.rec_window - 1) * win.n_features
             rep = top_n(
                 rv_written.withColumn("newest_volume", F.col("features")[newest]),
@@ -300,8 +305,10 @@ def start_indicator_stream(
 ) -> StreamingQuery:
     """Start the pane aggregate with :class:`IndicatorSink` as its sink.
 
-    ``checkpoint`` defaults to a folder under the session's
-    ``spark.checkpoint.dir`` (shared storage on a cluster).  With ``rocksdb``
+    ``checkpoint`` defaults to ``<out_dir>/_checkpoint``, which a restarted
+    application finds again.  An ``out_dir`` that already holds tables but not
+    that checkpoint belongs to another query and is refused, as its rows would
+    be written a second time under other batch ids.  With ``rocksdb``
     the pane state lives in RocksDB (off-heap, spills to local disk,
     checkpointed to ``checkpoint``) unless the session already names a state
     store provider.
@@ -311,12 +318,14 @@ def start_indicator_stream(
     default_provider = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
     if rocksdb and spark.conf.get(key, default_provider) == default_provider:
         spark.conf.set(key, ROCKSDB_PROVIDER)
-    if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{query_name or 'indicators'}"
+    checkpoint = checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"
+    sink = IndicatorSink(out_dir, win, reports=reports)
+    if sink._existing(spark, [sink.path("progress")]) and not sink._existing(spark, [checkpoint]):
+        raise ValueError(f"{out_dir} holds the tables of a stream whose checkpoint is not {checkpoint}")
     writer = (
         pane_stream(posts, win, watermark)
         .writeStream.outputMode("append")
-        .foreachBatch(IndicatorSink(out_dir, win, reports=reports))
+        .foreachBatch(sink)
         .option("checkpointLocation", checkpoint)
     )
     if query_name:
@@ -330,9 +339,7 @@ def start_bad_record_sink(
     bad: DataFrame, out_dir: str, *, checkpoint: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:
     """Malformed messages to parquet (stateless append)."""
-    spark = bad.sparkSession
-    if checkpoint is None:
-        checkpoint = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/bad_records"
+    checkpoint = checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"
     writer = bad.writeStream.format("parquet").option("path", out_dir).option("checkpointLocation", checkpoint)
     if trigger:
         writer = writer.trigger(**trigger)
@@ -359,6 +366,8 @@ def main(argv: list[str] | None = None) -> None:
     ap.add_argument("--batch", default="2 seconds")
     ap.add_argument("--watermark", default="10 seconds")
     ap.add_argument("--trigger", default="10 seconds", help="processing-time trigger interval")
+    ap.add_argument("--checkpoint", help="checkpoint of the indicator query (default: <out>/_checkpoint)")
+    ap.add_argument("--reports", default="volume=10,delta_share=10", help="indicator=N top-N tables, comma separated")
     ap.add_argument("--master", help="only when not launched by spark-submit")
     args = ap.parse_args(argv)
 
@@ -374,7 +383,10 @@ def main(argv: list[str] | None = None) -> None:
     trigger = {"processingTime": args.trigger}
     out = args.out.rstrip("/")
     start_bad_record_sink(bad, f"{out}/bad_records", trigger=trigger)
-    start_indicator_stream(posts, out, Windows(batch=args.batch), watermark=args.watermark, trigger=trigger)
+    reports = {k: int(n) for k, n in (r.split("=") for r in args.reports.split(",") if r)}
+    start_indicator_stream(
+        posts, out, Windows(batch=args.batch), watermark=args.watermark, trigger=trigger, checkpoint=args.checkpoint, reports=reports
+    )
     spark.streams.awaitAnyTermination()
 
 

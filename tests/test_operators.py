@@ -201,3 +201,14 @@ def test_validation_errors(spark):
     assert (w.analytic, w.half) == (16, 4)
     with pytest.raises(ValueError, match="halving"):
         reference_share(bad.select("w_idx", "tag", F.col("a").alias("percent_share")), HOURLY, halving="pairwise")
+
+
+def test_ml_vectors_fit_an_estimator(spark):
+    from pyspark.ml.clustering import KMeans
+
+    from hashtrend.operators.vectors import ml_vectors
+
+    rows = spark.createDataFrame([(1, [0.0, 0.1]), (2, [0.1, 0.0]), (3, [9.0, 9.1])], "w_idx long, features array<double>")
+    model = KMeans(k=2, seed=1).fit(ml_vectors(rows))
+    labels = {r.w_idx: r.prediction for r in model.transform(ml_vectors(rows)).collect()}
+    assert labels[1] == labels[2] != labels[3]

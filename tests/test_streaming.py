@@ -263,3 +263,66 @@ def test_stream_drops_posts_behind_the_watermark(spark, tmp_path):
     for t, tag, v, *_ in GOLDEN:
         if v is not None:
             assert vol[(t, tag)] == v, (t, tag)
+
+
+def _landing(tmp_path, chunks, first=0):
+    """JSON-lines files of (second, user, text) posts, one per chunk, in landing order."""
+    import json
+
+    inbox = tmp_path / "inbox"
+    inbox.mkdir(exist_ok=True)
+    for k, chunk in enumerate(chunks, first):
+        lines = [
+            json.dumps({"id": 1000 * k + i, "timestamp_ms": str(int(sec * 1000)), "text": text,
+                        "user": {"screen_name": user, "followers_count": 1, "friends_count": 1}})
+            for i, (sec, user, text) in enumerate(chunk)
+        ]
+        path = inbox / f"part-{k:02d}.json"
+        path.write_text("\n".join(lines) + "\n")
+        os.utime(path, (1_000_000 + k, 1_000_000 + k))
+    return str(inbox)
+
+
+def _run(spark, inbox, out):
+    from hashtrend.config import REFERENCE
+
+    posts, _ = posts_stream_from_json_lines(spark, inbox, max_files_per_trigger=1)
+    q = start_indicator_stream(posts, out, REFERENCE, trigger={"availableNow": True}, reports={})
+    q.awaitTermination(600)
+    assert q.exception() is None
+
+
+def test_stream_start_without_vectors_silence_and_restart(spark, tmp_path):
+    """A first batch that closes no recurrent window, then only tagless posts; a second run goes on from the default
+    checkpoint under the output folder and adds no second row for a window and tag."""
+    from hashtrend.config import REFERENCE
+    from hashtrend.sources import decode
+
+    start = [(10 + i, f"u{i % 3}", "#a #b" if i % 2 else "#a") for i in range(8)]
+    silent = [[(s, "u9", "no tags here")] for s in (46, 80, 120)]
+    out = str(tmp_path / "out")
+    inbox = _landing(tmp_path, [start, *silent[:2]])
+    _run(spark, inbox, out)
+    _landing(tmp_path, silent[2:], first=3)
+    _run(spark, inbox, out)
+
+    ind = spark.read.parquet(f"{out}/indicators")
+    assert ind.groupBy("w_idx", "tag").count().where("count > 1").count() == 0
+    frontier = spark.read.parquet(f"{out}/progress").agg(F.max("frontier")).first()[0]
+    assert frontier >= 40  # ticks of tagless posts close the slides up to 80 s
+    raw = spark.read.text(inbox).select(F.lit(None).cast("string").alias("key"), "value")
+    tables = IndicatorTables(decode(raw)[0], REFERENCE)
+    cols = ["w_idx", "tag", *INDICATOR_COLUMNS]
+    batch = tables.indicators.where(F.col("w_idx") <= frontier)
+    assert batch.count() == tables.indicators.count()  # all windows that hold a tag are closed
+    _same(_rounded(ind, cols), _rounded(batch, cols))
+
+
+def test_output_of_another_query_is_refused(spark, tmp_path):
+    from hashtrend.config import REFERENCE
+
+    out = tmp_path / "out"
+    (out / "progress").mkdir(parents=True)
+    posts, _ = posts_stream_from_json_lines(spark, _landing(tmp_path, [[(1, "u", "#a")]]))
+    with pytest.raises(ValueError, match="checkpoint"):
+        start_indicator_stream(posts, str(out), REFERENCE)
