@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 from hashtrend.llm.groups import checkpoint, importable
 
 GROUP_PAGES = 64
+SALTS = 32
 LEAST_PAGES = 5
 CONSTANT = 0.8
 
@@ -286,8 +287,11 @@ def main_texts(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         F.col("html").cast("string").alias("html"),
         F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")).alias("host"),
     )
+    # a host's size meets its pages under SALTS keys, so that a host with very many pages is no hot key
     hosts = checkpoint(rows.groupBy("host").agg(F.count("*").alias("n")))
-    dealt = rows.join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / group_pages)))
+    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
+    dealt = salted.join(hosts, ["host", "salt"]).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / group_pages)))
 
     def work(table):
         table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
