@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from hashtrend.llm import text as tx
 from hashtrend.llm.groups import checkpoint, pack, shuffle_partitions, unpack, unpack_bytes
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 CHUNK_SCHEMA = (
     "chunk long, doc_ids binary, n_bytes binary, n_words binary, marks binary, sequence binary,"

@@ -3,7 +3,7 @@
 1. *Tokens.*  Every distinct pre-token of the corpus is encoded once (``lexicon``); a document's ids are the
    concatenation of its pre-tokens' ids and the closing id.  Document frequencies of token ids cover all documents
    (the vocabulary bounds them) and are summed over chunks.
-2. *Shards.*  A chunk of documents (16 MB of text) is an index shard with an inverted index of token ids, whose BM25
+2. *Shards.*  A chunk of documents (8 MB of text) is an index shard with an inverted index of token ids, whose BM25
    weights use the corpus-wide frequencies and mean length.
 3. *Windows.*  A shard's documents are taken as seeds in order of first unused.  The seed opens a window; its
    ``query_terms`` most telling ids (highest idf x count) query the index, and the best unused neighbours are appended
