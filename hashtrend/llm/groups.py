@@ -68,13 +68,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def pack(array: np.ndarray | bytes, level: int = 1) -> bytes:
-    raw = array if isinstance(array, bytes) else np.ascontiguousarray(array).tobytes()
-    return zstandard.ZstdCompressor(level=level).compress(raw)
+def pack(data: np.ndarray | bytes, level: int = 1) -> bytes:
+    """Compressed bytes, or an array as compressed byte planes (all first bytes, all second bytes, ...)."""
+    if not isinstance(data, bytes):
+        data = np.ascontiguousarray(data)
+        data = data.view(np.uint8).reshape(-1, data.itemsize).T.tobytes()
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def unpack(blob: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype)
+    """The array that ``pack`` got; ``dtype`` is its type."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(dtype).itemsize, -1).T).reshape(-1).view(dtype)
 
 
 def unpack_bytes(blob: bytes) -> bytes:
