@@ -8,6 +8,8 @@ avoid floating-point bucket edges.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,7 @@ def slot_index(ts: Column | str, batch_us: int) -> Column:
 
 
 def end_timestamp(idx: Column | str, batch_us: int) -> Column:
-    """Window end as ``timestamp_ntz`` (UTC wall clock) from its index."""
+    """Window end as ``timestamp_ntz`` (UTC wall clock) from its index, whatever
+    the session's time zone."""
     col = F.col(idx) if isinstance(idx, str) else idx
-    return F.timestamp_micros(col * F.lit(batch_us)).cast("timestamp_ntz")
+    return F.expr("timestamp_ntz '1970-01-01 00:00:00'") + F.lit(timedelta(microseconds=batch_us)) * col

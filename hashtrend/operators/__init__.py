@@ -8,10 +8,12 @@ from hashtrend.operators.indicators import (
     base_from_panes,
     base_indicators,
     first_degree,
+    neighbour_join,
     smoothed_first_degree,
     with_first_degree,
     with_velocity,
 )
+from hashtrend.operators.panes import PANE_COLUMNS, author_rows, fold_panes, neighbour_rows, pane_rows, post_panes
 from hashtrend.operators.report import top_n
 from hashtrend.operators.share import delta_share, percent_share, reference_share, slot_totals, total_volume
 from hashtrend.operators.vectors import (
@@ -26,10 +28,12 @@ from hashtrend.operators.windowing import bounded_range_frame, hop
 
 __all__ = [
     "FEATURES",
+    "PANE_COLUMNS",
     "activeness",
     "assemble_recurrent",
     "assemble_vectors",
     "author_panes",
+    "author_rows",
     "base_from_panes",
     "base_indicators",
     "bounded_range_frame",
@@ -38,9 +42,14 @@ __all__ = [
     "delta_share",
     "feature_vectors",
     "first_degree",
+    "fold_panes",
     "hop",
+    "neighbour_join",
+    "neighbour_rows",
     "occurrences",
+    "pane_rows",
     "percent_share",
+    "post_panes",
     "recurrent_groups",
     "recurrent_vectors",
     "reference_share",

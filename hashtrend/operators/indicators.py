@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.config import Windows
-from hashtrend.operators.windowing import first_cover_offset, hop
+from hashtrend.operators.windowing import hop, with_first_cover
+
+# Parts that the pairs of one (window, neighbour) are cut into for the neighbour join.
+NEIGHBOUR_SALTS = 4
 
 BASE_COLUMNS = [
     "volume",
@@ -46,7 +49,7 @@ def base_indicators(occ: DataFrame, win: Windows) -> DataFrame:
 def base_from_panes(panes: DataFrame, win: Windows) -> DataFrame:
     """Finish :func:`base_indicators` from :func:`author_panes` rows (the
     streaming path stores panes and calls this per micro-batch)."""
-    panes = panes.select("*", first_cover_offset(["tag", "screen_name"], "slot", win.analytic).alias("first_i"))
+    panes = with_first_cover(panes, ["tag", "screen_name"], "slot", win.analytic, "first_i")
     offset = F.col("w_idx") - F.col("slot") - F.lit(1)
     recent = offset < F.lit(win.half)
     counted = F.col("screen_name").isNotNull() & (offset >= F.col("first_i"))
@@ -64,11 +67,12 @@ def base_from_panes(panes: DataFrame, win: Windows) -> DataFrame:
     )
 
 
-def with_velocity(base: DataFrame) -> DataFrame:
+def with_velocity(base: DataFrame, keep_cooling: bool = False) -> DataFrame:
     """A3: ``2 * half - volume``; null where the recent half is empty (the
-    reference's inner join drops those tags)."""
-    v = F.when(F.col("half_volume") > 0, F.lit(2) * F.col("half_volume") - F.col("volume"))
-    return base.withColumn("velocity", v)
+    reference's inner join drops those tags).  ``keep_cooling`` gives such tags
+    their ``-volume`` instead."""
+    v = F.lit(2) * F.col("half_volume") - F.col("volume")
+    return base.withColumn("velocity", v if keep_cooling else F.when(F.col("half_volume") > 0, v))
 
 
 def activeness(pairs: DataFrame) -> DataFrame:
@@ -76,18 +80,30 @@ def activeness(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("w_idx", "tag").agg(F.count(F.lit(1)).alias("activeness"))
 
 
+def neighbour_join(pairs: DataFrame, rows: DataFrame, salts: int = NEIGHBOUR_SALTS) -> DataFrame:
+    """``pairs`` joined with ``rows`` (one per ``(w_idx, neighbour)``).
+
+    The pairs of a neighbour are cut into ``salts`` parts by the other tag, and
+    ``rows`` is copied to each part, so a tag that co-occurs with all others is
+    several keys.
+    """
+    cut = pairs.withColumn("_salt", F.pmod(F.hash("tag"), F.lit(salts)))
+    copies = rows.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    return cut.join(copies, ["w_idx", "neighbour", "_salt"]).drop("_salt")
+
+
 def first_degree(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """A8 and A9 together: each distinct neighbour joined to its volume in the
     same window, then ``count`` and ``sum`` per tag.
 
     Every neighbour occurs in the window, so the inner join keeps every pair.
     The volume side is one row per ``(w_idx, tag)``; AQE turns the join into a
-    broadcast when that side is measured small and otherwise splits skewed
-    (hot-neighbour) partitions of the pair side.
+    broadcast when that side is measured small (see :func:`neighbour_join` for
+    hot neighbours beyond that).
     """
     vol = base.select("w_idx", F.col("tag").alias("neighbour"), F.col("volume").alias("nb_volume"))
     return (
-        pairs.join(vol, ["w_idx", "neighbour"])
+        neighbour_join(pairs, vol)
         .groupBy("w_idx", "tag")
         .agg(F.count(F.lit(1)).alias("activeness"), F.sum("nb_volume").alias("first_degree"))
     )
@@ -104,7 +120,7 @@ def with_first_degree(pairs: DataFrame, base: DataFrame) -> DataFrame:
     """
     metrics = [c for c in base.columns if c not in ("w_idx", "tag")]
     me = F.col("neighbour") == F.col("tag")
-    joined = pairs.join(base.withColumnRenamed("tag", "neighbour"), ["w_idx", "neighbour"])
+    joined = neighbour_join(pairs, base.withColumnRenamed("tag", "neighbour"))
     return joined.groupBy("w_idx", "tag").agg(
         *[F.max(F.when(me, F.col(c))).alias(c) for c in metrics],
         F.count(F.lit(1)).alias("activeness"),

@@ -12,6 +12,9 @@ from hashtrend.operators.windowing import bounded_range_frame, chunk_copies, hop
 # Rows per (tag, chunk) partition stay below this so that 2**row fits a double.
 MAX_PREFIX_ROWS = 1000
 
+# Parts that the tags of one slide are cut into for the join with its total.
+TOTAL_SALTS = 16
+
 
 def total_volume(base: DataFrame) -> DataFrame:
     """A11: one row per window.  A grouped aggregate (partial sums before the
@@ -31,11 +34,14 @@ def slot_totals(occ: DataFrame, win: Windows, weight: str | None = None) -> Data
 
 def percent_share(base: DataFrame, totals: DataFrame | None = None) -> DataFrame:
     """A12: ``volume / total`` as a fraction.  The per-window totals are one
-    row per slide; AQE broadcasts them once measured small."""
+    row per slide; AQE broadcasts them once measured small.  Beyond that, each
+    total is copied to ``TOTAL_SALTS`` parts, so the tags of one slide are that
+    many keys, not one."""
     totals = total_volume(base) if totals is None else totals
-    return base.join(totals, "w_idx").withColumn(
-        "percent_share", F.col("volume").cast("double") / F.col("total_volume")
-    )
+    cut = base.withColumn("_salt", F.pmod(F.hash("tag"), F.lit(TOTAL_SALTS)))
+    copies = totals.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(TOTAL_SALTS - 1))))
+    joined = cut.join(copies, ["w_idx", "_salt"]).drop("_salt")
+    return joined.withColumn("percent_share", F.col("volume").cast("double") / F.col("total_volume"))
 
 
 def reference_share(

@@ -33,8 +33,10 @@ def hop(df: DataFrame, idx_col: str, length: int, *, shift: int = 1, out: str =
     return df.select("*", F.explode(F.sequence(start, start + F.lit(length - 1))).alias(out))
 
 
-def first_cover_offset(keys: list[str], slot_col: str, length: int) -> Column:
-    """Offset of the first window a slot row is the *earliest* member of.
+def with_first_cover(
+    df: DataFrame, keys: list[str], slot_col: str, length: int, out: str, *, chunk: int | None = None
+) -> DataFrame:
+    """Add ``out``: offset of the first window a slot row is the *earliest* member of.
 
     Rows are distinct per ``(keys, slot)``.  With ``prev`` the key's previous
     slot, the windows ending ``slot+1 … prev+length`` already hold ``prev``; the
@@ -42,18 +44,24 @@ def first_cover_offset(keys: list[str], slot_col: str, length: int) -> Column:
     + length - slot`` (offsets as in :func:`hop`).  Copying each row to those
     windows only yields every ``(window, key)`` exactly once, so distinct
     counts over a sliding window become plain sums, with no distinct
-    aggregate and no shuffle on the distinct value.  The lag runs per key over
-    its distinct slots, so a group is bounded by the number of slides, not by
-    rows.
+    aggregate and no shuffle on the distinct value.  Only a ``prev`` within
+    ``length - 1`` slides matters, so the lag runs per key and chunk of slides
+    with that halo: a key that is there in every slide of a long history is
+    ``chunk`` rows a task, not all of them.
     """
-    prev = F.lag(slot_col).over(Window.partitionBy(*keys).orderBy(slot_col))
-    return F.greatest(F.lit(0), F.coalesce(prev + F.lit(length) - F.col(slot_col), F.lit(0))).cast("int")
+    staged = chunk_copies(df, slot_col, length, chunk or default_chunk(length))
+    prev = F.lag(slot_col).over(Window.partitionBy(*keys, "_chunk").orderBy(slot_col))
+    offset = F.greatest(F.lit(0), F.coalesce(prev + F.lit(length) - F.col(slot_col), F.lit(0))).cast("int")
+    placed = staged.select(*df.columns, "_home", "_chunk", offset.alias(out))
+    return placed.where(F.col("_chunk") == F.col("_home")).select(*df.columns, out)
 
 
-def hop_first_cover(df: DataFrame, keys: list[str], slot_col: str, length: int, *, out: str = "w_idx") -> DataFrame:
+def hop_first_cover(
+    df: DataFrame, keys: list[str], slot_col: str, length: int, *, out: str = "w_idx", chunk: int | None = None
+) -> DataFrame:
     """Distinct ``(window, keys)`` from distinct ``(slot, keys)`` rows."""
     cols = df.columns
-    staged = df.select("*", first_cover_offset(keys, slot_col, length).alias("_off"))
+    staged = with_first_cover(df, keys, slot_col, length, "_off", chunk=chunk)
     slot = F.col(slot_col)
     ends = F.sequence(slot + F.lit(1) + F.col("_off"), slot + F.lit(length))
     return staged.select(*cols, F.explode(ends).alias(out))

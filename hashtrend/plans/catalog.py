@@ -130,6 +130,11 @@ def q_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.with_end(t.feature_vectors.select("w_idx", "tag", vector_text().alias("features")))
 
 
+def q_assembled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = tables(spark, sf_dir)
+    return t.with_end(t.assembled_vectors.select("w_idx", "tag", vector_text().alias("features")))
+
+
 def q_recurrent_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = tables(spark, sf_dir)
     return t.with_end(t.recurrent_vectors.select("w_idx", "tag", vector_text().alias("features")))
@@ -188,6 +193,7 @@ def registry() -> dict[str, Query]:
         "volume": _metric("base", "volume"),
         "half_volume": _metric("base", "half_volume"),
         "velocity": _metric("base", "velocity", not_null=True),
+        "velocity_with_cooling": _metric("velocity_with_cooling", "velocity"),
         "unique_users": _metric("base", "unique_users"),
         "follower_reach": _metric("base", "follower_reach"),
         "friend_reach": _metric("base", "friend_reach"),
@@ -201,6 +207,7 @@ def registry() -> dict[str, Query]:
         "delta_share": q_delta_share,
         "indicators": q_indicators,
         "feature_vectors": q_feature_vectors,
+        "assembled_vectors": q_assembled_vectors,
         "recurrent_vectors": q_recurrent_vectors,
         "top_tags": _top("base", "volume"),
         "top_delta_share": q_top_delta_share,

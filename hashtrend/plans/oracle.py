@@ -166,6 +166,7 @@ def statements(win: Windows) -> dict[str, str]:
         "volume": f"SELECT {e} AS w_end, tag, volume FROM base",
         "half_volume": f"SELECT {e} AS w_end, tag, half_volume FROM base",
         "velocity": f"SELECT {e} AS w_end, tag, velocity FROM ind WHERE velocity IS NOT NULL",
+        "velocity_with_cooling": f"SELECT {e} AS w_end, tag, 2 * half_volume - volume AS velocity FROM base",
         "unique_users": f"SELECT {e} AS w_end, tag, unique_users FROM base",
         "follower_reach": f"SELECT {e} AS w_end, tag, follower_reach FROM base",
         "friend_reach": f"SELECT {e} AS w_end, tag, friend_reach FROM base",
@@ -193,6 +194,7 @@ def statements(win: Windows) -> dict[str, str]:
             "(round(delta_share_halving, 6) + 0.0) AS delta_share_halving FROM ind"
         ),
         "feature_vectors": f"SELECT {e} AS w_end, tag, features FROM fv_text",
+        "assembled_vectors": f"SELECT {e} AS w_end, tag, features FROM fv_text",
         "recurrent_vectors": f"SELECT {e} AS w_end, tag, features FROM rec",
         "top_tags": _top(win, "ind", "volume"),
         "top_delta_share": _top(win, "ind", "delta_share", round_to=6, order="round(delta_share, 9)"),

@@ -22,14 +22,20 @@ from hashtrend.functions.time import end_timestamp
 from hashtrend.operators import (
     activeness,
     assemble_recurrent,
+    assemble_vectors,
+    author_rows,
+    base_from_panes,
     base_indicators,
     co_tags,
+    co_tags_from_pairs,
     delta_share,
     feature_vectors,
     first_degree,
     hop,
+    neighbour_rows,
     occurrences,
     percent_share,
+    post_panes,
     recurrent_groups,
     reference_share,
     slot_totals,
@@ -64,16 +70,33 @@ class IndicatorTables:
     feature vectors are reliably checkpointed (``spark.checkpoint.dir``) on
     first use: every table built from them then starts from stored data, both
     for reuse and for recovery after executor loss.  Off by default, as each
-    checkpoint runs a job when the property is first read."""
+    checkpoint runs a job when the property is first read.
 
-    def __init__(self, posts: DataFrame, win: Windows, materialize: bool = False):
+    With ``panes`` (stored :func:`post_panes` rows; see :meth:`from_panes`), or
+    with ``materialize=True``, which checkpoints them, every table derives from
+    the panes and the posts are scanned once.  Otherwise each branch of a plan
+    scans the posts."""
+
+    def __init__(self, posts: DataFrame | None, win: Windows, materialize: bool = False, panes: DataFrame | None = None):
         self.win = win
         self.posts = posts
         self.materialize = materialize
+        self._stored_panes = panes
+
+    @classmethod
+    def from_panes(cls, panes: DataFrame, win: Windows, materialize: bool = False) -> IndicatorTables:
+        return cls(None, win, materialize, panes)
 
     def _stage(self, df: DataFrame) -> DataFrame:
         return cut_lineage(df) if self.materialize else df
 
+    @cached_property
+    def panes(self) -> DataFrame | None:
+        """Stored panes, or None where the tables derive from the posts."""
+        if self._stored_panes is None and self.materialize:
+            return cut_lineage(post_panes(self.posts, self.win))
+        return self._stored_panes
+
     @cached_property
     def tagged(self) -> DataFrame:
         return tagged_posts(self.posts, self.win)
@@ -84,10 +107,19 @@ class IndicatorTables:
 
     @cached_property
     def base(self) -> DataFrame:
+        if self.panes is not None:
+            return with_velocity(base_from_panes(author_rows(self.panes), self.win))
         return with_velocity(base_indicators(self.occurrences, self.win))
 
+    @cached_property
+    def velocity_with_cooling(self) -> DataFrame:
+        """A3 with the tags whose recent half is empty kept."""
+        return with_velocity(self.base.drop("velocity"), keep_cooling=True)
+
     @cached_property
     def co_tags(self) -> DataFrame:
+        if self.panes is not None:
+            return co_tags_from_pairs(neighbour_rows(self.panes), self.win)
         return co_tags(self.tagged, self.win)
 
     @cached_property
@@ -109,6 +141,8 @@ class IndicatorTables:
 
     @cached_property
     def total_volume(self) -> DataFrame:
+        if self.panes is not None:
+            return slot_totals(author_rows(self.panes), self.win, weight="n")
         return slot_totals(self.occurrences, self.win)
 
     @cached_property
@@ -129,6 +163,17 @@ class IndicatorTables:
     def feature_vectors(self) -> DataFrame:
         return self._stage(feature_vectors(self.wide, self.win))
 
+    @cached_property
+    def assembled_vectors(self) -> DataFrame:
+        """V1 by the general assembly (J6): the same vectors from four keyed metric frames."""
+        metrics = [
+            self.base.select("w_idx", "tag", "volume"),
+            self.base.select("w_idx", "tag", "unique_users"),
+            self.first_degree.select("w_idx", "tag", "activeness"),
+            self.smoothed,
+        ]
+        return assemble_vectors(metrics)
+
     @cached_property
     def vector_slides(self) -> DataFrame:
         """Slides that have feature vectors, one row each, from post slots alone.
@@ -140,7 +185,8 @@ class IndicatorTables:
         over slots instead of a second pass over the vector groups).
         """
         span = 2 * self.win.analytic - 1
-        slots = self.occurrences.select("slot").distinct()
+        tagged = self.occurrences if self.panes is None else author_rows(self.panes)
+        slots = tagged.select("slot").distinct()
         return hop(slots, "slot", span).select("w_idx").distinct()
 
     @cached_property

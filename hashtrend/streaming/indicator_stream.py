@@ -30,13 +30,17 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from hashtrend.config import Windows
-from hashtrend.functions.tags import hashtags
 from hashtrend.functions.time import end_timestamp, slot_index
 from hashtrend.operators import (
+    PANE_COLUMNS,
+    author_rows,
     base_from_panes,
     co_tags_from_pairs,
     delta_share,
     feature_vectors,
+    fold_panes,
+    neighbour_rows,
+    pane_rows,
     percent_share,
     recurrent_vectors,
     reference_share,
@@ -52,8 +56,6 @@ from hashtrend.sources.messages import decode, drop_delete_notices
 # directories; 1024 slides is 34 minutes at 2 s batches.
 BUCKET_SLIDES = 1024
 
-PANE_COLUMNS = ["slot", "kind", "tag", "item", "n", "fol", "fri", "rt"]
-
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 # Per-slide top-N tables written by default: volume (the reference's commented
@@ -67,50 +69,16 @@ def _interval(us: int) -> str:
 
 def pane_stream(posts: DataFrame, win: Windows, watermark: str = "0 seconds") -> DataFrame:
     """Streaming pane aggregate: ``(pane, kind, tag, item) -> n, fol, fri, rt``."""
-    tagged = posts.withWatermark("ts", watermark).select(
-        "ts",
-        "screen_name",
-        F.col("followers_count").cast("long").alias("fol"),
-        F.col("friends_count").cast("long").alias("fri"),
-        F.col("retweet_count").cast("long").alias("rt"),
-        hashtags("text").alias("tags"),
-    )
-    # Two chained generators, both lazy: first one row per tag occurrence
-    # (kind 'u') and per distinct tag (kind 'n'), then the item of each: the
-    # author for 'u', every distinct tag of the post for 'n'.  No array of all
-    # pairs of a post is ever built.
-    distinct_tags = F.array_distinct("tags")
-    keyed = F.concat(
-        F.transform("tags", lambda t: F.struct(F.lit("u").alias("kind"), t.alias("tag"))),
-        F.transform(distinct_tags, lambda t: F.struct(F.lit("n").alias("kind"), t.alias("tag"))),
-        # one tick per post, tagged or not, so that every slide with any post closes
-        F.array(F.struct(F.lit("t").alias("kind"), F.lit("").alias("tag"))),
-    )
-    first = tagged.select("ts", "screen_name", "fol", "fri", "rt", distinct_tags.alias("dtags"), F.explode(keyed).alias("k"))
-    author = F.col("k.kind") == "u"
-    tick = F.col("k.kind") == "t"
-    items = F.when(author, F.array(F.col("screen_name"))).when(tick, F.array(F.lit(""))).otherwise(F.col("dtags"))
-    rows = first.select(
-        "ts",
-        F.col("k.kind").alias("kind"),
-        F.col("k.tag").alias("tag"),
-        F.explode(items).alias("item"),
-        F.lit(1).cast("long").alias("n"),
-        F.when(author, F.col("fol")).alias("fol"),
-        F.when(author, F.col("fri")).alias("fri"),
-        F.when(author, F.col("rt")).alias("rt"),
-    )
-    return rows.groupBy(F.window("ts", _interval(win.batch_us)).alias("pane"), "kind", "tag", "item").agg(
-        F.sum("n").alias("n"), F.sum("fol").alias("fol"), F.sum("fri").alias("fri"), F.sum("rt").alias("rt")
-    )
+    pane = F.window("ts", _interval(win.batch_us)).alias("pane")
+    return fold_panes(pane_rows(posts.withWatermark("ts", watermark)), pane)
 
 
 class IndicatorSink:
     """``foreachBatch`` handler writing panes, indicators and vectors under ``root``."""
 
     def __init__(self, root: str, win: Windows, reports: dict[str, int] | None = None, vector_report: int = 10):
-        """``reports`` maps an indicator column to the N of its per-slide top-N
-        table (``top_<column>``, S5/O1/O2); ``vector_report`` is the N of the
+        """``reports`` maps an indicator column, or ``first_degree_smoothed``, to the
+        N of its per-slide top-N table (``top_<column>``, S5/O1/O2); ``vector_report`` is the N of the
         recurrent-vector report (``top_vectors``, O3; 0 turns it off)."""
         self.root = root.rstrip("/")
         self.win = win
@@ -225,23 +193,24 @@ class IndicatorSink:
         win = self.win
         in_range = F.col("w_idx").between(lo, hi)
         panes = self._read(spark, "panes", batch_id, "slot", lo - win.analytic, hi - 1)
-        authors = panes.where(F.col("kind") == "u").select(
-            "slot", "tag", F.col("item").alias("screen_name"), "n", "fol", "fri", "rt"
-        )
-        pairs_in = panes.where(F.col("kind") == "n").select("slot", "tag", F.col("item").alias("neighbour"))
+        authors = author_rows(panes)
         base = with_velocity(base_from_panes(authors, win)).where(in_range)
-        pairs = co_tags_from_pairs(pairs_in, win).where(in_range)
+        pairs = co_tags_from_pairs(neighbour_rows(panes), win).where(in_range)
         totals = slot_totals(authors, win, weight="n").where(in_range)
-        wide = percent_share(with_first_degree(pairs, base), totals)
-
-        hist = self._read(spark, "indicators", batch_id - 1, "w_idx", lo - win.reference + 1, lo - 1)
-        share_hist = wide.select("w_idx", "tag", "percent_share")
-        if hist is not None:
-            share_hist = share_hist.unionByName(hist.select("w_idx", "tag", "percent_share"))
-        ref = reference_share(share_hist, win).where(in_range).drop("percent_share")
-        ind = delta_share(wide.join(ref, ["w_idx", "tag"])).select("w_idx", "tag", *INDICATOR_COLUMNS)
-        ind = ind.withColumn("w_end", end_timestamp("w_idx", win.batch_us))
-        self._write(ind, "indicators", batch_id)
+        # One micro-batch of rows, used three times: the history's tags, the frame and the output.
+        wide = percent_share(with_first_degree(pairs, base), totals).persist()
+        try:
+            framed = wide
+            hist = self._read(spark, "indicators", batch_id - 1, "w_idx", lo - win.reference + 1, lo - 1)
+            if hist is not None:
+                # Only tags with a row to write need their past shares.
+                past = hist.select("w_idx", "tag", "percent_share").join(wide.select("tag").distinct(), "tag", "left_semi")
+                framed = wide.unionByName(past, allowMissingColumns=True)
+            ind = delta_share(reference_share(framed, win).where(in_range)).select("w_idx", "tag", *INDICATOR_COLUMNS)
+            ind = ind.withColumn("w_end", end_timestamp("w_idx", win.batch_us))
+            self._write(ind, "indicators", batch_id)
+        finally:
+            wide.unpersist()
 
         vec_cols = ["w_idx", "tag", "volume", "unique_users", "activeness", "first_degree"]
         ind_now = self._written(spark, "indicators", batch_id, lo, hi, ind.schema)
@@ -253,7 +222,8 @@ class IndicatorSink:
         fv = fv.withColumn("w_end", end_timestamp("w_idx", win.batch_us))
         self._write(fv, "feature_vectors", batch_id)
 
-        fv_all = self._written(spark, "feature_vectors", batch_id, lo, hi, fv.schema).select("w_idx", "tag", "features")
+        fv_now = self._written(spark, "feature_vectors", batch_id, lo, hi, fv.schema)
+        fv_all = fv_now.select("w_idx", "tag", "features")
         fv_hist = self._read(spark, "feature_vectors", batch_id - 1, "w_idx", lo - win.rec_window + 1, lo - 1)
         if fv_hist is not None:
             fv_all = fv_all.unionByName(fv_hist.select("w_idx", "tag", "features"))
@@ -264,9 +234,8 @@ class IndicatorSink:
         self._write(rv, "recurrent_vectors", batch_id)
 
         # Reports read the rows just written (small, bounded per slide).
-        ind_written = ind_now
         for metric, n in self.reports.items():
-            rep = top_n(ind_written, metric, n)
+            rep = top_n(fv_now if metric == "first_degree_smoothed" else ind_now, metric, n)
             self._write(rep.withColumn("w_end", end_timestamp("w_idx", win.batch_us)), f"top_{metric}", batch_id)
         if self.vector_report:
             rv_written = self._written(spark, "recurrent_vectors", batch_id, lo, hi, rv.schema)

@@ -108,16 +108,27 @@ def test_posts_view_matches_fixture_rules(spark):
 
 
 def test_batch_job_tables_equal_lazy_plans(spark, tmp_path):
-    from hashtrend.plans.job import run
+    from hashtrend.plans import job
 
     posts = posts_from_events(spark.read.parquet(f"{SF}/events.parquet"))
-    paths = run(spark, posts, str(tmp_path / "out"), HOURLY)
+    paths = job.run(spark, posts, str(tmp_path / "out"), HOURLY, reports={"volume": 3, "first_degree_smoothed": 3})
     lazy = catalog.tables(spark, SF)
     for name, df in (("feature_vectors", lazy.feature_vectors), ("recurrent_vectors", lazy.recurrent_vectors)):
         written = spark.read.parquet(paths[name]).select("w_idx", "tag", "features")
         want = df.select("w_idx", "tag", "features")
         assert written.exceptAll(want).count() == 0 and want.exceptAll(written).count() == 0
     assert spark.read.parquet(paths["indicators"]).count() == lazy.indicators.count()
+    for metric, df in (("volume", lazy.indicators), ("first_degree_smoothed", lazy.smoothed)):
+        got = spark.read.parquet(paths[f"top_{metric}"]).select("w_idx", "rank", "tag", "value", "n_total")
+        want = top_n(df, metric, 3).select("w_idx", "rank", "tag", "value", "n_total")
+        assert got.count() > 0 and got.exceptAll(want).count() == 0 and want.exceptAll(got).count() == 0
+    # a bucket is few files, however many tasks computed it
+    import os
+
+    for bucket in os.listdir(paths["indicators"]):
+        if bucket.startswith("bucket="):
+            files = [f for f in os.listdir(f"{paths['indicators']}/{bucket}") if f.endswith(".parquet")]
+            assert len(files) <= job.BUCKET_PARTS
 
 
 def test_materialized_tables_equal_lazy(spark):
@@ -212,3 +223,87 @@ def test_ml_vectors_fit_an_estimator(spark):
     model = KMeans(k=2, seed=1).fit(ml_vectors(rows))
     labels = {r.w_idx: r.prediction for r in model.transform(ml_vectors(rows)).collect()}
     assert labels[1] == labels[2] != labels[3]
+
+
+def test_end_timestamp_is_free_of_the_session_zone(spark):
+    import datetime as dt
+
+    from hashtrend.functions.time import end_timestamp
+
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for z in ("UTC", "America/New_York"):
+            spark.conf.set("spark.sql.session.timeZone", z)
+            row = spark.range(474_000, 474_001).select(end_timestamp("id", HOURLY.batch_us).alias("e")).first()
+            assert row.e == dt.datetime(1970, 1, 1) + dt.timedelta(hours=474_000)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def _skewed_posts(spark, hours=60):
+    """One tag in every second post, with a neighbour of its own each time, and a bot that posts it in every slide."""
+    import datetime as dt
+
+    from fixture_posts import POST_SCHEMA
+
+    e = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    rows = []
+    for h in range(hours):
+        at = e + dt.timedelta(hours=h)
+        rows.append((len(rows), at, "bot", "#hot", 1, 1, None))
+        for k in range(40):
+            text = f"#hot #n{k}_{h % 7}" if k % 2 else f"#a{k} #b{k}"
+            rows.append((len(rows), at, f"u{k}", text, k, 1, None))
+    return spark.createDataFrame(rows, POST_SCHEMA)
+
+
+def test_first_cover_in_chunks_equals_one_partition_a_key(spark):
+    from hashtrend.operators import post_panes
+    from hashtrend.operators.panes import author_rows
+    from hashtrend.operators.windowing import with_first_cover
+
+    panes = author_rows(post_panes(_skewed_posts(spark), HOURLY))
+    parts = with_first_cover(panes, ["tag", "screen_name"], "slot", 16, "first_i", chunk=16)
+    whole = with_first_cover(panes, ["tag", "screen_name"], "slot", 16, "first_i", chunk=1 << 40)
+    assert parts.count() == panes.count()
+    assert parts.exceptAll(whole).count() == 0 and whole.exceptAll(parts).count() == 0
+
+
+def test_hot_neighbour_is_several_join_keys(spark):
+    from hashtrend.operators import first_degree, neighbour_join
+    from hashtrend.operators.indicators import NEIGHBOUR_SALTS
+    from hashtrend.plans.tables import IndicatorTables
+
+    t = IndicatorTables(_skewed_posts(spark), HOURLY)
+    vol = t.base.select("w_idx", F.col("tag").alias("neighbour"), F.col("volume").alias("nb_volume"))
+    plain = t.co_tags.join(vol, ["w_idx", "neighbour"]).groupBy("w_idx", "tag")
+    plain = plain.agg(F.count(F.lit(1)).alias("activeness"), F.sum("nb_volume").alias("first_degree"))
+    got = first_degree(t.co_tags, t.base)
+    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+
+    cut = t.co_tags.withColumn("_salt", F.pmod(F.hash("tag"), F.lit(NEIGHBOUR_SALTS)))
+
+    def largest(*keys):
+        return cut.groupBy(*keys).count().agg(F.max("count")).first()[0]
+
+    assert 2 * largest("w_idx", "neighbour", "_salt") < largest("w_idx", "neighbour")
+    plan = neighbour_join(t.co_tags, vol)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_salt#") >= 2 and "SortMergeJoin [w_idx" in plan
+
+
+def test_stored_panes_are_the_only_source(spark, tmp_path):
+    from hashtrend.operators import post_panes
+    from hashtrend.plans.tables import IndicatorTables
+
+    posts = posts_from_events(spark.read.parquet(f"{SF}/events.parquet"))
+    panes = post_panes(posts, HOURLY)
+    assert panes._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    path = str(tmp_path / "panes")
+    panes.write.parquet(path)
+    stored = IndicatorTables.from_panes(spark.read.parquet(path), HOURLY)
+    lazy = IndicatorTables(posts, HOURLY)
+    for name in ("indicators", "assembled_vectors"):
+        a, b = getattr(lazy, name), getattr(stored, name)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    a, b = lazy.assembled_vectors, lazy.feature_vectors.select("w_idx", "tag", "features")
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
