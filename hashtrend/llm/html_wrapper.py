@@ -22,13 +22,14 @@ repeated rows are extracted once each; an empty table gives an empty result; oth
 from __future__ import annotations
 
 import re
+import uuid
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashtrend.llm.groups import checkpoint, importable
+from hashtrend.llm.groups import importable, shared_folder
 
 GROUP_PAGES = 64
 SALTS = 32
@@ -287,11 +288,19 @@ def main_texts(pages: DataFrame, group_pages: int = GROUP_PAGES) -> DataFrame:
         F.col("html").cast("string").alias("html"),
         F.coalesce(F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1), F.lit("")).alias("host"),
     )
-    # a host's size meets its pages under SALTS keys, so that a host with very many pages is no hot key
-    hosts = checkpoint(rows.groupBy("host").agg(F.count("*").alias("n")))
-    hosts = hosts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
-    dealt = salted.join(hosts, ["host", "salt"]).withColumn("part", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / group_pages)))
+    # The sizes of hosts beyond one group are a written table, so Spark knows its size: it broadcasts one below
+    # spark.sql.autoBroadcastJoinThreshold and leaves the pages where they are.  A larger one meets the pages in a
+    # shuffle under SALTS keys a host, so that a host with very many pages is no hot key.  Hosts go by their hash;
+    # two that share one only get more parts.
+    key = F.xxhash64("host").alias("host_key")
+    sizes = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > group_pages)
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    stored = f"{shared_folder(pages.sparkSession)}/host-sizes-{uuid.uuid4().hex}"
+    sizes.write.parquet(stored)
+    sizes = pages.sparkSession.read.schema(sizes.schema).parquet(stored)
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int")).withColumn("host_key", key)
+    parts = F.ceil(F.coalesce("n", F.lit(1)) / group_pages)
+    dealt = salted.join(sizes, ["host_key", "salt"], "left").withColumn("part", F.pmod(F.xxhash64("page_id", "url"), parts))
 
     def work(table):
         table = table.sort_by([("page_id", "ascending"), ("url", "ascending"), ("html", "ascending")])
