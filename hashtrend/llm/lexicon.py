@@ -23,7 +23,7 @@ from hashtrend.llm.groups import checkpoint, pack, shuffle_partitions, unpack, u
 CHUNK_BYTES = 8 << 20
 
 CHUNK_SCHEMA = (
-    "chunk long, doc_ids binary, n_bytes binary, n_words binary, marks binary, sequence binary,"
+    "chunk long, doc_ids binary, n_bytes binary, n_words binary, marks binary, sequence binary, freq binary,"
     " n_distinct int, parts array<struct<bucket:int, n:int, words:binary, weights:binary>>"
 )
 
@@ -32,7 +32,7 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> tx.U64(40)) % tx.U64(buckets)).astype(np.int64)
 
 
-def _one_chunk(number: int, ids, marks, data, offsets, fold: bool, buckets: int, weigh: bool) -> dict:
+def _one_chunk(number: int, ids, marks, data, offsets, fold: bool, buckets: int, weigh: bool, counted: bool) -> dict:
     if fold:
         data = tx.LOWER[data]
     starts, ends, first = tx.words(data, offsets, tx.NOT_SPACE)
@@ -44,10 +44,13 @@ def _one_chunk(number: int, ids, marks, data, offsets, fold: bool, buckets: int,
     local[order] = np.arange(len(order), dtype=np.uint32)
     sequence = local[inverse]
     n_words = np.diff(first)
+    freq = None
     raw = data.tobytes()
     weights = np.zeros(len(distinct), np.int64)
     if weigh:  # occurrences in marked documents
         weights = np.bincount(sequence[np.repeat(marks, n_words)], minlength=len(distinct))
+    if counted:
+        sequence, freq, n_words = document_frequencies(sequence, n_words, len(distinct))
     bucket = bucket[order]
     s, e = starts[at[order]].tolist(), ends[at[order]].tolist()
     cut = np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
@@ -66,16 +69,38 @@ def _one_chunk(number: int, ids, marks, data, offsets, fold: bool, buckets: int,
         "n_words": pack(n_words),
         "marks": pack(marks),
         "sequence": pack(sequence),
+        "freq": pack(freq) if counted else None,
         "n_distinct": len(distinct),
         "parts": parts,
     }
 
 
-def word_chunks(docs: DataFrame, fold: bool = False, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+def document_frequencies(sequence: np.ndarray, n_words: np.ndarray, distinct: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each document's distinct words in order, as differences, how often it has each, and how many there are."""
+    doc = np.repeat(np.arange(len(n_words)), n_words)
+    pair, freq = np.unique(doc * max(1, distinct) + sequence, return_counts=True)
+    doc, word = np.divmod(pair, max(1, distinct))
+    step = np.diff(word, prepend=0)
+    first = np.diff(doc, prepend=-1) > 0
+    step[first] = word[first]
+    return step.astype(np.uint32), freq.astype(np.uint32), np.bincount(doc, minlength=len(n_words))
+
+
+def distinct_words(step: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The words that ``document_frequencies`` wrote as differences; ``n`` is their number in each document."""
+    total = np.concatenate(([0], np.cumsum(step, dtype=np.int64)))
+    before = np.concatenate(([0], np.cumsum(n)))[:-1]
+    return total[1:] - np.repeat(total[before], n)
+
+
+def word_chunks(
+    docs: DataFrame, fold: bool = False, chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None, counted: bool = False
+) -> DataFrame:
     """Checkpointed chunk rows of (doc_id, text[, mark]) documents; words are runs without ASCII white space.
 
     ``fold`` lower-cases A-Z.  With a boolean ``mark`` column, each distinct word is sent along with its number of
-    occurrences in marked documents.
+    occurrences in marked documents.  With ``counted``, ``sequence``, ``freq`` and ``n_words`` are the documents' word
+    frequencies (``document_frequencies``) instead of their words in order.
     """
     buckets = buckets or shuffle_partitions(docs.sparkSession)
     weigh = "mark" in docs.columns
@@ -83,7 +108,7 @@ def word_chunks(docs: DataFrame, fold: bool = False, chunk_bytes: int = CHUNK_BY
     schema = pa.schema(
         [
             ("chunk", pa.int64()),
-            *((n, pa.binary()) for n in ("doc_ids", "n_bytes", "n_words", "marks", "sequence")),
+            *((n, pa.binary()) for n in ("doc_ids", "n_bytes", "n_words", "marks", "sequence", "freq")),
             ("n_distinct", pa.int32()),
             ("parts", pa.list_(pa.struct([("bucket", pa.int32()), ("n", pa.int32()), ("words", pa.binary()), ("weights", pa.binary())]))),
         ]
@@ -99,7 +124,7 @@ def word_chunks(docs: DataFrame, fold: bool = False, chunk_bytes: int = CHUNK_BY
             data, offsets = tx.flat(table["text"])
             ids = tx.longs(table["doc_id"])
             marks = np.asarray(table["mark"].to_numpy()).astype(bool) if weigh else np.zeros(len(ids), bool)
-            row = _one_chunk(number, ids, marks, data, offsets, fold, buckets, weigh)
+            row = _one_chunk(number, ids, marks, data, offsets, fold, buckets, weigh, counted)
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:

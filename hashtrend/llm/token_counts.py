@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
 from hashtrend.llm.groups import documents_of, unpack
-from hashtrend.llm.lexicon import ask, with_answers, word_chunks
+from hashtrend.llm.lexicon import ask, distinct_words, with_answers, word_chunks
 
 TOKENIZER = "word_bpe_49k.json"
 LIMIT = 2048
@@ -60,23 +60,21 @@ _OUT = "doc_id long, n_bytes long, n_tokens long"
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_bytes and n_tokens of every document."""
     path = path or tokenizer_path()
-    chunks = word_chunks(documents_of(docs))
+    chunks = word_chunks(documents_of(docs), counted=True)
 
     def pieces(words, _):
         return np.fromiter((len(e) for e in encode_words(path, words)), np.int64, len(words))
 
     def finish(row: dict, blobs: list) -> pa.Table:
         count = np.concatenate([unpack(b, np.uint32) for b in blobs]).astype(np.int64) if blobs else np.zeros(0, np.int64)
-        n_words = unpack(row["n_words"], np.int64)
-        sequence = unpack(row["sequence"], np.uint32)
-        doc = np.repeat(np.arange(len(n_words)), n_words)
+        n = unpack(row["n_words"], np.int64)
+        word = distinct_words(unpack(row["sequence"], np.uint32), n)
         # frequencies of each document's distinct pre-tokens, times the pieces of each
-        pair, freq = np.unique(doc * max(1, len(count)) + sequence, return_counts=True)
-        own = pair // max(1, len(count))
-        total = np.bincount(own, weights=freq * count[pair % max(1, len(count))], minlength=len(n_words)).astype(np.int64)
+        own = np.repeat(np.arange(len(n)), n)
+        total = np.bincount(own, weights=unpack(row["freq"], np.uint32) * count[word], minlength=len(n)).astype(np.int64)
         return pa.table({"doc_id": tx.ids_out(unpack(row["doc_ids"], np.int64)), "n_bytes": pa.array(unpack(row["n_bytes"], np.int64)), "n_tokens": pa.array(total)})
 
-    return with_answers(chunks, ask(chunks, pieces, np.uint32), finish, _OUT)
+    return with_answers(chunks, ask(chunks, pieces, np.uint32), finish, _OUT, ["chunk", "doc_ids", "n_bytes", "n_words", "sequence", "freq"])
 
 
 def op3_token_counts(spark, sf_dir: str) -> DataFrame:
