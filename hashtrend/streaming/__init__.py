@@ -3,6 +3,7 @@ batch operators on bounded history."""
 
 from hashtrend.streaming.indicator_stream import (
     IndicatorSink,
+    flush_stream,
     pane_stream,
     posts_stream_from_json_lines,
     start_bad_record_sink,
@@ -11,6 +12,7 @@ from hashtrend.streaming.indicator_stream import (
 
 __all__ = [
     "IndicatorSink",
+    "flush_stream",
     "pane_stream",
     "posts_stream_from_json_lines",
     "start_bad_record_sink",

@@ -42,6 +42,7 @@ from hashtrend.operators import (
     neighbour_rows,
     pane_rows,
     percent_share,
+    post_panes,
     recurrent_vectors,
     reference_share,
     slot_totals,
@@ -156,9 +157,12 @@ class IndicatorSink:
 
     # -- per micro-batch --------------------------------------------------
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
         win = self.win
-        panes = batch.select(slot_index(F.col("pane.start"), win.batch_us).alias("slot"), *PANE_COLUMNS[1:])
+        self.advance(batch.select(slot_index(F.col("pane.start"), win.batch_us).alias("slot"), *PANE_COLUMNS[1:]), batch_id)
+
+    def advance(self, panes: DataFrame, batch_id: int, beyond: int = 0) -> None:
+        """Store ``panes`` and compute the window ends they complete, and ``beyond`` more."""
+        spark = panes.sparkSession
         panes = panes.persist()
         try:
             self._write(panes, "panes", batch_id, idx="slot")
@@ -169,10 +173,13 @@ class IndicatorSink:
         finally:
             panes.unpersist()
         prev = self._frontier_before(spark, batch_id)
-        if bounds[1] is None:
+        newest = bounds[1]
+        if newest is None and beyond and prev is not None:
+            newest = prev - 1
+        if newest is None:
             self._progress(spark, batch_id, prev)
             return
-        hi = bounds[1] + 1
+        hi = newest + 1 + beyond
         lo = prev + 1 if prev is not None else bounds[0] + 1
         if hi < lo:
             self._progress(spark, batch_id, prev)
@@ -291,6 +298,8 @@ def start_indicator_stream(
     sink = IndicatorSink(out_dir, win, reports=reports)
     if sink._existing(spark, [sink.path("progress")]) and not sink._existing(spark, [checkpoint]):
         raise ValueError(f"{out_dir} holds the tables of a stream whose checkpoint is not {checkpoint}")
+    if sink._existing(spark, [sink.path("flushed")]):
+        raise ValueError(f"{out_dir} was closed by flush_stream")
     writer = (
         pane_stream(posts, win, watermark)
         .writeStream.outputMode("append")
@@ -304,6 +313,36 @@ def start_indicator_stream(
     return writer.start()
 
 
+def flush_stream(posts: DataFrame, out_dir: str, win: Windows, *, reports: dict[str, int] | None = None) -> None:
+    """Write the windows a stopped stream over bounded input still owes.
+
+    ``posts`` is the whole input as a batch frame.  Its slides at or after the
+    frontier, whose panes the watermark never closed, are folded and every
+    window end up to the last one holding data is computed, smoothed and
+    recurrent windows included, so the tables then equal the batch engine's.
+    (A post that the stream dropped as late is counted only if its slide is at
+    or after the frontier.)  The output is closed by it: a stream cannot go on
+    from there.  A second call writes the same rows again.
+    """
+    spark = posts.sparkSession
+    sink = IndicatorSink(out_dir, win, reports=reports)
+    closing = T.StructType([T.StructField("batch_id", T.LongType())])
+    mark = sink.path("flushed")
+    if not sink._existing(spark, [mark]):
+        last = None
+        if sink._existing(spark, [sink.path("progress")]):
+            stored = spark.read.schema("frontier long, batch_id long").parquet(sink.path("progress"))
+            last = stored.agg(F.max("batch_id")).first()[0]
+        # Written first: from here on the batch id belongs to the flush.
+        spark.createDataFrame([(0 if last is None else last + 1,)], closing).write.parquet(mark)
+    batch_id = spark.read.schema(closing).parquet(mark).first().batch_id
+    frontier = sink._frontier_before(spark, batch_id)
+    panes = post_panes(posts, win)
+    if frontier is not None:
+        panes = panes.where(F.col("slot") >= frontier)
+    sink.advance(panes, batch_id, beyond=2 * (win.analytic - 1) + win.rec_window - 1)
+
+
 def start_bad_record_sink(
     bad: DataFrame, out_dir: str, *, checkpoint: str | None = None, trigger: dict | None = None
 ) -> StreamingQuery:

@@ -14,6 +14,7 @@ from hashtrend.config import HOURLY
 from hashtrend.plans.tables import INDICATOR_COLUMNS, IndicatorTables
 from hashtrend.sources import decode, drop_delete_notices, raw_messages_from_events
 from hashtrend.streaming.indicator_stream import (
+    flush_stream,
     posts_stream_from_json_lines,
     start_bad_record_sink,
     start_indicator_stream,
@@ -326,3 +327,21 @@ def test_output_of_another_query_is_refused(spark, tmp_path):
     posts, _ = posts_stream_from_json_lines(spark, _landing(tmp_path, [[(1, "u", "#a")]]))
     with pytest.raises(ValueError, match="checkpoint"):
         start_indicator_stream(posts, str(out), REFERENCE)
+
+
+def test_flush_gives_every_window_of_bounded_input(streamed):
+    """After the flush the tables equal the batch engine's on all windows; a second flush changes nothing and a
+    stream cannot go on."""
+    spark, out, frontier, tables, _ = streamed
+    cols = ["w_idx", "tag", *INDICATOR_COLUMNS]
+    owed = tables.indicators.where(F.col("w_idx") > frontier).count()
+    assert owed > 0
+    for _ in range(2):
+        flush_stream(tables.posts, out, HOURLY)
+        _same(_rounded(spark.read.parquet(f"{out}/indicators"), cols), _rounded(tables.indicators, cols))
+    for name, want in (("feature_vectors", tables.feature_vectors), ("recurrent_vectors", tables.recurrent_vectors)):
+        got = spark.read.parquet(f"{out}/{name}")
+        _same(got.select("w_idx", "tag", "features"), want.select("w_idx", "tag", "features"))
+    posts, _ = posts_stream_from_json_lines(spark, os.path.join(os.path.dirname(out), "inbox"))
+    with pytest.raises(ValueError, match="flush_stream"):
+        start_indicator_stream(posts, out, HOURLY, checkpoint=os.path.join(os.path.dirname(out), "ckpt"))
