@@ -5,11 +5,11 @@
    (the vocabulary bounds them) and are summed over chunks.
 2. *Shards.*  A chunk of documents (8 MB of text) is an index shard with an inverted index of token ids, whose BM25
    weights use the corpus-wide frequencies and mean length.
-3. *Windows.*  A shard's documents are taken as seeds in order of first unused.  The seed opens a window; its
-   ``query_terms`` most telling ids (highest idf x count) query the index, and the best unused neighbours are appended
-   until the window is full.  The piece that crosses the window's end is cut there and its rest opens the next window
-   as the seed, so every window of a shard is full but for the last.  When no neighbour is left, the next unused
-   document follows.
+3. *Windows.*  A shard's documents are taken as seeds in order of first unused.  The seed opens a window; all its
+   distinct ids but the closing one, which every document holds, query the index, and the best unused neighbours are
+   appended until the window is full.  The piece that crosses the window's end is cut there and its rest opens the next
+   window as the seed, so every window of a shard is full but for the last.  When no unused document of the shard scores
+   above 0, the next unused one follows.
 4. The last window of a shard is cut at powers of two, which need no padding.
 
 Defined results: a null or empty text is its closing id alone; repeated rows are packed once each; null ids are kept;
@@ -33,8 +33,6 @@ from hashtrend.llm.token_counts import encode_words, tokenizer_path
 
 WINDOW = 4096
 CLOSING_ID = 2
-QUERY_TERMS = 24
-NEIGHBOURS = 64
 K1, B = 1.2, 0.75
 _VOCABULARY = 1 << 16
 
@@ -58,31 +56,26 @@ class Shard:
         doc, term, count = document_terms(ids, first)
         self.by_doc = np.searchsorted(doc, np.arange(self.n + 1))
         self.doc_terms = term
-        self.tell = idf[term] * count  # how much a term says about its document
         norm = K1 * (1 - B + B * lens / max(mean_length, 1e-9))
         weight = (idf[term] * count * (K1 + 1) / (count + norm[doc])).astype(np.float32)
         order = np.argsort(term, kind="stable")
         self.docs, self.weight = doc[order], weight[order]
         self.posting = np.searchsorted(term[order], np.arange(_VOCABULARY + 1))
 
-    def neighbours(self, seed: int, used: np.ndarray, terms: int, want: int) -> list[int]:
-        """The best unused documents for a seed, best first (ties: earlier document)."""
-        lo, hi = self.by_doc[seed], self.by_doc[seed + 1]
-        own, tell = self.doc_terms[lo:hi], self.tell[lo:hi]
-        if len(own) > terms:
-            own = own[np.argpartition(-tell, terms)[:terms]]
+    def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
+        """All unused documents that score above 0 for a seed, best first (ties: earlier document)."""
+        own = self.doc_terms[self.by_doc[seed] : self.by_doc[seed + 1]]
+        own = own[own != CLOSING_ID]
         spans = self.posting[own]
         at = tx.ranges(spans, self.posting[own + 1] - spans)
         score = np.bincount(self.docs[at], weights=self.weight[at], minlength=self.n)
         score[used] = 0
         score[seed] = 0
         found = np.flatnonzero(score > 0)
-        if len(found) > want:
-            found = found[np.argpartition(-score[found], want)[:want]]
         return found[np.lexsort((found, -score[found]))].tolist()
 
 
-def fill_windows(shard: Shard, lens: np.ndarray, window: int, terms: int, want: int) -> list[list[tuple[int, int, int]]]:
+def fill_windows(shard: Shard, lens: np.ndarray, window: int) -> list[list[tuple[int, int, int]]]:
     """Windows as lists of (document, start, length); all full but the last."""
     used = np.zeros(shard.n, bool)
     windows: list[list[tuple[int, int, int]]] = []
@@ -110,7 +103,7 @@ def fill_windows(shard: Shard, lens: np.ndarray, window: int, terms: int, want:
             if not room:
                 break
             if queue is None:
-                queue = iter(shard.neighbours(seed, used, terms, want))
+                queue = iter(shard.neighbours(seed, used))
             following = next((d for d in queue if not used[d]), None)
             if following is None:
                 while next_unused < shard.n and used[next_unused]:
@@ -205,7 +198,7 @@ def corpus_frequencies(tokens: DataFrame) -> tuple[np.ndarray, int, int]:
     return total[:_VOCABULARY], int(total[-2]), int(total[-1])
 
 
-def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW, query_terms: int = QUERY_TERMS, neighbours: int = NEIGHBOURS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDOW) -> DataFrame:
     """Pieces of documents in sequences of at most ``window`` tokens, with the ids of each piece."""
     tokens = tokenised(docs, path or tokenizer_path())
     frequency, n_docs, n_tokens = corpus_frequencies(tokens)
@@ -217,7 +210,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, window: int = WINDO
             for row in batch.to_pylist():
                 names, lens, ids = unpack(row["doc_ids"], np.int64), unpack(row["lens"], np.int64), unpack(row["ids"], np.uint16)
                 first = np.concatenate(([0], np.cumsum(lens)))
-                filled = fill_windows(Shard(ids, first, idf, mean_length), lens, window, query_terms, neighbours)
+                filled = fill_windows(Shard(ids, first, idf, mean_length), lens, window)
                 filled = filled[:-1] + at_powers_of_two(filled[-1], window) if filled else []
                 wide = ids.astype("<u4")
                 out: list[tuple] = []

@@ -241,6 +241,18 @@ def test_packing_is_an_exact_round_trip(spark, docs, edge, none):
     assert pack_documents(none).count() == 0
 
 
+def test_packing_ranks_every_document_that_scores(spark):
+    from hashtrend.llm.packing import pack_documents
+
+    # 100 documents share a word of the seed each; 100 that share nothing with it lie before them
+    words = [chr(97 + i // 10) * 2 + chr(97 + i % 10) for i in range(100)]
+    texts = [" ".join(words), *["!"] * 100, *words]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    rows = sorted(pack_documents(df).collect(), key=lambda r: (r.sequence_id, r.offset))
+    order = list(dict.fromkeys(r.doc_id for r in rows))
+    assert order[0] == 0 and set(order[1:101]) == set(range(101, 201))
+
+
 def test_jaccard_join(spark, docs, edge, none):
     from hashtrend.llm.jaccard import brute_force, op9_jaccard_join, overlaps, similarity_classes
 
