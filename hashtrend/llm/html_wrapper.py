@@ -4,8 +4,9 @@
 with one label (tag and class) fold into one node, so a list or a run of paragraphs is one slot.
 
 *Wrapper.*  Pages of a host are aligned in groups of about ``GROUP_PAGES`` (so a host with very many pages spreads over
-tasks): every tree is matched with the group's first one by simple tree matching, the largest order-preserving mapping
-of equal labels.  A text that stands in one aligned node on at least ``CONSTANT`` of at least ``LEAST_PAGES`` different
+tasks): every tree is matched with the wrapper by simple tree matching, the largest order-preserving mapping of equal
+labels, and what found no partner is added to the wrapper at its place (partial tree alignment), so that later pages of
+the same layout meet it.  A text that stands in one aligned node on at least ``CONSTANT`` of at least ``LEAST_PAGES`` different
 pages is template; aligned nodes whose texts vary, and nodes without a partner, are content.
 
 *Regions.*  Varying slots that HTML itself marks as no article text are left out: menus, headers, footers, sidebars,
@@ -245,6 +246,28 @@ def match(a: Slot, b: Slot, pairs: list | None = None) -> int:
     return best[n][m] + 1
 
 
+def extend(pairs: list[tuple[Slot, Slot]]) -> list[tuple[Slot, Slot]]:
+    """Adds the second tree's slots without a partner to the first tree, behind what stands before them; returns them as
+    pairs with themselves."""
+    partner = {id(theirs): ours for ours, theirs in pairs}
+    new: list[tuple[Slot, Slot]] = []
+    for ours, theirs in pairs:
+        at = 0
+        for child in theirs.children:
+            known = partner.get(id(child))
+            if known is not None:
+                at = next(i for i, c in enumerate(ours.children) if c is known) + 1
+                continue
+            ours.children.insert(at, child)
+            at += 1
+            below = [child]
+            while below:
+                slot = below.pop()
+                new.append((slot, slot))
+                below += slot.children
+    return new
+
+
 def extract(pages: list[str], least: int = LEAST_PAGES, constant: float = CONSTANT) -> list[str]:
     """Main texts of pages of one host, aligned with each other."""
     parsed = [parse(p) for p in pages]
@@ -255,10 +278,11 @@ def extract(pages: list[str], least: int = LEAST_PAGES, constant: float = CONSTA
     for k, (root, blocks) in enumerate(parsed):
         number = seen.setdefault(tuple(t for _, t in blocks), k)
         tree = Slot("", [root])
-        if wrapper is None:
-            wrapper = tree
         pairs: list[tuple[Slot, Slot]] = []
+        if wrapper is None:
+            wrapper = Slot("", [])
         match(wrapper, tree, pairs)
+        pairs += extend(pairs)
         for ours, theirs in pairs:
             for node in theirs.members:
                 node.wrapped = id(ours)

@@ -210,6 +210,17 @@ def test_html_extraction(spark):
     assert main_texts(df.limit(0)).count() == 0
 
 
+def test_html_pages_of_every_layout_are_aligned():
+    from hashtrend.llm.html_wrapper import extract
+
+    index = "<html><body class=index><h1>All pages</h1></body></html>"
+    first = [f"<html><body class=a><div>Follow us</div><p>Story {i}</p></body></html>" for i in range(6)]
+    second = [f"<html><body class=b><p>Report {i}</p><section><div>Write to us</div></section></body></html>" for i in range(6)]
+    pages = [index, *[p for both in zip(first, second, strict=True) for p in both]]
+    want = ["All pages", *[t for i in range(6) for t in (f"Story {i}", f"Report {i}")]]
+    assert extract(pages) == want
+
+
 def test_packing_is_an_exact_round_trip(spark, docs, edge, none):
     from hashtrend.llm.packing import pack_documents
     from hashtrend.llm.token_counts import load_tokenizer, tokenizer_path
