@@ -9,9 +9,12 @@ labels, and what found no partner is added to the wrapper at its place (partial
 the same layout meet it.  A text that stands in one aligned node on at least ``CONSTANT`` of at least ``LEAST_PAGES`` different
 pages is template; aligned nodes whose texts vary, and nodes without a partner, are content.
 
-*Regions.*  Varying slots that HTML itself marks as no article text are left out: menus, headers, footers, sidebars,
-forms, notices, adverts, reader comments, by element, role, or a word of the class or id.  Where a page has an article
-or main element, only text inside counts.
+*Regions.*  Alignment decides first.  Of the text that varies, what a fixed list of HTML marks as no article text is
+left out: menus, headers, footers, sidebars, forms, notices, adverts, reader comments, by element, role, or a word of
+the class or id; but never a subtree that holds more than half of the page's varying text (of the elements that HTML
+itself sets apart from the article, ``APART``, this holds where no article or main element has text outside them).
+Where article or main elements hold more than half of the text that is left, only text inside them counts.  Text that
+no reader sees (scripts, styles, the head) is no text from the start.
 
 *Text.*  A block is what stands between two block-level tags; character references are decoded, white space becomes
 one space, blocks are joined by line breaks in page order.  Nothing else is dropped.
@@ -57,8 +60,10 @@ ENDS = {  # a start tag ends these open elements, up to the nearest of the conta
 }
 SCOPE = set("html body article aside div section main nav header footer form table td th ul ol dl blockquote figure".split())
 
-# What is no article text.
-NO_TEXT = set("nav footer aside form menu dialog button select datalist svg canvas object audio video head search label fieldset".split()) | RAW
+# What no reader sees, and what is no article text.
+UNSEEN = {"head", "datalist"} | RAW
+NO_TEXT = set("nav footer aside form menu dialog button select svg canvas object audio video search label fieldset".split())
+APART = NO_TEXT - {"form", "label", "fieldset"}
 NO_ROLE = set("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar".split())
 NO_WORD = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation"
@@ -79,17 +84,19 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Node:
-    """An element: label, children, and whether its text counts."""
+    """An element: label, children, whether it is text at all, and the listed element it lies in."""
 
-    __slots__ = ("tag", "label", "parent", "children", "dropped", "inside", "wrapped")
+    __slots__ = ("tag", "label", "parent", "children", "dropped", "inside", "listed", "wrapped")
 
-    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, inside: bool):
+    def __init__(self, tag: str, label: str, parent: Node | None, dropped: bool, inside: bool, listed: bool = False):
         self.tag, self.label, self.parent, self.dropped, self.inside = tag, label, parent, dropped, inside
+        self.listed = self if listed else parent and parent.listed  # the nearest one on the lists, itself included
         self.children: list[Node] = []
         self.wrapped = None  # the aligned node of the wrapper
 
 
 def _no_text(tag: str, attributes: dict[str, str], parent: Node) -> bool:
+    """Whether the lists name an element."""
     if tag in NO_TEXT or (tag == "header" and not parent.inside):
         return True
     if attributes.get("role", "").strip().lower() in NO_ROLE or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
@@ -100,19 +107,23 @@ def _no_text(tag: str, attributes: dict[str, str], parent: Node) -> bool:
     return bool(words & NO_WORD) or (not parent.inside and bool(words & NO_WORD_OUTSIDE))
 
 
-def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
-    """The element tree and the blocks (element, text) in page order, those of dropped elements left out."""
+Block = tuple["Node", str, "Node | None"]
+
+
+def parse(html: str) -> tuple[Node, list[Block]]:
+    """The element tree and the blocks (element, text, listed element around the text) in page order."""
     root = Node("", "", None, False, False)
-    now, run, run_of = root, [], root
-    blocks: list[tuple[Node, str]] = []
+    now, run_of = root, root
+    run: dict[Node | None, list[str]] = {}  # by listed element, so that an inline one can go without its block
+    blocks: list[Block] = []
     at, end = 0, len(html)
 
     def flush():
-        if run:
-            text = " ".join("".join(run).split())
+        for listed, parts in run.items():
+            text = " ".join("".join(parts).split())
             if text:
-                blocks.append((run_of, text))
-            run.clear()
+                blocks.append((run_of, text, listed))
+        run.clear()
 
     def add(text: str):
         nonlocal run_of
@@ -121,7 +132,7 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
                 run_of = now
                 while run_of.tag not in BLOCK and run_of.parent is not None:
                     run_of = run_of.parent
-            run.append(unescape(text))
+            run.setdefault(now.listed, []).append(unescape(text))
 
     while at < end:
         m = _TAG.search(html, at)
@@ -174,9 +185,10 @@ def parse(html: str) -> tuple[Node, list[tuple[Node, str]]]:
             while now.parent is not None and now.tag != "html":  # an open head ends here
                 now = now.parent
         attributes = {k.lower(): unescape(a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if m[3] else {}
-        dropped = now.dropped or _no_text(tag, attributes, now)
+        dropped = now.dropped or tag in UNSEEN
+        listed = not dropped and _no_text(tag, attributes, now)
         inside = now.inside or tag in ("article", "main") or attributes.get("role", "").lower() in ("main", "article")
-        node = Node(tag, f"{tag}.{attributes.get('class', '')}", now, dropped, inside and not dropped)
+        node = Node(tag, f"{tag}.{attributes.get('class', '')}", now, dropped, inside and not dropped, listed)
         now.children.append(node)
         if tag in RAW:
             stop = _RAW_END[tag].search(html, at)
@@ -268,6 +280,27 @@ def extend(pairs: list[tuple[Slot, Slot]]) -> list[tuple[Slot, Slot]]:
     return new
 
 
+def article_text(blocks: list[Block], template: set[tuple[int, str]]) -> list[str]:
+    """The texts that stay: not template, not in a listed element (unless that holds most), and, where article or main
+    elements hold most of these, inside them."""
+    varying = [(node, text, listed) for node, text, listed in blocks if (node.wrapped, text) not in template]
+    total = sum(len(text) for _, text, _ in varying)
+    held: dict[Node, int] = {}
+    for _, text, listed in varying:
+        while listed is not None:
+            held[listed] = held.get(listed, 0) + len(text)
+            listed = listed.parent.listed
+    named = any(node.inside and (listed is None or listed.tag not in APART) for node, _, listed in varying)
+    left = []
+    for node, text, listed in varying:
+        while listed is not None and 2 * held[listed] > total and not (named and listed.tag in APART):
+            listed = listed.parent.listed
+        if listed is None:
+            left.append((node.inside, text))
+    article = 2 * sum(len(text) for inside, text in left if inside) > sum(len(text) for _, text in left)
+    return [text for inside, text in left if inside or not article]
+
+
 def extract(pages: list[str], least: int = LEAST_PAGES, constant: float = CONSTANT) -> list[str]:
     """Main texts of pages of one host, aligned with each other."""
     parsed = [parse(p) for p in pages]
@@ -276,7 +309,7 @@ def extract(pages: list[str], least: int = LEAST_PAGES, constant: float = CONSTA
     holders: dict[int, set[int]] = {}  # wrapper slot -> pages with a partner of it
     said: dict[tuple[int, str], set[int]] = {}
     for k, (root, blocks) in enumerate(parsed):
-        number = seen.setdefault(tuple(t for _, t in blocks), k)
+        number = seen.setdefault(tuple(article_text(blocks, set())), k)
         tree = Slot("", [root])
         pairs: list[tuple[Slot, Slot]] = []
         if wrapper is None:
@@ -287,17 +320,13 @@ def extract(pages: list[str], least: int = LEAST_PAGES, constant: float = CONSTA
             for node in theirs.members:
                 node.wrapped = id(ours)
             holders.setdefault(id(ours), set()).add(number)
-        for node, text in blocks:
+        for node, text, _ in blocks:
             if node.wrapped is not None:
                 said.setdefault((node.wrapped, text), set()).add(number)
     template = {
         k for k, pages_ in said.items() if len(holders[k[0]]) >= least and len(pages_) >= least and len(pages_) >= constant * len(holders[k[0]])
     }
-    out = []
-    for _, blocks in parsed:
-        article = any(node.inside for node, _ in blocks)
-        out.append("\n".join(t for node, t in blocks if (node.inside or not article) and (node.wrapped, t) not in template))
-    return out
+    return ["\n".join(article_text(blocks, template)) for _, blocks in parsed]
 
 
 _OUT = "page_id long, url string, text string, n_chars long"

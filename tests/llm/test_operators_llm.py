@@ -221,6 +221,19 @@ def test_html_pages_of_every_layout_are_aligned():
     assert extract(pages) == want
 
 
+def test_html_lists_drop_no_article():
+    from hashtrend.llm.html_wrapper import extract
+
+    story = [f"A long story {i} in which much is told" for i in range(6)]
+    around = "<body><nav>Home {0}</nav>{1}<div class=comments>Nice {0}</div></body>"
+    for page in ("<form><p>{0}</p></form>", "<div class='no-sidebar'><p>{0}</p></div>", "<div class='content social'><p>{0}</p></div>"):
+        assert extract([around.format(i, page.format(t)) for i, t in enumerate(story)]) == story, page
+    teaser = [f"<article>Next {i}</article><div><p>{t}</p></div>" for i, t in enumerate(story)]
+    assert extract([around.format(i, p) for i, p in enumerate(teaser)]) == [f"Next {i}\n{t}" for i, t in enumerate(story)]
+    # a footer that is longer than the article is still none of it
+    assert extract([f"<article>Brief {i}</article><footer>{t}</footer>" for i, t in enumerate(story)]) == [f"Brief {i}" for i in range(6)]
+
+
 def test_packing_is_an_exact_round_trip(spark, docs, edge, none):
     from hashtrend.llm.packing import pack_documents
     from hashtrend.llm.token_counts import load_tokenizer, tokenizer_path
