@@ -9,7 +9,8 @@ Training suffixes that cannot start a match are left out of the array before it
 benchmark words only, so a suffix must start a run of at least as many benchmark words as the shortest window.
 
 The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, each broadcast on its own; a larger benchmark
-means more blocks, over the same documents, whose matches are added up per document.
+means more blocks, over the same documents, whose matches are added up per document.  The matches of one block are
+checkpointed before the next but one is read, so the driver holds two blocks and the executors one.
 
 Defined results: a null or empty text has no words and is clean; an item without words matches nothing; repeated rows
 are judged once each; items that repeat a text or an item_id each count; a null item_id is left out; an empty table or
@@ -23,11 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.groups import documents_of
+from hashtrend.llm.groups import checkpoint, documents_of
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
@@ -171,11 +173,9 @@ def _judge(items: Items, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray)
     return out
 
 
-def benchmark_matches(docs: DataFrame, items: list[tuple[int, str]], window: int = WINDOW) -> DataFrame:
-    """Longest verbatim matches of one block of benchmark items in every document."""
-    spark = docs.sparkSession
+def benchmark_matches(docs: DataFrame, block: Broadcast) -> DataFrame:
+    """Longest verbatim matches of one block of benchmark items (broadcast ``Items``) in every document."""
     docs = documents_of(docs).withColumn("text_key", F.xxhash64("text"))
-    block = spark.sparkContext.broadcast(Items(items, window))
     span = pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,14 +222,19 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, b
 
     With several blocks, a word is hit by any of them; the hits of blocks are merged through their spans.
     """
-    blocks = list(blocks_of(benchmark, block_bytes)) if block_bytes else []
-    if len(blocks) <= 1:
-        return benchmark_matches(docs, blocks[0] if blocks else [], window)
-    every = None
-    for block in blocks:
-        part = benchmark_matches(docs, block, window)
+    share = docs.sparkSession.sparkContext.broadcast
+    blocks = blocks_of(benchmark, block_bytes) if block_bytes else iter(())
+    block, following = next(blocks, []), next(blocks, None)
+    if following is None:
+        return benchmark_matches(docs, share(Items(block, window)))
+    every, n = None, 0
+    while block is not None:
+        shared = share(Items(block, window))
+        part = checkpoint(benchmark_matches(docs, shared))
+        shared.unpersist()
         every = part if every is None else every.unionByName(part)
-    return merge_blocks(every, len(blocks))
+        block, following, n = following, next(blocks, None), n + 1
+    return merge_blocks(every, n)
 
 
 def merge_blocks(found: DataFrame, blocks: int) -> DataFrame:
@@ -262,9 +267,12 @@ def contaminated() -> F.Column:
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with all their columns (those with a null doc_id stay)."""
-    bad = decontaminate(docs, benchmark).filter(contaminated()).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that are not contaminated, with all their columns; each row is judged by its own text, whether its
+    doc_id is null or repeated."""
+    bad = decontaminate(docs, benchmark).filter(contaminated())
+    bad = bad.select(F.col("doc_id").alias("bad_id"), F.col("text_key").alias("bad_key")).distinct()
+    same = docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]) & (F.xxhash64(docs["text"].cast("string")) == bad["bad_key"])
+    return docs.join(bad, same, "left_anti")
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -177,6 +177,34 @@ def test_decontamination(spark, docs, edge, none):
     assert decontaminate(none, bench).count() == 0 and decontaminate(edge, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_clean_documents_judge_every_row_by_its_text(spark):
+    from hashtrend.llm.decontaminate import clean_documents
+
+    bench = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
+    rows = [(1, "alpha beta gamma"), (1, "one two"), (None, "so alpha beta gamma"), (None, "three"), (None, None), (2, "four"), (2, "four")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [(1, "one two"), (None, "three"), (None, None), (2, "four"), (2, "four")]
+    assert Counter(_pairs(clean_documents(docs, bench))) == Counter(kept)
+
+
+def test_benchmark_blocks_are_used_one_at_a_time(spark, edge, monkeypatch):
+    from hashtrend.llm import decontaminate as dc
+
+    log = []
+
+    def blocks_of(*_):
+        for k, word in enumerate(("alpha", "two", "字", "beta")):
+            log.append(f"read {k}")
+            yield [(k, word)]
+
+    checkpoint = dc.checkpoint
+    monkeypatch.setattr(dc, "blocks_of", blocks_of)
+    monkeypatch.setattr(dc, "checkpoint", lambda df: (checkpoint(df), log.append("written"))[0])
+    found = {r.doc_id: sorted(r.item_ids) for r in dc.decontaminate(edge, edge).collect()}
+    assert found[1] == ["0", "3"] and found[7] == ["1"] and found[9] == ["2"] and found[3] == []
+    assert log == ["read 0", "read 1", "written", "read 2", "written", "read 3", "written", "written"]
+
+
 def test_quality(spark, edge, none):
     from hashtrend.llm.labelled import crc_remainder
     from hashtrend.llm.quality import good_documents, op6_quality, quality_scores
