@@ -2,10 +2,10 @@
 
 Two documents link when the Jaccard similarity of their sets of ``SIZE``-word shingles is at least ``NUM / DEN``.
 
-1. *Order.*  Shingles whose hash lies in the lowest ``COUNTED`` part of the hash range are counted over all documents
-   (each group of documents sends each once, ``groups``); the order of all shingles is: counted ones by document
-   frequency, then the others, ties by hash.  Any one order makes the prefix filter exact; this one puts the shingles
-   of common passages behind those that only near copies share.
+1. *Order.*  All shingles are counted over all documents (each group of documents sends each once, ``groups``); their
+   order is by document frequency, ties by hash.  Any one order makes the prefix filter exact; this one puts the
+   shingles of common passages behind those that only near copies share.  (With ``counted`` below 1 only that part of
+   the hash range is counted, and the other shingles come last.)
 2. *Prefixes.*  A similar document shares at least ``a = ceil(n * NUM / DEN)`` of a document's ``n`` shingles, and so
    at least ``l`` of its first ``n - a + l``.  Each document picks the ``l`` with the least estimated cost: the
    shingles it sends plus the candidates it may meet, at most (sum of document frequencies) / l.  Two documents with
@@ -38,7 +38,7 @@ from hashtrend.llm.groups import checkpoint, documents_of, group_count, shuffle_
 
 SIZE = 5
 NUM, DEN = 3, 4
-COUNTED = 0.4
+COUNTED = 1.0
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
 BLOCK = 2048

@@ -8,6 +8,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,3 +378,18 @@ def test_pipeline(spark):
     assert {r.doc_id for r in near.collect()} == want and near.columns == docs.columns
     out = corpus_pipeline.run(spark, SF)
     assert out.columns[0] == "doc_id" and 0 < out.select("doc_id").distinct().count() <= docs.count()
+
+
+def test_common_passages_stay_out_of_prefixes(spark):
+    from hashtrend.llm import jaccard
+
+    # a third of all documents hold one passage, which is half of their shingles
+    passage = " ".join(f"p{i}" for i in range(54))
+    texts = [" ".join(f"d{i}x{j}" for j in range(54)) + (" " + passage if i % 3 == 0 else "") for i in range(90)]
+    table = pa.table({"gid": [0] * 90, "doc_id": list(range(90)), "text": texts})
+    key = (pa.scalar(0, pa.int32()),)
+    sent = jaccard._send_counts(4, jaccard.COUNTED, jaccard.SIZE)(key, table)
+    back = [jaccard._add_counts((pa.scalar(b, pa.int32()),), sent.filter(pc.equal(sent["bucket"], b))) for b in range(4)]
+    take = jaccard._take_prefixes(4, jaccard.COUNTED, jaccard.SIZE, jaccard.NUM, jaccard.DEN)
+    found = take(key, table, pa.concat_tables(back))
+    assert not any(found["tokens"].to_pylist())  # no list that a third of all documents share
