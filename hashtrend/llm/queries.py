@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashtrend.llm.chat import op11_chat_format
+from hashtrend.llm.cross_tokens import op13_cross_tokens
 from hashtrend.llm.decontaminate import op5_decontamination
 from hashtrend.llm.embed_dedup import op2_embedding_dedup
 from hashtrend.llm.hmm_lm import op10_hmm_lm
@@ -9,6 +11,7 @@ from hashtrend.llm.html_wrapper import op7_html_extraction
 from hashtrend.llm.jaccard import op9_jaccard_join
 from hashtrend.llm.packing import op8_packing
 from hashtrend.llm.quality import op6_quality
+from hashtrend.llm.spelling import op12_spelling_variants
 from hashtrend.llm.suffix_dedup import op1_suffix_dedup
 from hashtrend.llm.token_counts import op3_token_counts
 from hashtrend.llm.toxicity import op4_toxicity
@@ -26,6 +29,9 @@ QUERIES = {
         op8_packing,
         op9_jaccard_join,
         op10_hmm_lm,
+        op11_chat_format,
+        op12_spelling_variants,
+        op13_cross_tokens,
     )
 }
 
