@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashtrend.llm.encoders import SEGMENT_CHARS, segments, tokenizer_path
+from hashtrend.llm.encoders import SEGMENT_CHARS, segments, token_bytes, tokenizer_path
 from hashtrend.llm.groups import importable, pack, unpack_bytes
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -75,34 +75,39 @@ def parse(text: str) -> list[tuple[str, str]]:
 
 @lru_cache(maxsize=2)
 def load_chat_tokenizer(path: str):
-    """The vocabulary with the control strings as special tokens behind its last id."""
+    """(tokenizer, bytes of every id): the vocabulary with the control strings as special tokens behind its last id."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import AddedToken, Tokenizer
-    from tokenizers.processors import ByteLevel
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.no_truncation()
     tokenizer.no_padding()
-    tokenizer.post_processor = ByteLevel(trim_offsets=False)  # a token's span holds its leading space
     tokenizer.add_special_tokens([AddedToken(t, special=True, normalized=False) for t in (START, SEP, END)])
-    return tokenizer
-
-
-def encode(tokenizer, text: str, segment: int = SEGMENT_CHARS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids, starts, ends) of a text; places are code points.  Long texts are encoded in segments with the same ids."""
-    ids, starts, ends = [], [], []
-    at = 0
-    for k, part in enumerate(segments(text, segment)):
-        part = part if k == 0 else " " + part
-        e = tokenizer.encode(part, add_special_tokens=False)
-        spans = np.array(e.offsets, np.int64).reshape(-1, 2) + at
-        ids.append(np.array(e.ids, np.int32))
-        starts.append(spans[:, 0])
-        ends.append(spans[:, 1])
-        at += len(part)
-    return np.concatenate(ids), np.concatenate(starts), np.concatenate(ends)
+    return tokenizer, np.array([len(t) for t in token_bytes(tokenizer)], np.int64)
+
+
+def encode(path: str, texts: list[str], segment: int = SEGMENT_CHARS):
+    """(ids, starts, ends, tokens before each text, characters before each text) of all texts in a row.
+
+    Places are code points counted over all the texts; a token that holds a part of a character's bytes spans the whole
+    character.  Long texts are encoded in segments with the same ids."""
+    tokenizer, width = load_chat_tokenizer(path)
+    cut = [segments(t, segment) for t in texts]
+    encoded = iter(tokenizer.encode_batch_fast([s if k == 0 else " " + s for c in cut for k, s in enumerate(c)], add_special_tokens=False))
+    ids = [np.array(next(encoded).ids, np.int32) for c in cut for _ in c]
+    per_text = np.add.reduceat([len(i) for i in ids], np.cumsum([0, *map(len, cut[:-1])])) if ids else []
+    ids = np.concatenate(ids) if ids else np.zeros(0, np.int32)
+    # tokens spell their text byte for byte, so their ends are sums of their lengths
+    ends = np.cumsum(width[ids])
+    starts = ends - width[ids]
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    characters = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
+    if len(ids) and ends[-1] != len(data):
+        raise ValueError("the tokens do not spell the texts")
+    before = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    return ids, characters[starts + 1] - 1, characters[ends], np.concatenate(([0], np.cumsum(per_text))).astype(np.int64), before
 
 
 def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> np.ndarray:
@@ -162,33 +167,22 @@ def format_conversations(conversations: DataFrame, path: str | None = None, part
     path = path or tokenizer_path(TOKENIZER)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_chat_tokenizer(path)
-        out: list[dict] = []
-
-        def row(conv_id, block, part, whole, turns):
-            text, spans, loss = render(turns)
-            ids, starts, ends = encode(tokenizer, text, segment)
-            mask = loss_mask(starts, ends, [spans[k] for k in loss])
-            out.append(
-                {
-                    "conv_id": conv_id,
-                    "block": block,
-                    "part": part,
-                    "whole": whole,
-                    "n_turns": len(turns),
-                    "text": text,
-                    "input_ids": ids,
-                    "starts": starts.astype(np.int32),
-                    "ends": ends.astype(np.int32),
-                    "loss_mask": mask,
-                    "turn_spans": [{"start": a, "end": b} for a, b in spans],
-                }
-            )
+        held: list[tuple] = []
 
         def flush():
-            batch = pa.RecordBatch.from_pylist(out, schema=_FORMATTED_ARROW)
-            out.clear()
-            return batch
+            texts, spans, loss = zip(*[render(h[-1]) for h in held], strict=True)
+            ids, starts, ends, tokens, before = encode(path, list(texts), segment)
+            mask = loss_mask(starts, ends, [(a + base, b + base) for s, which, base in zip(spans, loss, before.tolist(), strict=False) for a, b in (s[k] for k in which)])
+            own = np.repeat(before[:-1], np.diff(tokens))
+            listed = lambda values, kind: pa.ListArray.from_arrays(pa.array(tokens, pa.int32()), pa.array(values, kind))
+            places = np.array([p for s in spans for p in s], np.int32).reshape(-1, 2)
+            turns = np.cumsum([0, *map(len, spans)])
+            span = pa.StructArray.from_arrays([pa.array(places[:, 0]), pa.array(places[:, 1])], ["start", "end"])
+            columns = [pa.array(c) for c in zip(*[h[:-1] for h in held], strict=True)]
+            columns += [np.diff(turns), texts, listed(ids, pa.int32()), listed(starts - own, pa.int32()), listed(ends - own, pa.int32()), listed(mask, pa.bool_())]
+            columns.append(pa.ListArray.from_arrays(pa.array(turns, pa.int32()), span))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) if not isinstance(c, pa.Array) else c.cast(f.type) for c, f in zip(columns, _FORMATTED_ARROW, strict=True)], schema=_FORMATTED_ARROW)
 
         rows = (r for batch in batches for r in zip(*[batch.column(c).to_pylist() for c in _TURN_COLUMNS], strict=True))
         size = 0
@@ -200,17 +194,17 @@ def format_conversations(conversations: DataFrame, path: str | None = None, part
                     continue
                 if turns and chars + len(text) > part_chars:
                     whole = False
-                    row(conv_id, block, part, whole, turns)
+                    held.append((conv_id, block, part, whole, turns))
                     yield flush()
                     part, turns, chars = part + 1, [], 0
                 turns.append((role, text))
                 chars += len(role) + len(text)
-            row(conv_id, block, part, whole, turns)
+            held.append((conv_id, block, part, whole, turns))
             size += chars
-            if len(out) >= ROWS_AT_ONCE or size > part_chars:
+            if len(held) >= ROWS_AT_ONCE or size > part_chars:
                 yield flush()
                 size = 0
-        if out:
+        if held:
             yield flush()
 
     order = ["conv_id", "block", F.desc("several"), "turn", "role", "text"]

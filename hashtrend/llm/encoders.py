@@ -44,6 +44,16 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
+def token_bytes(tokenizer) -> list[bytes]:
+    """The bytes of every id of a byte-level vocabulary; added tokens stand for themselves."""
+    byte = _byte_of()
+    out = []
+    for i in range(tokenizer.get_vocab_size(with_added_tokens=True)):
+        token = tokenizer.id_to_token(i) or ""
+        out.append(bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode())
+    return out
+
+
 @lru_cache(maxsize=2)
 def load_byte_level(path: str):
     """(tokenizer, bytes of every id) of a byte-level vocabulary; special strings in texts are plain text."""
@@ -56,12 +66,7 @@ def load_byte_level(path: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     tokenizer.encode_special_tokens = True
-    byte = _byte_of()
-    out = []
-    for i in range(tokenizer.get_vocab_size(with_added_tokens=True)):
-        token = tokenizer.id_to_token(i) or ""
-        out.append(bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode())
-    return tokenizer, out
+    return tokenizer, token_bytes(tokenizer)
 
 
 @lru_cache(maxsize=2)

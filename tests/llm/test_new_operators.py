@@ -85,7 +85,7 @@ def test_chat_rows(chats):
     """Rows cut from a conversation hold the ids, offsets and mask of the whole; every masked token lies in its turn."""
     from hashtrend.llm.chat import format_conversations, load_chat_tokenizer, parse, tokenizer_path
 
-    tokenizer = load_chat_tokenizer(tokenizer_path("byte_bpe_50k.json"))
+    tokenizer, _ = load_chat_tokenizer(tokenizer_path("byte_bpe_50k.json"))
     rows = sorted(format_conversations(chats, part_chars=500).filter("conv_id in (4, 5, 7)").collect(), key=lambda r: (r.conv_id, r.block, r.part))
     assert [r.whole for r in rows if r.conv_id == 4] == [True]
     assert len({r.block for r in rows if r.conv_id == 7}) == 3 and not any(r.whole for r in rows if r.conv_id == 7)
