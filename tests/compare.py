@@ -17,7 +17,7 @@ import pandas as pd
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 
-TABLES = ["events"]
+TABLES = ["events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 
 
 def _norm(v):
