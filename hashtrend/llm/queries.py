@@ -9,6 +9,7 @@ from hashtrend.llm.embed_dedup import op2_embedding_dedup
 from hashtrend.llm.hmm_lm import op10_hmm_lm
 from hashtrend.llm.html_wrapper import op7_html_extraction
 from hashtrend.llm.jaccard import op9_jaccard_join
+from hashtrend.llm.oracles import STATEMENTS
 from hashtrend.llm.packing import op8_packing
 from hashtrend.llm.quality import op6_quality
 from hashtrend.llm.spelling import op12_spelling_variants
@@ -36,4 +37,4 @@ QUERIES = {
 }
 
 #: DuckDB statements for the queries that SQL can express on whole tables; the others are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = STATEMENTS
