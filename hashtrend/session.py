@@ -69,6 +69,18 @@ def spread_input(df: DataFrame) -> DataFrame:
     return df.repartition(int(partitions)) if partitions else df
 
 
+ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_DEFAULT_PROVIDER = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Streaming state in RocksDB (off-heap, spills to local disk, checkpointed), unless the session already names a
+    state store provider."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if spark.conf.get(key, _DEFAULT_PROVIDER) == _DEFAULT_PROVIDER:
+        spark.conf.set(key, ROCKSDB_PROVIDER)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (survives executor loss)."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -51,14 +51,13 @@ from hashtrend.operators import (
     with_velocity,
 )
 from hashtrend.plans.tables import INDICATOR_COLUMNS
+from hashtrend.session import use_rocksdb
 from hashtrend.sources.messages import decode, drop_delete_notices
 
 # Output files are grouped by slide bucket so that history reads prune whole
 # directories; 1024 slides is 34 minutes at 2 s batches.
 BUCKET_SLIDES = 1024
 
-ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 # Per-slide top-N tables written by default: volume (the reference's commented
 # report) and delta share (the one report it prints).
 DEFAULT_REPORTS = {"volume": 10, "delta_share": 10}
@@ -290,10 +289,8 @@ def start_indicator_stream(
     store provider.
     """
     spark = posts.sparkSession
-    key = "spark.sql.streaming.stateStore.providerClass"
-    default_provider = "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
-    if rocksdb and spark.conf.get(key, default_provider) == default_provider:
-        spark.conf.set(key, ROCKSDB_PROVIDER)
+    if rocksdb:
+        use_rocksdb(spark)
     checkpoint = checkpoint or f"{out_dir.rstrip('/')}/_checkpoint"
     sink = IndicatorSink(out_dir, win, reports=reports)
     if sink._existing(spark, [sink.path("progress")]) and not sink._existing(spark, [checkpoint]):
