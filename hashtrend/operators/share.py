@@ -9,8 +9,10 @@ from hashtrend.config import Windows
 from hashtrend.functions.vectors import halving_fold
 from hashtrend.operators.windowing import bounded_range_frame, chunk_copies, hop
 
-# Rows per (tag, chunk) partition stay below this so that 2**row fits a double.
-MAX_PREFIX_ROWS = 1000
+# Reference slides at most for the affine form, and the shift of its exponents: 2**(row - shift) and its inverse stay
+# normal doubles for every row of a block.
+MAX_AFFINE_SPAN = 1800
+EXPONENT_SHIFT = 900
 
 # Parts that the tags of one slide are cut into for the join with its total.
 TOTAL_SALTS = 16
@@ -45,7 +47,7 @@ def percent_share(base: DataFrame, totals: DataFrame | None = None) -> DataFrame
 
 
 def reference_share(
-    share: DataFrame, win: Windows, *, chunk: int | None = None, halving: str = "fold"
+    share: DataFrame, win: Windows, *, chunk: int | None = None, halving: str = "affine"
 ) -> DataFrame:
     """A13: the tag's shares over the slides ending in ``(t - reference, t]``.
 
@@ -53,49 +55,65 @@ def reference_share(
     reference's order-dependent pairwise halving); ``reference_share_halving``
     folds ``(acc + x) / 2`` oldest to newest over the same present slides.
 
-    ``halving="fold"`` (default) collects the ordered frame and folds it:
-    exactly the sequential definition, bit for bit.  ``halving="closed_form"``
-    uses ``2**-(r_n + 1) * sum(x_k * 2**r_k, k = j..n) + x_j * 2**-(r_n - r_j +
-    1)`` over frame rows ``j..n`` (positions ``r`` within the tag's chunk): two
-    running sums (incremental in Spark) and the frame's first value instead of
-    up to ``reference`` values per row.  It agrees to about 1e-16 relative, but
-    not bit for bit, and halving folds of simple fractions often land exactly
-    on a decimal rounding tie, so it is opt-in for very large runs.  Chunks
-    stay under ``MAX_PREFIX_ROWS`` rows so the powers of two are finite;
-    longer spans are refused.
+    ``halving="affine"`` (default) collects nothing.  A halving step is the map
+    ``acc -> acc / 2 + x / 2``, and such maps compose associatively, so a
+    sliding frame can be put together from blocks of ``reference`` slides: the
+    suffix of the block before (composed from its end backwards) and the prefix
+    of the row's own block, applied to the frame's first share (a value halved
+    with itself stays).  Prefixes and suffixes are running sums with powers of
+    two as weights, which scale without rounding; every row costs the same
+    whatever the span, and only its block and a copy of the one before meet in
+    a partition.  The mean is put together likewise.  No sum is subtracted from
+    another, so shares that fall by orders of magnitude keep their digits; the
+    result agrees with the step-by-step fold to about 1e-14 relative, not bit
+    for bit.
+
+    ``halving="fold"`` collects the ordered frame and folds it: exactly the
+    sequential definition, bit for bit, for up to ``reference`` values a row.
+    It also serves references of more than ``MAX_AFFINE_SPAN`` slides and a
+    given ``chunk``.
     """
-    if halving not in ("fold", "closed_form"):
+    if halving not in ("fold", "affine"):
         raise ValueError(f"unknown halving mode {halving!r}")
     span = win.reference
-    prefix_chunk = MAX_PREFIX_ROWS - (span - 1)
-    if halving == "closed_form" and (chunk is not None or prefix_chunk < span):
-        raise ValueError(f"the closed form takes no chunk and a reference of at most {MAX_PREFIX_ROWS // 2} slides, not {span}")
-    if halving == "fold":
+    if halving == "fold" or chunk is not None or span > MAX_AFFINE_SPAN:
         return _reference_share_collected(share, win, chunk=chunk)
 
-    x = F.col("percent_share")
-    staged = chunk_copies(share, "w_idx", span, prefix_chunk)
-    ordered = Window.partitionBy("tag", "_chunk").orderBy("w_idx")
-    frame = ordered.rangeBetween(-(span - 1), 0)
-    before = ordered.rangeBetween(Window.unboundedPreceding, -span)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = staged.select("*", F.row_number().over(ordered).alias("_r"))
-    weighted = x * F.pow(F.lit(2.0), F.col("_r"))
-    stats = ranked.select(
+    x, two, zero = F.col("percent_share"), F.lit(2.0), F.lit(0.0)
+    staged = chunk_copies(share, "w_idx", span, span)
+    staged = staged.select("*", (F.col("_chunk") == F.col("_home")).alias("_own"))
+    block = Window.partitionBy("tag", "_chunk")
+    forward, backward = block.orderBy("w_idx"), block.orderBy(F.desc("w_idx"))
+    running = lambda c, w: F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    own, old = F.col("_own"), ~F.col("_own")
+    placed = staged.select(
         "*",
-        F.avg(x).over(frame).alias("reference_share_mean"),
-        F.first(x).over(frame).alias("_first"),
-        F.sum(weighted).over(upto).alias("_s_upto"),
-        F.coalesce(F.sum(weighted).over(before), F.lit(0.0)).alias("_s_before"),
-        F.count(x).over(before).alias("_c_before"),
+        running(F.when(own, 1).otherwise(0), forward).alias("_r"),  # rows of the own block so far
+        running(F.when(old, 1).otherwise(0), backward).alias("_e"),  # rows of the block before, from its end
     )
-    r = F.col("_r")
-    halving = F.pow(F.lit(2.0), -(r + 1)) * (F.col("_s_upto") - F.col("_s_before")) + F.col("_first") * F.pow(
-        F.lit(2.0), -(r - F.col("_c_before"))
+    power = lambda n: F.pow(two, n.cast("double"))
+    weighted = placed.select(
+        "*",
+        F.when(own, x * power(F.col("_r") - EXPONENT_SHIFT)).otherwise(zero).alias("_w"),
+        F.when(old, x * power(-F.col("_e"))).otherwise(zero).alias("_v"),
     )
-    return stats.where(F.col("_chunk") == F.col("_home")).select(
-        *share.columns, "reference_share_mean", halving.alias("reference_share_halving")
+    composed = weighted.select(
+        "*",
+        running("_w", forward).alias("_prefix"),
+        running(F.when(own, x).otherwise(zero), forward).alias("_prefix_sum"),
+        running("_v", backward).alias("_suffix"),
+        running(F.when(old, x).otherwise(zero), backward).alias("_suffix_sum"),
     )
+    # the frame's first row: the one behind the last row before the frame, else the first of all
+    start = F.struct(x.alias("x"), F.when(old, F.col("_e")).otherwise(0).alias("n"), F.col("_suffix").alias("b"), F.col("_suffix_sum").alias("s"))
+    before = forward.rangeBetween(Window.unboundedPreceding, -span)
+    found = composed.select("*", start.alias("_this"), F.lead(start).over(forward).alias("_next"))
+    found = found.select("*", F.coalesce(F.last("_next").over(before), F.first("_this").over(forward)).alias("_start"))
+    first = F.col("_start")
+    older = first["x"] * power(-first["n"]) + first["b"]
+    folded = older * power(-F.col("_r")) + F.col("_prefix") * power(F.lit(EXPONENT_SHIFT - 1) - F.col("_r"))
+    mean = (first["s"] + F.col("_prefix_sum")) / (first["n"] + F.col("_r"))
+    return found.where("_own").select(*share.columns, mean.alias("reference_share_mean"), folded.alias("reference_share_halving"))
 
 
 def _reference_share_collected(share: DataFrame, win: Windows, *, chunk: int | None = None) -> DataFrame:

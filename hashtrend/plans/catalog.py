@@ -35,10 +35,15 @@ def tables(spark: SparkSession, sf_dir: str, win: Windows = WIN) -> IndicatorTab
     return IndicatorTables(posts_from_events(read_events(spark, sf_dir)), win)
 
 
+# Sums of shares may differ in the last bits from one added in another order; halved fractions often lie exactly
+# half way between two rounded values, where such a bit would decide.
+SETTLED = 12
+
+
 def rounded(col: str | F.Column, digits: int = DIGITS) -> F.Column:
-    """Round for cross-engine comparison; ``+ 0.0`` folds -0.0 into 0.0."""
+    """Round for cross-engine comparison, after the last bits are settled; ``+ 0.0`` folds -0.0 into 0.0."""
     c = F.col(col) if isinstance(col, str) else col
-    return F.round(c, digits) + F.lit(0.0)
+    return F.round(F.round(c, SETTLED), digits) + F.lit(0.0)
 
 
 def _r(col: str) -> F.Column:

@@ -170,22 +170,34 @@ def test_big_posts_are_split_without_changing_pairs(spark):
     assert act[first + 3] == 301  # plus #x from the second post
 
 
-def test_halving_closed_form_equals_collected_fold(spark):
+@pytest.mark.parametrize("span", [1, 2, 20, 256, 900])
+def test_affine_halving_equals_collected_fold(spark, span):
+    """Across chunk borders, for tags with gaps, a single row, tiny and equal shares."""
     import random
 
     from hashtrend.operators import reference_share
 
     rnd = random.Random(3)
-    win = Windows(batch="1 hour", reference=20)
+    win = Windows(batch="1 hour", reference=span)
     rows = [(t, tag, rnd.random()) for tag in ("a", "b", "c") for t in range(0, 3000) if rnd.random() < 0.6]
+    rows += [(t, "falling", 0.9 if t < 500 else 1e-9 * rnd.random()) for t in range(0, 3000, 3)]
+    rows += [(t, "always", 0.125) for t in range(3000)] + [(t, "tiny", 1e-12 * rnd.random()) for t in range(0, 3000, 7)] + [(5, "once", 0.3)]
     share = spark.createDataFrame(rows, "w_idx long, tag string, percent_share double")
-    fast = {(r.w_idx, r.tag): r for r in reference_share(share, win, halving="closed_form").collect()}
-    slow = {(r.w_idx, r.tag): r for r in reference_share(share, win, chunk=64).collect()}
+    fast = {(r.w_idx, r.tag): r for r in reference_share(share, win).collect()}
+    slow = {(r.w_idx, r.tag): r for r in reference_share(share, win, halving="fold").collect()}
     assert fast.keys() == slow.keys() and len(fast) == len(rows)
     for k, a in fast.items():
         b = slow[k]
         assert math.isclose(a.reference_share_mean, b.reference_share_mean, rel_tol=1e-12)
-        assert math.isclose(a.reference_share_halving, b.reference_share_halving, rel_tol=1e-12, abs_tol=1e-15)
+        assert math.isclose(a.reference_share_halving, b.reference_share_halving, rel_tol=1e-12, abs_tol=1e-24)
+    assert all(fast[t, "always"].reference_share_halving == 0.125 for t in range(3000))
+
+
+def test_affine_halving_collects_nothing(spark):
+    from hashtrend.operators import reference_share
+
+    share = spark.createDataFrame([(1, "a", 0.5)], "w_idx long, tag string, percent_share double")
+    assert "collect_list" not in reference_share(share, HOURLY)._jdf.queryExecution().executedPlan().toString()
 
 
 def test_empty_and_tagless_input(spark):
