@@ -11,10 +11,11 @@ from hashtrend.operators.indicators import (
     neighbour_join,
     smoothed_first_degree,
     with_first_degree,
+    with_smoothed,
     with_velocity,
 )
 from hashtrend.operators.panes import PANE_COLUMNS, author_rows, fold_panes, neighbour_rows, pane_rows, post_panes
-from hashtrend.operators.report import top_n
+from hashtrend.operators.report import top_n, top_n_all
 from hashtrend.operators.share import delta_share, percent_share, reference_share, slot_totals, total_volume
 from hashtrend.operators.vectors import (
     FEATURES,
@@ -58,7 +59,9 @@ __all__ = [
     "smoothed_first_degree",
     "tagged_posts",
     "top_n",
+    "top_n_all",
     "total_volume",
     "with_first_degree",
+    "with_smoothed",
     "with_velocity",
 ]

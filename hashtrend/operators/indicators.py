@@ -128,6 +128,17 @@ def with_first_degree(pairs: DataFrame, base: DataFrame) -> DataFrame:
     )
 
 
+def with_smoothed(ind: DataFrame, win: Windows, carry: list[str]) -> DataFrame:
+    """A10 with the current slide's ``carry`` columns beside it: the smoothed aggregate has every key of the others, so
+    it picks their values up where the copy offset is 0 (null for a tag that only its past keeps)."""
+    now = F.col("s_idx") == F.col("w_idx")
+    return (
+        hop(ind.select("w_idx", "tag", "first_degree", *carry), "w_idx", win.analytic, shift=0, out="s_idx")
+        .groupBy(F.col("s_idx").alias("w_idx"), "tag")
+        .agg(*[F.max(F.when(now, F.col(c))).alias(c) for c in carry], F.sum("first_degree").alias("first_degree_smoothed"))
+    )
+
+
 def smoothed_first_degree(fd: DataFrame, win: Windows) -> DataFrame:
     """A10: first-degree summed again over the latest ``analytic`` slides.
 

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashtrend.config import HOURLY, Windows
-from hashtrend.operators import assemble_recurrent, top_n
-from hashtrend.plans.tables import IndicatorTables, vector_text
+from hashtrend.operators import assemble_recurrent, top_n, top_n_all
+from hashtrend.plans.tables import RANKED_METRICS, IndicatorTables, vector_text
 from hashtrend.session import ensure_engine_conf, spread_input
 from hashtrend.sources import decode, drop_delete_notices, posts_from_events, raw_messages_from_events
 
@@ -176,6 +176,12 @@ def q_top_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.with_end(vec.select("w_idx", "rank", "tag", "value", "n_total", vector_text().alias("features")))
 
 
+def q_top_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The top 10 of all ten ranked indicators of each slide, from one ranking."""
+    t = tables(spark, sf_dir)
+    return t.with_end(top_n_all(t.ranked_metrics, RANKED_METRICS).withColumn("value", rounded("value")))
+
+
 TOP_METRICS = {
     "velocity": ("base", None),
     "unique_users": ("base", None),
@@ -217,6 +223,7 @@ def registry() -> dict[str, Query]:
         "top_tags": _top("base", "volume"),
         "top_delta_share": q_top_delta_share,
         "top_vectors": q_top_vectors,
+        "top_all": q_top_all,
     }
     for metric, (table, digits) in TOP_METRICS.items():
         q[f"top_{metric}"] = _top(table, metric, digits=digits)

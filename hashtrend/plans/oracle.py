@@ -208,5 +208,11 @@ SELECT {e} AS w_end, CAST(rk AS INTEGER) AS rank, tag, value, n_total, features
     for name, (src, col, rnd) in TOP_METRICS.items():
         if name != "volume":
             body[f"top_{name}"] = _top(win, src, col, round_to=rnd)
+    reports = {name: _top(win, src, col) for name, (src, col, _) in TOP_METRICS.items()}
+    reports["delta_share"] = _top(win, "ind", "delta_share", order="round(delta_share, 9)")
+    body["top_all"] = " UNION ALL ".join(
+        f"SELECT w_end, '{name}' AS metric, rank, tag, (round(CAST(value AS DOUBLE), 6) + 0.0) AS value, n_total FROM ({report})"
+        for name, report in reports.items()
+    )
     ctes = _ctes(win)
     return {k: f"WITH {ctes}\n{v}" for k, v in body.items()}

@@ -42,6 +42,7 @@ from hashtrend.operators import (
     smoothed_first_degree,
     tagged_posts,
     with_first_degree,
+    with_smoothed,
     with_velocity,
 )
 from hashtrend.session import cut_lineage
@@ -64,6 +65,20 @@ INDICATOR_COLUMNS = [
     "delta_share_halving",
 ]
 
+# The indicators that are ranked per slide (O1, O2).
+RANKED_METRICS = [
+    "volume",
+    "velocity",
+    "unique_users",
+    "follower_reach",
+    "friend_reach",
+    "retweeted_volume",
+    "activeness",
+    "first_degree_smoothed",
+    "percent_share",
+    "delta_share",
+]
+
 
 class IndicatorTables:
     """Lazy derived tables.  With ``materialize=True`` the wide table and the
@@ -159,6 +174,11 @@ class IndicatorTables:
         share = percent_share(self.wide, self.total_volume)
         return delta_share(reference_share(share, self.win)).select("w_idx", "tag", *INDICATOR_COLUMNS)
 
+    @cached_property
+    def ranked_metrics(self) -> DataFrame:
+        """Every ranked indicator (O1, O2) in one table: the wide table's and the smoothed first-degree."""
+        return with_smoothed(self.indicators, self.win, [m for m in RANKED_METRICS if m != "first_degree_smoothed"])
+
     @cached_property
     def feature_vectors(self) -> DataFrame:
         return self._stage(feature_vectors(self.wide, self.win))

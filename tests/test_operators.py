@@ -319,3 +319,13 @@ def test_stored_panes_are_the_only_source(spark, tmp_path):
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
     a, b = lazy.assembled_vectors, lazy.feature_vectors.select("w_idx", "tag", "features")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_top_n_all_equals_single_reports(spark):
+    from hashtrend.operators import top_n, top_n_all
+
+    rows = [(w, f"#t{k}", (k * 7 + w) % 5, None if k % 3 else k / 8) for w in range(3) for k in range(12)]
+    df = spark.createDataFrame(rows, "w_idx long, tag string, a long, b double")
+    got = {tuple(r) for r in top_n_all(df, ["a", "b"], 3).collect()}
+    want = {(r.w_idx, m, r.rank, r.tag, float(r.value), r.n_total) for m in ("a", "b") for r in top_n(df, m, 3).collect()}
+    assert got == want and len(got) == 18
