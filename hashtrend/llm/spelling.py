@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hashtrend.llm.groups import checkpoint, documents_of
+from hashtrend.llm.groups import checkpoint, documents_of, shuffle_partitions
 from hashtrend.llm.labelled import pieces
 
 LEAST_LENGTH = 7
@@ -41,6 +41,7 @@ LEAST_COUNT = 2
 RATIO = 10
 KEY = 3
 BLOCK = 1 << 14
+TASK_WORDS = 20_000
 TABLE_WORDS = 1 << 19
 PAIR_ROWS = 1 << 16
 PIECE_CHARS = 1 << 20
@@ -245,8 +246,9 @@ def near_words(vocabulary: DataFrame, block: int = BLOCK) -> DataFrame:
             word, near, n = zip(*some, strict=True)
             yield pa.RecordBatch.from_arrays([pa.array(word, pa.string()), pa.array(near, pa.string()), pa.array(n, pa.int64())], ["word", "near", "near_n"])
 
-    dealt = tiles(vocabulary, block)
-    sorted_ = dealt.repartition("back", "key", "p", "q").sortWithinPartitions("back", "key", "p", "q", "item")
+    # a scan costs far more than its bytes tell, so the number of tasks follows the words
+    tasks = max(shuffle_partitions(vocabulary.sparkSession), math.ceil(vocabulary.count() / TASK_WORDS))
+    sorted_ = tiles(vocabulary, block).repartition(tasks, "back", "key", "p", "q").sortWithinPartitions("back", "key", "p", "q", "item")
     return sorted_.mapInArrow(scan, "word string, near string, near_n long")
 
 
