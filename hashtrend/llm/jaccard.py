@@ -34,7 +34,8 @@ from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
 from hashtrend.llm.components import connected_components, forest
-from hashtrend.llm.groups import checkpoint, documents_of, group_count, shuffle_partitions, with_group
+from hashtrend.llm.groups import checkpoint, documents_of, group_count, pack, shuffle_partitions, unpack, unpack_bytes, with_group
+from hashtrend.llm.labelled import pieces
 
 SIZE = 5
 NUM, DEN = 3, 4
@@ -42,6 +43,7 @@ COUNTED = 1.0
 MOST_MATCHES = 8
 VERIFY_COST = 4.0
 BLOCK = 2048
+PAIR_BYTES = 1 << 20  # compressed texts of pairs that are compared at a time
 _LOW = tx.U64(0xFFFFFFFF)
 
 
@@ -76,6 +78,14 @@ def _arrow(columns: dict[str, list]) -> pa.Table:
     return pa.table({n: pa.array(v, _ARROW[n]) for n, v in columns.items()})
 
 
+def _pack_keys(ascending: np.ndarray) -> bytes:
+    return pack(np.diff(ascending, prepend=np.uint32(0)))
+
+
+def _unpack_keys(blob: bytes) -> np.ndarray:
+    return np.cumsum(unpack(blob, np.uint32), dtype=np.uint32)
+
+
 def _send_counts(buckets: int, counted: float, size: int):
     limit = _limit(counted)
 
@@ -83,17 +93,17 @@ def _send_counts(buckets: int, counted: float, size: int):
         sets = [s[s < limit] for s in shingle_sets(table["text"], size)]
         h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
         bucket = ((h >> tx.U64(32)) % tx.U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        low, n = (h[order] & _LOW).astype(np.uint32), n[order]
+        low = (h & _LOW).astype(np.uint32)
+        order = np.lexsort((low, bucket))
+        low, n = low[order], n[order]
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         out: dict[str, list] = {"bucket": [], "gid": [], "keys": [], "counts": []}
         for k in np.flatnonzero(np.diff(cut)).tolist():
             part, count = low[cut[k] : cut[k + 1]], n[cut[k] : cut[k + 1]]
-            more = count > 1  # keys held once come last and need no count
             out["bucket"].append(k)
             out["gid"].append(key[0].as_py())
-            out["keys"].append(np.concatenate((part[more], part[~more])).tobytes())
-            out["counts"].append(count[more].astype(np.uint32).tobytes())
+            out["keys"].append(_pack_keys(part))
+            out["counts"].append(pack(count.astype(np.uint32)))
         return _arrow(out)
 
     return send
@@ -104,9 +114,9 @@ def _add_counts(key, table):
     gids = table["gid"].to_pylist()
     keys, counts, group = [], [], []
     for at, (blob, n) in enumerate(zip(table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True)):
-        k, n = np.frombuffer(blob, np.uint32), np.frombuffer(n, np.uint32)
+        k = _unpack_keys(blob)
         keys.append(k)
-        counts.append(np.concatenate((n, np.ones(len(k) - len(n), np.uint32))))
+        counts.append(unpack(n, np.uint32))
         group.append(np.full(len(k), at, np.int32))
     h, n, g = np.concatenate(keys), np.concatenate(counts), np.concatenate(group)
     order = np.argsort(h, kind="stable")
@@ -122,8 +132,8 @@ def _add_counts(key, table):
     for i in np.flatnonzero(np.diff(cut)).tolist():
         out["gid"].append(gids[i])
         out["bucket"].append(key[0].as_py())
-        out["keys"].append(h[cut[i] : cut[i + 1]].tobytes())
-        out["counts"].append(total[cut[i] : cut[i + 1]].tobytes())
+        out["keys"].append(_pack_keys(h[cut[i] : cut[i + 1]]))
+        out["counts"].append(pack(total[cut[i] : cut[i + 1]]))
     return _arrow(out)
 
 
@@ -156,15 +166,16 @@ def _take_prefixes(buckets: int, counted: float, size: int, num: int, den: int):
     def take(key, table, answers):
         keys, counts = [], []
         for bucket, k, n in zip(*(answers[c].to_pylist() for c in ("bucket", "keys", "counts")), strict=True):
-            keys.append(np.frombuffer(k, np.uint32).astype(np.uint64) | (tx.U64(bucket) << tx.U64(32)))
-            counts.append(np.frombuffer(n, np.uint32).astype(np.int64))
+            keys.append(_unpack_keys(k).astype(np.uint64) | (tx.U64(bucket) << tx.U64(32)))
+            counts.append(unpack(n, np.uint32).astype(np.int64))
         known = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
         count = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         order = np.argsort(known)
         known, count = known[order], count[order]
         sets = shingle_sets(table["text"], size)
         set_key, matches, rest, central, tokens, members = [], [], [], [], [], []
-        for own in sets:
+        data, at_text = tx.flat(table["text"])
+        for own, lo, hi in zip(sets, at_text[:-1].tolist(), at_text[1:].tolist(), strict=True):
             set_key.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             l, behind, chosen, weight = 0, 0, own[:0], 0.0
             if len(own):
@@ -182,7 +193,7 @@ def _take_prefixes(buckets: int, counted: float, size: int, num: int, den: int):
             rest.append(behind)
             central.append(weight)
             tokens.append(chosen.view(np.int64))
-            members.append(own.tobytes() if len(chosen) else None)
+            members.append(pack(data[lo:hi].tobytes()) if len(chosen) else None)
         return pa.table(
             {
                 "doc_id": table["doc_id"],
@@ -199,14 +210,23 @@ def _take_prefixes(buckets: int, counted: float, size: int, num: int, den: int):
     return take
 
 
-def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def member_sets(blobs: list[bytes], size: int) -> list[np.ndarray]:
+    """The shingle sets of compressed texts."""
+    return shingle_sets(pa.array([unpack_bytes(b) for b in blobs], pa.large_binary()), size)
+
+
+def verified(pairs: DataFrame, sets: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets reach the threshold, as edges (u, v)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, PAIR_BYTES):
+            # a text that several pairs of the batch share is taken apart once
+            place: dict[bytes, int] = {}
+            ends = [[place.setdefault(b, len(place)) for b in batch.column(c).to_pylist()] for c in ("x", "y")]
+            own = member_sets(list(place), size)
             keep = []
-            for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            for i, j in zip(*ends, strict=True):
+                x, y = own[i], own[j]
                 both = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(den * both >= num * (len(x) + len(y) - both))
             mask = pa.array(keep, pa.bool_())
@@ -253,7 +273,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _tile_links(num: int, den: int):
+def _tile_links(size: int, num: int, den: int):
     """The links of a tile, as edges of a spanning forest."""
 
     def links(key, table):
@@ -279,9 +299,11 @@ def _tile_links(num: int, den: int):
         x, y = np.nonzero(maybe)
         if not len(x):
             return none
-        members = [np.frombuffer(b, np.uint64) for b in table["members"].to_pylist()]
+        met = np.unique(np.concatenate((i[x], j[y])))
+        members = dict(zip(met.tolist(), member_sets(table["members"].take(pa.array(met)).to_pylist(), size), strict=True))
         if len(x) > 4 * (len(i) + len(j)):
-            both = overlaps([members[k] for k in i], [members[k] for k in j])[x, y].astype(np.int64)
+            empty = np.zeros(0, np.uint64)
+            both = overlaps([members.get(k, empty) for k in i.tolist()], [members.get(k, empty) for k in j.tolist()])[x, y].astype(np.int64)
         else:
             both = np.array([len(np.intersect1d(members[i[a]], members[j[b]], assume_unique=True)) for a, b in zip(x, y, strict=True)])
         good = den * both >= num * (whole[x, y] - both)
@@ -343,7 +365,7 @@ def similarity_classes(
         .select("a", "b")
     )
     first = checkpoint(first)
-    edges = checkpoint(verified(first, sets, num, den))
+    edges = checkpoint(verified(first, sets, size, num, den))
     joined = connected_components(edges)
 
     # all other pairs of a list whose ends lie in different components, in tiles of the lists' heads
@@ -370,7 +392,7 @@ def similarity_classes(
     second = (
         tiles.join(sets.drop("central"), "node")
         .groupBy("head", "p", "q")
-        .applyInArrow(_tile_links(num, den), "u long, v long")
+        .applyInArrow(_tile_links(size, num, den), "u long, v long")
     )
     # rows that repeat a doc_id with different sets tie their classes together
     repeated = of_class.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v").select("u", "v")
