@@ -1,7 +1,8 @@
 """Alignment of two tokenizers over the same bytes, and how often their tokens end together.
 
 Each text is encoded by a byte-level vocabulary (A, on a space and the text) and by a sentencepiece model (B, which adds
-the space itself).  The byte offsets at which a token of each ends are two ascending arrays; where both have an offset,
+the space itself), one distinct word of a chunk at a time (``encoders``: both tokenizers give the ids of the whole).  The
+byte offsets at which a token of each ends are two ascending arrays; where both have an offset,
 a *group* of tokens ends.
 
 **Diagonal run skipping.**  While the arrays agree at the current index shift, tokens correspond one to one: the run is
@@ -24,7 +25,10 @@ the whole.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.encoders import SEGMENT_CHARS, load_byte_level, load_pieces, segments, tokenizer_path
+from hashtrend.llm.encoders import SEGMENT_CHARS, load_byte_level, load_pieces, tokenizer_path, words_of
 from hashtrend.llm.groups import checkpoint, documents_of, group_count, pack, unpack
 from hashtrend.llm.lexicon import distinct_words, document_frequencies, with_answers
 
@@ -42,13 +46,13 @@ TOKENIZER_B = "piece_bpe_32k.model"
 CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 MOST_BUCKETS = 32_000
+KEPT_WORDS = 400_000
 _U32 = tx.U64(32)
+_JOINS = re.compile(r"\w(.*\w)?", re.DOTALL)
 
 
 def run_length(a: list[int], b: list[int], i: int, j: int) -> int:
-    """For how many tokens from ``i`` and ``j`` on the ends agree one to one."""
-    if i >= len(a) or j >= len(b) or a[i] != b[j]:
-        return 0
+    """For how many tokens from ``i`` and ``j`` on, whose ends agree, the ends agree one to one."""
     most = min(len(a) - i, len(b) - j)
     have, step = 1, 1
     while have < most:
@@ -77,14 +81,20 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     i = j = 0
     n = len(a)
     while i < n:
-        run = run_length(a, b, i, j)
-        if run:
+        x, y = a[i], b[j]
+        if x == y:
+            if i + 1 < n and a[i + 1] != b[j + 1]:  # a run of one
+                i += 1
+                j += 1
+                cut_a.append(i)
+                cut_b.append(j)
+                continue
+            run = run_length(a, b, i, j)
             cut_a.extend(range(i + 1, i + run + 1))
             cut_b.extend(range(j + 1, j + run + 1))
             i += run
             j += run
             continue
-        x, y = a[i], b[j]
         while x != y:
             if x < y:
                 i += 1
@@ -114,34 +124,91 @@ def group_text(ids_a: list[str], ids_b: list[str], cut_a: list[int], cut_b: list
 class Encoders:
     """Both tokenizers of a task, with the bytes and decimal form of every id."""
 
-    def __init__(self, path_a: str, path_b: str, segment: int = SEGMENT_CHARS):
+    def __init__(self, path_a: str, path_b: str):
         self.a, self.bytes_a = load_byte_level(path_a)
         self.b, self.bytes_b = load_pieces(path_b)
         self.length_a, self.length_b = np.array([len(t) for t in self.bytes_a]), np.array([len(t) for t in self.bytes_b])
-        self.text_a, self.text_b = [str(i) for i in range(len(self.bytes_a))], [str(i) for i in range(len(self.bytes_b))]
-        self.segment = segment
-
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """Ids of A and B of each text."""
-        cut = [segments(t, self.segment) for t in texts]
-        flat = [s for c in cut for s in c]
-        ids_a = iter([e.ids for e in self.a.encode_batch_fast([" " + s for s in flat], add_special_tokens=False)])
-        ids_b = iter(self.b.encode(flat, num_threads=1) if flat else [])
-        for c in cut:
-            x, y = next(ids_a), next(ids_b)
-            for _ in c[1:]:
-                x, y = x + next(ids_a), y + next(ids_b)
-            yield x, y
-
-    def aligned(self, text: str, x: list[int], y: list[int]):
-        """(group string, A ids of the links, B ids of the links), or None where the bytes differ."""
-        want = b" " + text.encode()
-        if b"".join(map(self.bytes_a.__getitem__, x)) != want or b"".join(map(self.bytes_b.__getitem__, y)) != want:
-            return None
-        at_a, at_b = np.array(x), np.array(y)
-        cut_a, cut_b = align(np.cumsum(self.length_a[at_a]).tolist(), np.cumsum(self.length_b[at_b]).tolist())
-        groups = group_text(list(map(self.text_a.__getitem__, x)), list(map(self.text_b.__getitem__, y)), cut_a, cut_b)
-        return groups, at_a[np.array(cut_a) - 1], at_b[np.array(cut_b) - 1]
+        self.text_a, self.text_b = (np.array([str(i) for i in range(len(t))], object) for t in (self.bytes_a, self.bytes_b))
+        self._forget()
+
+    def _forget(self) -> None:
+        self.place: dict[str, int] = {}
+        self.flat, self.count = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.spelt = np.zeros(0, bool)
+
+    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A and B of each text, None where it is empty or their bytes differ from it.
+
+        A word is encoded once and its ids are kept, for at most ``KEPT_WORDS`` words before all are forgotten."""
+        if len(self.place) > KEPT_WORDS:
+            self._forget()
+        place, known = self.place, len(self.place)
+        coded = [np.array([place.setdefault(w, len(place)) for w in words_of(t)] if t else [], np.int64) for t in texts]
+        flat_a, n_a, flat_b, n_b, spelt = self._words(list(islice(place, known, None)))
+        self.flat = [np.concatenate(p) for p in zip(self.flat, (flat_a, flat_b), strict=True)]
+        self.count = [np.concatenate(p) for p in zip(self.count, (n_a, n_b), strict=True)]
+        self.spelt = np.concatenate((self.spelt, spelt))
+        first = [np.cumsum(n) - n for n in self.count]
+        for code in coded:
+            if len(code) and self.spelt[code].all():
+                yield tuple(flat[tx.ranges(at[code], n[code])] for flat, at, n in zip(self.flat, first, self.count, strict=True))
+            else:
+                yield None
+
+    def _words(self, words: list[str]):
+        """(A ids of all words, how many of each, B ids, how many of each, whether the ids spell each).
+
+        Words are encoded many at a time: joined by spaces where ``words_of`` could cut them again, the others alone."""
+        lines: list[list[int]] = [[]]
+        size = 0
+        for k, w in enumerate(words):
+            joins = _JOINS.fullmatch(w) is not None
+            if lines[-1] and (not joins or size > SEGMENT_CHARS):
+                lines.append([])
+                size = 0
+            lines[-1].append(k)
+            size = size + len(w) if joins else SEGMENT_CHARS + 1
+        lines = [line for line in lines if line]
+        texts = [" ".join([words[k] for k in line]) for line in lines]
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
+        ids_b = self.b.encode(texts, num_threads=1) if texts else []
+        spelt = np.ones(len(words), bool)
+        sides: tuple[list, list] = ([], [])
+        counts: tuple[list, list] = ([], [])
+        for line, text, x, y in zip(lines, texts, ids_a, ids_b, strict=True):
+            want = b" " + text.encode()
+            if b"".join([self.bytes_a[i] for i in x]) == want and b"".join([self.bytes_b[i] for i in y]) == want:
+                ends = np.cumsum([1 + len(words[k].encode()) for k in line])
+                for side, count, ids, length in zip(sides, counts, (x, y), (self.length_a, self.length_b), strict=True):
+                    ids = np.array(ids, np.int64)
+                    side.append(ids)
+                    count.append(np.diff(np.searchsorted(np.cumsum(length[ids]), ends, side="right"), prepend=0))
+            elif len(line) > 1:  # some word of the line is not spelt: each on its own
+                for k in line:
+                    flat = self._words([words[k]])
+                    for side, count, ids, n in zip(sides, counts, flat[0:4:2], flat[1:4:2], strict=True):
+                        side.append(ids)
+                        count.append(n)
+                    spelt[k] = flat[4][0]
+            else:
+                spelt[line[0]] = False
+                for side, count in zip(sides, counts, strict=True):
+                    side.append(np.zeros(0, np.int64))
+                    count.append(np.zeros(1, np.int64))
+        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
+        return join(sides[0]), join(counts[0]), join(sides[1]), join(counts[1]), spelt
+
+    def aligned(self, x: np.ndarray, y: np.ndarray):
+        """(group string, A ids of the links, B ids of the links)."""
+        cut_a, cut_b = align(np.cumsum(self.length_a[x]).tolist(), np.cumsum(self.length_b[y]).tolist())
+        groups = group_text(self.text_a[x].tolist(), self.text_b[y].tolist(), cut_a, cut_b)
+        return groups, x[np.array(cut_a) - 1], y[np.array(cut_b) - 1]
+
+
+@lru_cache(maxsize=1)
+def _encoders(path_a: str, path_b: str) -> Encoders:
+    """One for all tasks of a worker."""
+    return Encoders(path_a, path_b)
 
 
 _PARTS = "array<struct<bucket:int,pairs:binary,counts:binary>>"
@@ -165,20 +232,21 @@ def _bucket_of(pairs: np.ndarray, buckets: int) -> np.ndarray:
 def _chunk_row(number: int, table: pa.Table, encoders: Encoders, buckets: int) -> dict:
     texts = [t or "" for t in table["text"].to_pylist()]
     n_a, n_b, n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
-    digests, links = [], []
-    filled = [k for k, t in enumerate(texts) if t]
+    links = []
     found = {}
-    for k, (x, y) in zip(filled, encoders.encode([texts[k] for k in filled]), strict=True):
-        one = encoders.aligned(texts[k], x, y)
-        if one is not None:
-            n_a[k], n_b[k], n_groups[k] = len(x), len(y), len(one[1])
-            links.append((one[2].astype(np.uint64) << _U32) | one[1].astype(np.uint64))
-            found[k] = hashlib.sha256(one[0].encode()).digest()
+    for k, ids in enumerate(encoders.encode(texts)):
+        if ids is not None:
+            groups, last_a, last_b = encoders.aligned(*ids)
+            n_a[k], n_b[k], n_groups[k] = len(ids[0]), len(ids[1]), len(last_a)
+            links.append((last_b.astype(np.uint64) << _U32) | last_a.astype(np.uint64))
+            found[k] = hashlib.sha256(groups.encode()).digest()
     digests = b"".join(found.get(k, bytes(32)) for k in range(len(texts)))
     every = np.concatenate(links) if links else np.zeros(0, np.uint64)
-    pair, inverse, count = np.unique(every, return_inverse=True, return_counts=True)
+    encoded = pa.array(every, pa.uint64()).dictionary_encode()
+    pair, inverse = encoded.dictionary.to_numpy(), encoded.indices.to_numpy().astype(np.int64)
+    count = np.bincount(inverse, minlength=len(pair))
     bucket = _bucket_of(pair, buckets)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((pair, bucket))
     local = np.empty(len(pair), np.int64)
     local[order] = np.arange(len(pair))
     step, freq, n_pairs = document_frequencies(local[inverse], n_groups, len(pair))
@@ -203,11 +271,11 @@ def _chunk_row(number: int, table: pa.Table, encoders: Encoders, buckets: int) -
     }
 
 
-def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, buckets: int, chunk_bytes: int, segment: int) -> DataFrame:
+def aligned_chunks(docs: DataFrame, path_a: str, path_b: str, buckets: int, chunk_bytes: int) -> DataFrame:
     """Checkpointed chunk rows: chunk numbers are fixed from then on."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders(path_a, path_b, segment)
+        encoders = _encoders(path_a, path_b)
         number = TaskContext.get().partitionId() << 24
         for batch in batches:
             step = max(1, int(batch.num_rows * chunk_bytes / max(1, batch.nbytes)))
@@ -266,14 +334,14 @@ def _finish(row: dict, blobs: list) -> pa.Table:
 
 
 def cross_token_links(
-    docs: DataFrame, path_a: str | None = None, path_b: str | None = None, chunk_bytes: int = CHUNK_BYTES, segment: int = SEGMENT_CHARS
+    docs: DataFrame, path_a: str | None = None, path_b: str | None = None, chunk_bytes: int = CHUNK_BYTES
 ) -> DataFrame:
     """Per document: tokens of both sides, groups, links, links that are the commonest of their B id, the links' counts
     in the corpus, and a digest of the groups."""
     path_a, path_b = path_a or tokenizer_path(TOKENIZER_A), path_b or tokenizer_path(TOKENIZER_B)
     docs = documents_of(docs)
     buckets = min(group_count(docs, BUCKET_BYTES), MOST_BUCKETS)
-    chunks = aligned_chunks(docs, path_a, path_b, buckets, chunk_bytes, segment)
+    chunks = aligned_chunks(docs, path_a, path_b, buckets, chunk_bytes)
     return with_answers(chunks, pair_answers(chunks), _finish, _OUT, ["chunk", *_BLOBS])
 
 
@@ -282,15 +350,14 @@ def token_groups(docs: DataFrame, path_a: str | None = None, path_b: str | None
     path_a, path_b = path_a or tokenizer_path(TOKENIZER_A), path_b or tokenizer_path(TOKENIZER_B)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoders = Encoders(path_a, path_b)
+        encoders = _encoders(path_a, path_b)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 out = []
-                for text, (x, y) in zip(texts, encoders.encode(texts), strict=True):
-                    one = encoders.aligned(text, x, y) if text else None
-                    sides = [g.split("|") for g in one[0].split(";")] if one else []
+                for ids in encoders.encode(texts):
+                    sides = [g.split("|") for g in encoders.aligned(*ids)[0].split(";")] if ids is not None else []
                     out.append([{"a": list(map(int, s.split(","))), "b": list(map(int, t.split(",")))} for s, t in sides])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(out, pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))],

@@ -325,12 +325,12 @@ def test_cross_tokens_on_the_table(spark):
     assert _cross(op13_cross_tokens(spark, SF)) == cross_brute(rows)
 
 
-@pytest.mark.parametrize("chunk_bytes,segment", [(1 << 22, 1 << 16), (2000, 50)])
-def test_cross_tokens_edges(spark, chunk_bytes, segment):
+@pytest.mark.parametrize("chunk_bytes", [1 << 22, 2000])
+def test_cross_tokens_edges(spark, chunk_bytes):
     from hashtrend.llm.cross_tokens import cross_token_links
 
     docs = _clashing(spark.createDataFrame(CROSS_EDGE, "doc_id long, text string"))
-    assert _cross(cross_token_links(docs, chunk_bytes=chunk_bytes, segment=segment)) == cross_brute(CROSS_EDGE)
+    assert _cross(cross_token_links(docs, chunk_bytes=chunk_bytes)) == cross_brute(CROSS_EDGE)
     assert cross_token_links(docs.limit(0)).collect() == []
 
 
@@ -362,13 +362,14 @@ def test_alignment_of_ends(widths, moved):
 @settings(max_examples=100, deadline=None)
 @given(st.text(alphabet=st.sampled_from(" ab1.\n\t'é字-_"), max_size=200))
 def test_segments_keep_the_ids(text):
-    from hashtrend.llm.encoders import segments
+    from hashtrend.llm.encoders import segments, words_of
 
     a, b = _tokenizers_cached()
-    cut = segments(text, 10)
-    assert " ".join(cut) == text
-    assert [i for s in cut for i in a.encode(" " + s, add_special_tokens=False).ids] == a.encode(" " + text, add_special_tokens=False).ids
-    assert [i for s in cut for i in b.encode(s)] == b.encode(text)
+    for cut in (segments(text, 10), words_of(text)):
+        assert " ".join(cut) == text
+        if text:
+            assert [i for s in cut for i in a.encode(" " + s, add_special_tokens=False).ids] == a.encode(" " + text, add_special_tokens=False).ids
+            assert [i for s in cut for i in b.encode(s)] == b.encode(text)
 
 
 _HELD = []
