@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.groups import checkpoint, documents_of
+from hashtrend.llm.groups import checkpoint, documents_of, release_memory
 
 WINDOW = 13
 SHARD_BYTES = 8 << 20
@@ -179,6 +179,7 @@ def benchmark_matches(docs: DataFrame, block: Broadcast) -> DataFrame:
     span = pa.struct([("item_id", pa.int64()), ("item_word", pa.int32()), ("doc_word", pa.int64()), ("n_words", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         own = block.value
         for batch in batches:
             step = max(1, int(batch.num_rows * SHARD_BYTES / max(1, batch.nbytes)))

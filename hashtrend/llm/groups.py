@@ -9,16 +9,49 @@ However often a key occurs, a group sends it once, so a key that a third of all
 
 from __future__ import annotations
 
+import ctypes
+import inspect
 import math
 import os
 import tempfile
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 GROUP_BYTES = 4 << 20
+
+
+def release_memory() -> None:
+    """Hands memory that this Python worker has freed back to the machine; a worker lives on for many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(handler):
+    """``handler`` of a group (or cogroup), with the worker's freed memory given back after each."""
+    if len(inspect.signature(handler).parameters) == 2:
+
+        def of_group(key, table):
+            out = handler(key, table)
+            release_memory()
+            return out
+
+        return of_group
+
+    def of_cogroup(key, left, right):
+        out = handler(key, left, right)
+        release_memory()
+        return out
+
+    return of_cogroup
+
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -35,10 +68,10 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def documents_of(docs: DataFrame) -> DataFrame:
-    """Only ``doc_id`` and ``text``, so that other columns (of whatever name) cannot clash with ours."""
+def documents_of(docs: DataFrame, also: list[F.Column] | None = None) -> DataFrame:
+    """Only ``doc_id``, ``text`` and the columns in ``also``, so that others (of whatever name) cannot clash with ours."""
     importable(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *(also or []))
 
 
 def group_count(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> int:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
 from hashtrend.llm.components import connected_components, forest
-from hashtrend.llm.groups import checkpoint, documents_of, group_count, pack, shuffle_partitions, unpack, unpack_bytes, with_group
+from hashtrend.llm.groups import checkpoint, documents_of, group_count, pack, shuffle_partitions, tidy, unpack, unpack_bytes, with_group
 from hashtrend.llm.labelled import pieces
 
 SIZE = 5
@@ -323,9 +323,9 @@ def similarity_classes(
     buckets = max(groups, shuffle_partitions(spark))
     rows = with_group(docs, groups)
     counts = (
-        rows.groupBy("gid").applyInArrow(_send_counts(buckets, counted, size), _SENT).groupBy("bucket").applyInArrow(_add_counts, _BACK)
+        rows.groupBy("gid").applyInArrow(tidy(_send_counts(buckets, counted, size)), _SENT).groupBy("bucket").applyInArrow(tidy(_add_counts), _BACK)
     )
-    base = checkpoint(rows.groupBy("gid").cogroup(counts.groupBy("gid")).applyInArrow(_take_prefixes(buckets, counted, size, num, den), _DOCS))
+    base = checkpoint(rows.groupBy("gid").cogroup(counts.groupBy("gid")).applyInArrow(tidy(_take_prefixes(buckets, counted, size, num, den)), _DOCS))
 
     named = base.filter("doc_id is not null and set_key is not null")
     classes = checkpoint(named.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.max("n_shingles").alias("n")))
@@ -392,7 +392,7 @@ def similarity_classes(
     second = (
         tiles.join(sets.drop("central"), "node")
         .groupBy("head", "p", "q")
-        .applyInArrow(_tile_links(size, num, den), "u long, v long")
+        .applyInArrow(tidy(_tile_links(size, num, den)), "u long, v long")
     )
     # rows that repeat a doc_id with different sets tie their classes together
     repeated = of_class.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("v")).filter("u <> v").select("u", "v")

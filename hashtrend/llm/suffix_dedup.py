@@ -29,9 +29,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.groups import documents_of, group_count, pack, unpack, unpack_bytes, with_group
+from hashtrend.llm.groups import documents_of, group_count, pack, tidy, unpack, unpack_bytes, with_group
 
 LENGTH = 50
 HOT_DOCUMENTS = 20_000
@@ -432,10 +433,14 @@ _OUT = "doc_id long, text_key long, n_bytes long, n_removed long, span_starts ar
 
 
 def _cut_documents(plan: _Plan):
+    def finished(out, table, order):
+        done = _table(out, _ARROW_OUT)
+        return done.append_column("rest", table["rest"].take(pa.array(order, pa.int64()))) if "rest" in table.column_names else done
+
     def cut(key, table, answers):
         out: dict[str, list] = {f.name: [] for f in _ARROW_OUT}
         if not table.num_rows:
-            return _table(out, _ARROW_OUT)
+            return finished(out, table, [])
         segs = _Segments(plan, table, answers)
         keys = table["text_key"].to_pylist()
         sizes = np.array([len(t) for t in segs.texts], np.int64)
@@ -479,50 +484,56 @@ def _cut_documents(plan: _Plan):
             out["span_ends"].append(np.flatnonzero(step == -1).tolist())
             out["kept"].append(b[~own].tobytes())
         out["text_key"] = [keys[i] for i in segs.order]
-        return _table(out, _ARROW_OUT)
+        return finished(out, table, segs.order)
 
     return cut
 
 
-def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT_DOCUMENTS) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT_DOCUMENTS, carry: bool = False) -> DataFrame:
     """Repeated passages of every document: removed spans and the bytes that stay.
 
     Returns doc_id, text_key (xxhash64 of the text), n_bytes, n_removed, span_starts, span_ends (byte offsets of the maximal removed runs, ends
-    exclusive) and kept (the remaining bytes).
+    exclusive) and kept (the remaining bytes).  With ``carry``, also ``rest``: a struct of the row's other columns and
+    of ``is_null``, whether the text was null.
     """
-    docs = documents_of(docs).withColumn("text_key", F.xxhash64("text"))
+    rest = F.struct(*[docs[c] for c in docs.columns if c != "text"], docs["text"].isNull().alias("is_null"))
+    docs = documents_of(docs, [rest.alias("rest")] if carry else []).withColumn("text_key", F.xxhash64("text"))
     groups = group_count(docs)
     plan = _Plan(length, 2 * groups, hot_documents)
     rows = with_group(docs, groups)
     by_gid = lambda df: df.groupBy("gid")
-    shared = by_gid(rows).applyInArrow(_send_anchors(plan), _SENT).groupBy("bucket").applyInArrow(_shared_anchors(plan), _BACK)
+    shared = by_gid(rows).applyInArrow(tidy(_send_anchors(plan)), _SENT).groupBy("bucket").applyInArrow(tidy(_shared_anchors(plan)), _BACK)
     holders = (
         by_gid(rows)
         .cogroup(by_gid(shared))
-        .applyInArrow(_send_segments(plan), _SEG)
+        .applyInArrow(tidy(_send_segments(plan)), _SEG)
         .groupBy("bucket")
-        .applyInArrow(_find_repeats(plan), _BACK)
+        .applyInArrow(tidy(_find_repeats(plan)), _BACK)
     )
-    return by_gid(rows).cogroup(by_gid(shared.unionByName(holders))).applyInArrow(_cut_documents(plan), _OUT)
+    schema = StructType.fromDDL(_OUT)
+    if carry:
+        schema = schema.add(docs.schema["rest"])
+    return by_gid(rows).cogroup(by_gid(shared.unionByName(holders))).applyInArrow(tidy(_cut_documents(plan)), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their repeated passages cut out of ``text`` (a character cut in part goes whole) and their
-    new ``n_chars``; all other columns and all rows stay."""
+    new ``n_chars``; all other columns and all rows stay.  The other columns travel with the text, so no row is looked
+    up again.
+
+    Defined results are those of the module: null texts stay null, empty ones empty, rows that repeat a doc_id all stay,
+    an empty table gives an empty result."""
 
     def readable(batches):
         for batch in batches:
             texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_key"), pa.array(texts, pa.string())], ["cut_id", "cut_key", "cut_text"]
-            )
-
-    cut = suffix_dedup(docs, length).filter("n_removed > 0").select("doc_id", "text_key", "kept")
-    cut = cut.mapInArrow(readable, "cut_id long, cut_key long, cut_text string").dropDuplicates(["cut_id", "cut_key"])
-    text = F.coalesce("cut_text", "text")
-    new = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {"text": text}
-    same = docs["doc_id"].eqNullSafe(cut["cut_id"]) & (F.xxhash64(docs["text"]) == cut["cut_key"])
-    return docs.join(cut, same, "left").withColumns(new).select(*docs.columns)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
+
+    cut = suffix_dedup(docs, length, carry=True).select("kept", "rest")
+    cut = cut.mapInArrow(readable, StructType([StructField("text", StringType()), cut.schema["rest"]]))
+    text = F.when(~F.col("rest.is_null"), F.col("text"))
+    new = {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
+    return cut.select(*[new.get(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns])
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
