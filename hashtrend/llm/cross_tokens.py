@@ -126,6 +126,8 @@ class Encoders:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.bytes_a = load_byte_level(path_a)
+        if hasattr(self.a.model, "_resize_cache"):  # every word comes once, so the library's own cache only costs
+            self.a.model._resize_cache(0)
         self.b, self.bytes_b = load_pieces(path_b)
         self.length_a, self.length_b = np.array([len(t) for t in self.bytes_a]), np.array([len(t) for t in self.bytes_b])
         self.text_a, self.text_b = (np.array([str(i) for i in range(len(t))], object) for t in (self.bytes_a, self.bytes_b))
