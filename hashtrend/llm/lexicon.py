@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.groups import checkpoint, pack, shuffle_partitions, unpack, unpack_bytes
+from hashtrend.llm.groups import checkpoint, pack, release_memory, shuffle_partitions, unpack, unpack_bytes
 
 CHUNK_BYTES = 8 << 20
 
@@ -115,6 +115,7 @@ def word_chunks(
     )
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         number = TaskContext.get().partitionId() << 16
         held: list[pa.RecordBatch] = []
         size = 0
@@ -125,6 +126,7 @@ def word_chunks(
             ids = tx.longs(table["doc_id"])
             marks = np.asarray(table["mark"].to_numpy()).astype(bool) if weigh else np.zeros(len(ids), bool)
             row = _one_chunk(number, ids, marks, data, offsets, fold, buckets, weigh, counted)
+            release_memory()
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         for batch in batches:
