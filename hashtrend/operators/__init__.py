@@ -4,11 +4,14 @@ without a global step also on streaming frames."""
 from hashtrend.operators.extract import co_tags, co_tags_from_pairs, occurrences, slot_pairs, tagged_posts
 from hashtrend.operators.indicators import (
     activeness,
+    approx_distinct,
     author_panes,
     base_from_panes,
     base_indicators,
     first_degree,
+    hot_neighbours,
     neighbour_join,
+    sketch_error,
     smoothed_first_degree,
     with_first_degree,
     with_smoothed,
@@ -31,6 +34,7 @@ __all__ = [
     "FEATURES",
     "PANE_COLUMNS",
     "activeness",
+    "approx_distinct",
     "assemble_recurrent",
     "assemble_vectors",
     "author_panes",
@@ -45,6 +49,7 @@ __all__ = [
     "first_degree",
     "fold_panes",
     "hop",
+    "hot_neighbours",
     "neighbour_join",
     "neighbour_rows",
     "occurrences",
@@ -54,6 +59,7 @@ __all__ = [
     "recurrent_groups",
     "recurrent_vectors",
     "reference_share",
+    "sketch_error",
     "slot_pairs",
     "slot_totals",
     "smoothed_first_degree",

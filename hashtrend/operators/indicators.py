@@ -8,8 +8,19 @@ from pyspark.sql import functions as F
 from hashtrend.config import Windows
 from hashtrend.operators.windowing import hop, with_first_cover
 
-# Parts that the pairs of one (window, neighbour) are cut into for the neighbour join.
-NEIGHBOUR_SALTS = 4
+# Pairs of one (window, neighbour) beyond which the neighbour join cuts them into parts, and the most neighbours it
+# treats so: with more, the parts grow (at 20 bytes each, the hot table that is broadcast stays below 1 MB).
+PART_PAIRS = 100_000
+MOST_HOT = 50_000
+
+# Registers of a distinct-count sketch, as a power of two.
+SKETCH_LG_K = 12
+
+
+def sketch_error(lg_k: int = SKETCH_LG_K) -> float:
+    """Relative standard error of merged sketches: 1.04 / sqrt(2 ** lg_k), 1.6 % at 12."""
+    return 1.04 / 2 ** (lg_k / 2)
+
 
 BASE_COLUMNS = [
     "volume",
@@ -75,21 +86,54 @@ def with_velocity(base: DataFrame, keep_cooling: bool = False) -> DataFrame:
     return base.withColumn("velocity", v if keep_cooling else F.when(F.col("half_volume") > 0, v))
 
 
+def approx_distinct(rows: DataFrame, item: str, win: Windows, out: str, lg_k: int = SKETCH_LG_K) -> DataFrame:
+    """Distinct ``item`` values of each tag and analytic window from mergeable sketches (A4 of authors, A8 of co-tags),
+    keyed ``(w_idx, tag)``.
+
+    Occurrences fold into one sketch per ``(slot, tag)`` before the shuffle; only the sketches are copied to the windows
+    that hold them and merged, so what crosses the network does not grow with the distinct items of a tag.  The relative
+    standard error is ``sketch_error(lg_k)``; a null item is not counted, and a tag whose items are all null has 0.
+    """
+    sketches = rows.groupBy("slot", "tag").agg(F.hll_sketch_agg(item, F.lit(lg_k)).alias("sketch"))
+    merged = hop(sketches, "slot", win.analytic).groupBy("w_idx", "tag").agg(F.hll_union_agg("sketch").alias("sketch"))
+    return merged.select("w_idx", "tag", F.coalesce(F.hll_sketch_estimate("sketch"), F.lit(0)).cast("long").alias(out))
+
+
 def activeness(pairs: DataFrame) -> DataFrame:
     """A8: distinct co-occurring tags, itself included."""
     return pairs.groupBy("w_idx", "tag").agg(F.count(F.lit(1)).alias("activeness"))
 
 
-def neighbour_join(pairs: DataFrame, rows: DataFrame, salts: int = NEIGHBOUR_SALTS) -> DataFrame:
+def hot_neighbours(pairs: DataFrame, part_pairs: int = PART_PAIRS, most: int = MOST_HOT) -> DataFrame:
+    """``(w_idx, nb_key, parts)`` of the neighbours that have more than ``part_pairs`` pairs in a window, counted
+    exactly, and in how many parts they go.
+
+    At most ``most`` neighbours can each hold more than a ``most``-th of all pairs, so that is the least size of a part:
+    the table has at most ``most`` rows of fixed width (a neighbour goes by its hash; one that shares it gets parts too).
+    """
+    key = F.xxhash64("neighbour").alias("nb_key")
+    counts = pairs.groupBy("w_idx", key).agg(F.count(F.lit(1)).alias("n"))
+    part = F.greatest(F.lit(part_pairs), F.call_function("div", counts.agg(F.sum("n")).scalar(), F.lit(most)))
+    return counts.where(F.col("n") > part).select("w_idx", "nb_key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
+
+
+def neighbour_join(pairs: DataFrame, rows: DataFrame, part_pairs: int = PART_PAIRS, most: int = MOST_HOT) -> DataFrame:
     """``pairs`` joined with ``rows`` (one per ``(w_idx, neighbour)``).
 
-    The pairs of a neighbour are cut into ``salts`` parts by the other tag, and
-    ``rows`` is copied to each part, so a tag that co-occurs with all others is
-    several keys.
+    The pairs of a hot neighbour (:func:`hot_neighbours`) are cut into its number of parts by the other tag, and its
+    row is copied to each part, so a tag that co-occurs with all others is as many keys as its pairs ask for.  All
+    other rows are joined as they are, without copies.
     """
-    cut = pairs.withColumn("_salt", F.pmod(F.hash("tag"), F.lit(salts)))
-    copies = rows.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return cut.join(copies, ["w_idx", "neighbour", "_salt"]).drop("_salt")
+    hot = F.broadcast(hot_neighbours(pairs, part_pairs, most))
+
+    def with_parts(df: DataFrame) -> DataFrame:
+        return df.withColumn("nb_key", F.xxhash64("neighbour")).join(hot, ["w_idx", "nb_key"], "left").drop("nb_key")
+
+    part = F.coalesce(F.pmod(F.xxhash64("tag"), F.col("parts").cast("long")), F.lit(0).cast("long"))
+    cut = with_parts(pairs).withColumn("_part", part).drop("parts")
+    every = F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - F.lit(1).cast("long"))
+    copies = with_parts(rows).withColumn("_part", F.explode(every)).drop("parts")
+    return cut.join(copies, ["w_idx", "neighbour", "_part"]).drop("_part")
 
 
 def first_degree(pairs: DataFrame, base: DataFrame) -> DataFrame:

@@ -210,6 +210,8 @@ def registry() -> dict[str, Query]:
         "friend_reach": _metric("base", "friend_reach"),
         "retweeted_volume": _metric("base", "retweeted_volume", not_null=True),
         "activeness": _metric("activeness", "activeness"),
+        "approx_unique_users": _metric("approx_unique_users", "unique_users"),
+        "approx_activeness": _metric("approx_activeness", "activeness"),
         "first_degree": _metric("first_degree", "first_degree"),
         "first_degree_smoothed": _metric("smoothed", "first_degree_smoothed"),
         "total_volume": q_total_volume,

@@ -21,6 +21,7 @@ from hashtrend.config import Windows
 from hashtrend.functions.time import end_timestamp
 from hashtrend.operators import (
     activeness,
+    approx_distinct,
     assemble_recurrent,
     assemble_vectors,
     author_rows,
@@ -38,6 +39,7 @@ from hashtrend.operators import (
     post_panes,
     recurrent_groups,
     reference_share,
+    slot_pairs,
     slot_totals,
     smoothed_first_degree,
     tagged_posts,
@@ -141,6 +143,19 @@ class IndicatorTables:
     def activeness(self) -> DataFrame:
         return activeness(self.co_tags)
 
+    @cached_property
+    def approx_unique_users(self) -> DataFrame:
+        """A4 from mergeable sketches."""
+        if self.panes is not None:
+            return approx_distinct(author_rows(self.panes), "screen_name", self.win, "unique_users")
+        return approx_distinct(self.occurrences, "screen_name", self.win, "unique_users")
+
+    @cached_property
+    def approx_activeness(self) -> DataFrame:
+        """A8 from mergeable sketches."""
+        pairs = slot_pairs(self.tagged) if self.panes is None else neighbour_rows(self.panes)
+        return approx_distinct(pairs, "neighbour", self.win, "activeness")
+
     @cached_property
     def first_degree(self) -> DataFrame:
         return first_degree(self.co_tags, self.base)

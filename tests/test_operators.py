@@ -282,25 +282,54 @@ def test_first_cover_in_chunks_equals_one_partition_a_key(spark):
 
 
 def test_hot_neighbour_is_several_join_keys(spark):
-    from hashtrend.operators import first_degree, neighbour_join
-    from hashtrend.operators.indicators import NEIGHBOUR_SALTS
+    from hashtrend.operators import first_degree, hot_neighbours, neighbour_join
     from hashtrend.plans.tables import IndicatorTables
 
     t = IndicatorTables(_skewed_posts(spark), HOURLY)
     vol = t.base.select("w_idx", F.col("tag").alias("neighbour"), F.col("volume").alias("nb_volume"))
-    plain = t.co_tags.join(vol, ["w_idx", "neighbour"]).groupBy("w_idx", "tag")
-    plain = plain.agg(F.count(F.lit(1)).alias("activeness"), F.sum("nb_volume").alias("first_degree"))
+    plain = t.co_tags.join(vol, ["w_idx", "neighbour"])
+    for part_pairs, most in ((10, 50_000), (10, 3), (100_000, 50_000)):
+        got = neighbour_join(t.co_tags, vol, part_pairs, most).select(*plain.columns)
+        assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    whole = plain.groupBy("w_idx", "tag").agg(F.count(F.lit(1)).alias("activeness"), F.sum("nb_volume").alias("first_degree"))
     got = first_degree(t.co_tags, t.base)
-    assert got.exceptAll(plain).count() == 0 and plain.exceptAll(got).count() == 0
+    assert got.exceptAll(whole).count() == 0 and whole.exceptAll(got).count() == 0
+
+    # as many parts as the pairs ask for, none for the rest, and a bounded table
+    counts = {(r.w_idx, r.neighbour): r["count"] for r in t.co_tags.groupBy("w_idx", "neighbour").count().collect()}
+    names = t.co_tags.select("neighbour", F.xxhash64("neighbour").alias("nb_key")).distinct()
+    hot = {(r.w_idx, r.neighbour): r.parts for r in hot_neighbours(t.co_tags, 10).join(names, "nb_key").collect()}
+    assert hot == {k: -(-n // 10) for k, n in counts.items() if n > 10} and 0 < len(hot) < len(counts)
+    assert hot_neighbours(t.co_tags, 1, 3).count() <= 3
+    # the largest key of the cut join holds a small share of what the hottest neighbour has
+    parts = t.co_tags.withColumn("nb_key", F.xxhash64("neighbour")).join(hot_neighbours(t.co_tags, 10), ["w_idx", "nb_key"], "left")
+    part = F.pmod(F.xxhash64("tag"), F.coalesce("parts", F.lit(1)).cast("long"))
+    largest = parts.groupBy("w_idx", "neighbour", part).count().agg(F.max("count")).first()[0]
+    assert 3 * largest < 2 * max(counts.values()) and largest <= 30
+    plan = neighbour_join(t.co_tags, vol)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_part#") >= 2 and "SortMergeJoin [w_idx" in plan
 
-    cut = t.co_tags.withColumn("_salt", F.pmod(F.hash("tag"), F.lit(NEIGHBOUR_SALTS)))
 
-    def largest(*keys):
-        return cut.groupBy(*keys).count().agg(F.max("count")).first()[0]
+def test_sketches_stay_within_their_error(spark):
+    from hashtrend.operators import approx_distinct, sketch_error
+    from hashtrend.plans.tables import IndicatorTables
 
-    assert 2 * largest("w_idx", "neighbour", "_salt") < largest("w_idx", "neighbour")
-    plan = neighbour_join(t.co_tags, vol)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("_salt#") >= 2 and "SortMergeJoin [w_idx" in plan
+    posts = posts_from_events(spark.read.parquet("/root/testdata/sf0.01/events.parquet"))
+    t = IndicatorTables(posts, HOURLY)
+    for exact, near, col in ((t.base, t.approx_unique_users, "unique_users"), (t.activeness, t.approx_activeness, "activeness")):
+        both = exact.select("w_idx", "tag", col).join(near.withColumnRenamed(col, "near"), ["w_idx", "tag"], "full")
+        rows = both.collect()
+        assert rows and all(abs(r.near - r[col]) <= max(1, 4 * sketch_error() * r[col]) for r in rows)
+    # large sets, and items that several panes share
+    wide = spark.range(200_000).select(
+        (F.col("id") % 8).alias("slot"), F.lit("a").alias("tag"), F.pmod(F.xxhash64("id"), F.lit(50_000)).cast("string").alias("item")
+    )
+    for lg_k in (8, 12, 16):
+        r = approx_distinct(wide, "item", HOURLY, "n", lg_k).where("w_idx = 8").first()
+        exact = wide.select("item").distinct().count()
+        assert abs(r.n - exact) <= 4 * sketch_error(lg_k) * exact
+    nulls = spark.createDataFrame([(1, "a", None)], "slot long, tag string, item string")
+    assert {r.n for r in approx_distinct(nulls, "item", HOURLY, "n").collect()} == {0}
 
 
 def test_stored_panes_are_the_only_source(spark, tmp_path):
