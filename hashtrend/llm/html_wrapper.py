@@ -75,7 +75,7 @@ NO_WORD_OUTSIDE = {"header", "top", "search", "widget", "teaser"}  # unless insi
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|\Z)",
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)(/?)(?:>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
@@ -215,47 +215,81 @@ def folded(node: Node) -> list[list[Node]]:
 class Slot:
     """A folded node: a label, its folded children, the elements it stands for."""
 
-    __slots__ = ("label", "children", "members", "size")
+    __slots__ = ("label", "children", "members")
 
     def __init__(self, label: str, members: list[Node]):
         self.label, self.members = label, members
+        self.children: list[Slot] = []
+
+
+def folded_tree(root: Node) -> Slot:
+    """The slots of a page under a common root; a stack in place of recursion, as pages may be nested to any depth."""
+    tree = Slot("", [root])
+    open_ = [tree]
+    while open_:
+        slot = open_.pop()
         together: list[list[Node]] = []
-        for member in members:
+        known: dict[str, list[Node]] = {}  # the first run of a label
+        for member in slot.members:
             for run in folded(member):
-                if together and together[-1][0].label == run[0].label:
+                label = run[0].label
+                if together and together[-1][0].label == label:
                     together[-1].extend(run)
-                elif (again := next((t for t in together if t[0].label == run[0].label), None)) is not None and len(members) > 1:
-                    again.extend(run)
+                elif len(slot.members) > 1 and label in known:
+                    known[label].extend(run)
                 else:
                     together.append(list(run))
-        self.children = [Slot(run[0].label, run) for run in together]
-        self.size = 1 + sum(c.size for c in self.children)
+                    known.setdefault(label, together[-1])
+        slot.children = [Slot(run[0].label, run) for run in together]
+        open_ += slot.children
+    return tree
+
+
+def _table(a: Slot, b: Slot, size: dict[tuple[int, int], int]) -> list[list[int]]:
+    """Sizes of the largest order-preserving mappings of the first i children of a to the first j of b."""
+    best = [[0] * (len(b.children) + 1)]
+    for x in a.children:
+        above, row, of = best[-1], [0], id(x)
+        for j, y in enumerate(b.children):
+            own = size.get((of, id(y)), 0)
+            row.append(max(above[j + 1], row[j], above[j] + own))
+        best.append(row)
+    return best
 
 
 def match(a: Slot, b: Slot, pairs: list | None = None) -> int:
     """Simple tree matching: size of the largest mapping of two trees that keeps order, parents and labels; with
-    ``pairs``, the mapped slots are appended to it."""
+    ``pairs``, the mapped slots are appended to it.  A stack in place of recursion, each pair of slots measured once."""
     if a.label != b.label:
         return 0
-    n, m = len(a.children), len(b.children)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    own = [[0] * m for _ in range(n)]
-    for i in range(n):
-        for j in range(m):
-            own[i][j] = match(a.children[i], b.children[j])
-            best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + own[i][j])
+    size: dict[tuple[int, int], int] = {}
+    open_ = [(a, b, False)]
+    while open_:
+        x, y, below_known = open_.pop()
+        if below_known:
+            size[id(x), id(y)] = _table(x, y, size)[-1][-1] + 1
+            continue
+        open_.append((x, y, True))
+        of_label: dict[str, list[Slot]] = {}
+        for d in y.children:
+            of_label.setdefault(d.label, []).append(d)
+        open_ += [(c, d, False) for c in x.children for d in of_label.get(c.label, ())]
     if pairs is not None:
-        pairs.append((a, b))
-        i, j = n, m
-        while i and j:
-            if best[i][j] == best[i - 1][j]:
-                i -= 1
-            elif best[i][j] == best[i][j - 1]:
-                j -= 1
-            else:
-                i, j = i - 1, j - 1
-                match(a.children[i], b.children[j], pairs)
-    return best[n][m] + 1
+        mapped = [(a, b)]
+        while mapped:
+            x, y = mapped.pop()
+            pairs.append((x, y))
+            best = _table(x, y, size)
+            i, j = len(x.children), len(y.children)
+            while i and j:
+                if best[i][j] == best[i - 1][j]:
+                    i -= 1
+                elif best[i][j] == best[i][j - 1]:
+                    j -= 1
+                else:
+                    i, j = i - 1, j - 1
+                    mapped.append((x.children[i], y.children[j]))
+    return size[id(a), id(b)]
 
 
 def extend(pairs: list[tuple[Slot, Slot]]) -> list[tuple[Slot, Slot]]:
@@ -310,7 +344,7 @@ def extract(pages: list[str], least: int = LEAST_PAGES, constant: float = CONSTA
     said: dict[tuple[int, str], set[int]] = {}
     for k, (root, blocks) in enumerate(parsed):
         number = seen.setdefault(tuple(article_text(blocks, set())), k)
-        tree = Slot("", [root])
+        tree = folded_tree(root)
         pairs: list[tuple[Slot, Slot]] = []
         if wrapper is None:
             wrapper = Slot("", [])
