@@ -33,6 +33,13 @@ _STRIP = 1024  # rows of a tile multiplied at a time
 _SLACK = 1e-9  # covers rounding of the bound itself
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that the largest component lies in [0.5, 1): directions and cosines stay,
+    bit for bit, and no square overflows or vanishes, whatever the vector's own scale."""
+    _, power = np.frexp(np.abs(x).max(1))
+    return np.ldexp(x, -power[:, None])
+
+
 class Quantised:
     """Unit vectors as int8 with scale, quantised length and error length."""
 
@@ -48,6 +55,7 @@ class Quantised:
 
 def linked_pairs(x: np.ndarray, y: np.ndarray | None, threshold: float):
     """(i, j) of all pairs with cosine of at least ``threshold``; within x (i < j) if y is None."""
+    x, y = scaled(x), None if y is None else scaled(y)
     a = Quantised(x)
     b = a if y is None else Quantised(y)
     other = x if y is None else y
@@ -181,7 +189,7 @@ def brute_force(rows: list[tuple], threshold: float = THRESHOLD) -> dict:
     good = {}
     for i, v in rows:
         if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v):
-            good[i] = np.array(v, np.float64)
+            good[i] = scaled(np.array([v], np.float64))[0]
     root = {i: i for i, _ in rows if i is not None}
     links = dict.fromkeys(root, 0)
 
