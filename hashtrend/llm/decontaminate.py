@@ -13,7 +13,8 @@ means more blocks, over the same documents, whose matches are added up per docum
 checkpointed before the next but one is read, so the driver holds two blocks and the executors one.
 
 Defined results: a null or empty text has no words and is clean; an item without words matches nothing; repeated rows
-are judged once each; items that repeat a text or an item_id each count; a null item_id is left out; an empty table or
+are judged once each; items that repeat a text or an item_id each count; an item with a null item_id is matched like any other, but stands in
+no list of item_ids; an empty table or
 an empty benchmark gives clean results; other columns are ignored.
 """
 
@@ -41,7 +42,7 @@ _FOUND = "doc_id long, text_key long, n_words long, n_hit long, item_ids array<s
 class Items:
     """The words of a block of benchmark items and their windows."""
 
-    def __init__(self, rows: list[tuple[int, str]], window: int):
+    def __init__(self, rows: list[tuple[int | None, str]], window: int):
         texts = pa.array([t for _, t in rows], pa.string())
         data, offsets = tx.flat(texts)
         data = tx.LOWER[data]
@@ -50,7 +51,10 @@ class Items:
         raw = data.tobytes()
         #: distinct words, for the exact comparison behind each hash
         self.vocabulary, at = np.unique(self.hash, return_index=True)
-        self.spelt = [raw[starts[i] : ends[i]] for i in at.tolist()]
+        spelt = [raw[starts[i] : ends[i]] for i in at.tolist()]
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.spelt_lens = np.array([len(w) for w in spelt], np.int64)
+        self.spelt_from = np.cumsum(self.spelt_lens) - self.spelt_lens
         self.word = np.searchsorted(self.vocabulary, self.hash)
         lens = np.diff(first)
         self.names = [i for i, _ in rows]
@@ -68,6 +72,17 @@ class Items:
         self.table = np.zeros(1 << 20, bool)
         self.table[(self.vocabulary & tx.U64((1 << 20) - 1)).astype(np.int64)] = True
 
+    def spelt_as(self, word: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each document word has the very bytes of the benchmark word that shares its hash."""
+        lens = ends - starts
+        same = lens == self.spelt_lens[word]
+        at = np.flatnonzero(same)
+        for lo in range(0, len(at), 1 << 16):  # a bounded number of words at a time
+            k = at[lo : lo + (1 << 16)]
+            equal = data[tx.ranges(starts[k], lens[k])] == self.spelt[tx.ranges(self.spelt_from[word[k]], lens[k])]
+            same[k] = np.logical_and.reduceat(equal, np.cumsum(lens[k]) - lens[k])
+        return same
+
 
 def shard_suffixes(items: Items, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray):
     """(benchmark word of every training word or -1, suffix array of the training suffixes that can start a match)."""
@@ -132,15 +147,15 @@ def _judge(items: Items, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray)
     if items.least and len(starts):
         word, array, run = shard_suffixes(items, data, starts, ends, first)
         window, at = search(items, word, array, run)
-        # the words themselves, not only their hashes
-        same = np.ones(len(at), bool)
-        raw = data
-        for k in range(items.window):
-            act = np.flatnonzero(same & (items.size[window] > k))
-            for i in act.tolist():
-                p = at[i] + k
-                if raw[starts[p] : ends[p]].tobytes() != items.spelt[items.word[items.start[window[i]] + k]]:
-                    same[i] = False
+        # the words themselves, not only their hashes; each place of the documents once, however many windows hold it
+        covered = np.zeros(len(starts) + 1, np.int32)
+        np.add.at(covered, at, 1)
+        np.add.at(covered, at + items.size[window], -1)
+        place = np.flatnonzero(np.cumsum(covered)[:-1] > 0)
+        bad = np.zeros(len(starts) + 1, np.int64)
+        bad[place + 1] = ~items.spelt_as(word[place], data, starts[place], ends[place])
+        bad = np.cumsum(bad)
+        same = bad[at + items.size[window]] == bad[at]
         window, at = window[same], at[same]
         if len(at):
             doc = np.searchsorted(first, at, side="right") - 1
@@ -167,7 +182,8 @@ def _judge(items: Items, ids: np.ndarray, data: np.ndarray, offsets: np.ndarray)
                 spans[doc[i]].append(
                     {"item_id": items.names[items.item[w]], "item_word": int(items.place[w]), "doc_word": int(at[i] - first[doc[i]]), "n_words": n}
                 )
-                names[doc[i]].append((int(items.item[w]), str(items.names[items.item[w]])))
+                if (name := items.names[items.item[w]]) is not None:
+                    names[doc[i]].append((int(items.item[w]), str(name)))
     out["n_hit"], out["spans"] = hits, spans
     out["item_ids"] = [[name for _, name in sorted(set(x), key=lambda p: p[1])] for x in names]
     return out
@@ -202,10 +218,10 @@ def benchmark_matches(docs: DataFrame, block: Broadcast) -> DataFrame:
     return docs.mapInArrow(scan, _FOUND)
 
 
-def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int, str]]]:
+def blocks_of(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[int | None, str]]]:
     """The benchmark in blocks of bounded size, each read on its own."""
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter(
-        "item_id is not null and text is not null"
+        "text is not null"
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes)
@@ -301,7 +317,7 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
         w = [x for x in split(t) if x]
         n = min(window, len(w))
         for p in range(len(w) - n + 1 if n else 0):
-            want.setdefault(tuple(w[p : p + n]), []).append((i, str(name)))
+            want.setdefault(tuple(w[p : p + n]), []).append((i, name))
     sizes = {len(k) for k in want}
     out = {}
     for d, t in docs:
@@ -312,7 +328,7 @@ def brute_force(docs: list[tuple], items: list[tuple], window: int = WINDOW) ->
                 if (k := tuple(w[p : p + n])) in want:
                     hit.update(range(p, p + n))
                     found.update(want[k])
-        names = sorted(x for _, x in found)
+        names = sorted(str(x) for _, x in found if x is not None)
         sha = hashlib.sha256(",".join(names).encode()).hexdigest()
         out[d] = (len(w), len(hit), len(names), sha, bool(hit) and 20 * len(hit) >= len(w))
     return out

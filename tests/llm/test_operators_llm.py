@@ -169,7 +169,7 @@ def test_decontamination(spark, docs, edge, none):
     assert got == want and any(v[4] for v in got.values())
     few = [(1, "beta gamma"), (2, ""), (3, "two"), (3, "TWO"), (10, "字"), (None, "one"), (4, None), (5, "one two three")]
     bench = spark.createDataFrame(few, "item_id long, text string")
-    want = brute_force([(d, t) for d, t in EDGE], [(i, t) for i, t in few if i is not None])
+    want = brute_force([(d, t) for d, t in EDGE], [(i, t) for i, t in few if t is not None])
     for block in (16 << 20, 4):
         rows = decontaminate(edge, bench, block_bytes=block).collect()
         assert len(rows) == len(EDGE)
@@ -179,6 +179,35 @@ def test_decontamination(spark, docs, edge, none):
     assert decontaminate(none, bench).count() == 0 and decontaminate(edge, bench.limit(0)).filter("n_hit > 0").count() == 0
 
 
+def test_items_without_an_id_are_matched_but_not_listed(spark):
+    from hashtrend.llm.decontaminate import clean_documents, decontaminate
+
+    bench = spark.createDataFrame([(None, "alpha beta gamma"), (7, "three four")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "so Alpha beta gamma"), (2, "three four"), (3, "alpha gamma"), (4, "alpha beta gamma three four")], "doc_id long, text string")
+    for block in (16 << 20, 4):
+        got = {r.doc_id: (r.n_hit, r.item_ids) for r in decontaminate(docs, bench, block_bytes=block).collect()}
+        assert got == {1: (3, []), 2: (2, ["7"]), 3: (0, []), 4: (5, ["7"])}
+    assert [r.doc_id for r in clean_documents(docs, bench).collect()] == [3]
+
+
+def test_words_that_share_a_hash_do_not_match(monkeypatch):
+    from hashtrend.llm import decontaminate as dc
+
+    plain = dc.tx.word_hashes
+
+    def by_length(data, starts, ends):  # every word of three letters shares one hash
+        h = plain(data, starts, ends)
+        h[(ends - starts) == 3] = 5
+        return h
+
+    monkeypatch.setattr(dc.tx, "word_hashes", by_length)
+    items = dc.Items([(1, "one long sentence")], 13)
+    texts = pa.array(["one long sentence", "two long sentence", "one long sentence and two long sentence"], pa.binary())
+    data, offsets = dc.tx.flat(texts)
+    found = dc._judge(items, np.arange(3), data, offsets)
+    assert list(found["n_hit"]) == [3, 0, 3] and found["item_ids"] == [["1"], [], ["1"]]
+
+
 def test_clean_documents_judge_every_row_by_its_text(spark):
     from hashtrend.llm.decontaminate import clean_documents
 
@@ -226,6 +255,16 @@ PAGE = (
 )
 
 
+def test_html_of_any_depth_and_open_quotes():
+    from hashtrend.llm.html_wrapper import extract
+
+    for tag in ("div", "b"):
+        deep = [f"<{tag}>" * 1500 + f"own text {i}" for i in range(6)]
+        assert extract(deep) == [f"own text {i}" for i in range(6)]
+    assert extract(['<p class="x>Hello world</p><p>second</p>']) == ["Hello world\nsecond"]
+    assert extract(["<p title='it\"s > 1'>Hello</p><p class=\"a>b\">second</p>"]) == ["Hello\nsecond"]
+
+
 def test_html_extraction(spark):
     from hashtrend.llm.html_wrapper import extract, main_texts
 
@@ -380,6 +419,33 @@ def test_pipeline(spark):
     assert out.columns[0] == "doc_id" and 0 < out.select("doc_id").distinct().count() <= docs.count()
 
 
+def test_near_copies_of_odd_rows(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, long), (2, long), (3, "other text of its own"), (3, "other text of its own"), (4, "a b"), (4, "c d")]
+    rows += [(None, long), (None, long), (None, "one"), (None, None), (None, None), (5, ""), (6, ""), (7, None)]
+    docs = spark.createDataFrame([(d, t, k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, component_id long")
+    got = corpus_pipeline.near_copies(spark, docs, SF)
+    assert got.columns == docs.columns
+    want = [(1, long), (3, "other text of its own"), (4, "a b"), (4, "c d"), (None, long), (None, "one"), (None, None), (5, ""), (6, ""), (7, None)]
+    assert Counter((r.doc_id, r.text) for r in got.collect()) == Counter(want)
+    assert corpus_pipeline.near_copies(spark, docs.limit(0), SF).count() == 0
+
+
+def test_embeddings_of_any_scale_and_repeated_ids(spark):
+    from hashtrend.llm.embed_dedup import near_duplicates
+
+    base = np.array([1.0, 2.0, -3.0, 0.5])
+    rows = [(k, (base * scale).tolist()) for k, scale in enumerate((1.0, 1e160, 1e200, 1e-170, 5e-320))]
+    rows += [(10, [0.0, 0.0, 0.0, 1.0]), (None, base.tolist()), (20, [0.0, 1.0, 0.0, 0.0]), (20, [1.0, 0.0, 0.0, 0.0]), (21, [2.0, 0.0, 0.0, 0.0])]
+    found = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in found if r.vec_id not in (20, None)}
+    assert [got[k] for k in range(5)] == [(4, 0, k == 0) for k in range(5)] and got[10] == (0, 10, True)
+    assert sorted(r.n_links for r in found if r.vec_id == 20) == [0, 1] and got[21] == (1, 20, False)
+    assert [(r.n_links, r.component_id, r.kept) for r in found if r.vec_id is None] == [(0, None, False)]
+
+
 def test_common_passages_stay_out_of_prefixes(spark):
     from hashtrend.llm import jaccard
 
