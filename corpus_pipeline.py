@@ -9,6 +9,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hashtrend.llm.decontaminate import clean_documents
 from hashtrend.llm.groups import shared_folder
@@ -25,9 +26,20 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of similar documents the one with the smallest doc_id stays (rows without a doc_id stay)."""
-    kept = similarity_classes(docs).filter("component_id is null or doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+    """Of each group of similar documents the one with the smallest doc_id stays.
+
+    A row without a doc_id has no similar ones.  Of rows that repeat doc_id (null or not) and text, one stays; rows
+    that repeat the doc_id of a kept document with other texts stay.
+    """
+    own = uuid.uuid4().hex  # names that no column of documents has
+    key, count = f"id_{own}", f"rows_{own}"
+    kept = similarity_classes(docs).filter("component_id is null or doc_id = component_id")
+    rows = F.when(F.col(key).isNull(), 2).otherwise(F.count("*"))
+    kept = kept.groupBy(F.col("doc_id").alias(key)).agg(rows.alias(count))
+    found = docs.join(kept, docs["doc_id"].eqNullSafe(kept[key]))
+    # the count alone tells the branches apart, so both read one shuffle of the documents
+    once, repeated = found.filter(F.col(count) == 1), found.filter(F.col(count) > 1).dropDuplicates(["doc_id", "text"])
+    return once.unionByName(repeated).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
