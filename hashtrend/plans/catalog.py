@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hashtrend.config import HOURLY, Windows
-from hashtrend.operators import assemble_recurrent, top_n, top_n_all
+from hashtrend.operators import assemble_recurrent, sketch_error, top_n, top_n_all
 from hashtrend.plans.tables import RANKED_METRICS, IndicatorTables, vector_text
 from hashtrend.session import ensure_engine_conf, spread_input
 from hashtrend.sources import decode, drop_delete_notices, posts_from_events, raw_messages_from_events
@@ -62,6 +62,21 @@ def _metric(table: str, col: str, *, not_null: bool = False) -> Query:
     return q
 
 
+def _sketched(exact: str, near: str, col: str) -> Query:
+    """The exact value of every key, and whether the sketch's is within four standard errors of it (and at least one)."""
+
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        t = tables(spark, sf_dir)
+        sketch = getattr(t, near).withColumnRenamed(col, "estimate")
+        both = getattr(t, exact).select("w_idx", "tag", col).join(sketch, ["w_idx", "tag"], "full")
+        error = F.abs(F.col("estimate") - F.col(col))
+        within = F.coalesce(error <= F.greatest(F.lit(1.0), 4 * sketch_error() * F.col(col)), F.lit(False))
+        return t.with_end(both.select("w_idx", "tag", col, within.alias("within_error")))
+
+    q.__name__ = f"q_{near}"
+    return q
+
+
 def q_delete_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drop_delete_notices(raw_messages_from_events(read_events(spark, sf_dir)))
 
@@ -210,8 +225,8 @@ def registry() -> dict[str, Query]:
         "friend_reach": _metric("base", "friend_reach"),
         "retweeted_volume": _metric("base", "retweeted_volume", not_null=True),
         "activeness": _metric("activeness", "activeness"),
-        "approx_unique_users": _metric("approx_unique_users", "unique_users"),
-        "approx_activeness": _metric("approx_activeness", "activeness"),
+        "approx_unique_users": _sketched("base", "approx_unique_users", "unique_users"),
+        "approx_activeness": _sketched("activeness", "approx_activeness", "activeness"),
         "first_degree": _metric("first_degree", "first_degree"),
         "first_degree_smoothed": _metric("smoothed", "first_degree_smoothed"),
         "total_volume": q_total_volume,

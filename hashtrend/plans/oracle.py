@@ -168,12 +168,14 @@ def statements(win: Windows) -> dict[str, str]:
         "velocity": f"SELECT {e} AS w_end, tag, velocity FROM ind WHERE velocity IS NOT NULL",
         "velocity_with_cooling": f"SELECT {e} AS w_end, tag, 2 * half_volume - volume AS velocity FROM base",
         "unique_users": f"SELECT {e} AS w_end, tag, unique_users FROM base",
+        "approx_unique_users": f"SELECT {e} AS w_end, tag, unique_users, true AS within_error FROM base",
         "follower_reach": f"SELECT {e} AS w_end, tag, follower_reach FROM base",
         "friend_reach": f"SELECT {e} AS w_end, tag, friend_reach FROM base",
         "retweeted_volume": (
             f"SELECT {e} AS w_end, tag, retweeted_volume FROM base WHERE retweeted_volume IS NOT NULL"
         ),
         "activeness": f"SELECT {e} AS w_end, tag, activeness FROM degree",
+        "approx_activeness": f"SELECT {e} AS w_end, tag, activeness, true AS within_error FROM degree",
         "first_degree": f"SELECT {e} AS w_end, tag, first_degree FROM degree",
         "first_degree_smoothed": f"SELECT {e} AS w_end, tag, first_degree_smoothed FROM smoothed",
         "total_volume": f"SELECT {e} AS w_end, total_volume FROM totals",
