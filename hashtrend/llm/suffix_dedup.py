@@ -17,8 +17,8 @@ Every byte of a document that is covered by a ``length``-byte string which also
 4. *Spans.*  Back at the documents, a window whose smallest holder is a smaller ``doc_id`` marks its bytes.
 
 Defined results: a null text counts as empty; texts under ``length`` bytes lose nothing; a row with a null ``doc_id``
-counts as larger than every id (and not larger than another null); rows that repeat a ``doc_id`` do not remove from
-each other; an empty table gives an empty result; other columns are ignored.
+counts as the largest id there is, 2^63 - 1 (and not larger than another null); rows that repeat a ``doc_id`` do not
+remove from each other; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -315,7 +315,8 @@ def maximal_repeats(segments: list[bytes], length: int, words: int | None = None
             alive = alive[equal]
         done += words
         lcp[alive] = 8 * done
-        alive = alive[np.minimum(end[alive] - sa[alive], end[alive - 1] - sa[alive - 1]) > 8 * done]
+        # one that ends just here still has to be sorted away from between two that go on
+        alive = alive[np.minimum(end[alive] - sa[alive], end[alive - 1] - sa[alive - 1]) >= 8 * done]
         if not len(alive):
             break
         tied = np.zeros(len(sa), bool)
@@ -442,7 +443,7 @@ def _cut_documents(plan: _Plan):
         if not table.num_rows:
             return finished(out, table, [])
         segs = _Segments(plan, table, answers)
-        keys = table["text_key"].to_pylist()
+        keys, no_id = table["text_key"].to_pylist(), np.asarray(table["doc_id"].is_null())[segs.order]
         sizes = np.array([len(t) for t in segs.texts], np.int64)
         offset = np.cumsum(sizes) - sizes
         mark = np.zeros(int(sizes.sum()) + 1, np.int32)
@@ -477,7 +478,7 @@ def _cut_documents(plan: _Plan):
         for d, b in enumerate(segs.texts):
             own = gone[offset[d] : offset[d] + sizes[d]]
             step = np.diff(np.concatenate(([0], own.view(np.int8), [0])))
-            out["doc_id"].append(None if segs.ids[d] == tx.NO_ID else int(segs.ids[d]))
+            out["doc_id"].append(None if no_id[d] else int(segs.ids[d]))
             out["n_bytes"].append(int(sizes[d]))
             out["n_removed"].append(int(own.sum()))
             out["span_starts"].append(np.flatnonzero(step == 1).tolist())

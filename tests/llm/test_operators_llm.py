@@ -90,6 +90,24 @@ def test_maximal_repeats_hold_all_occurrences():
     assert found[b"abcabc"] == 3 and found[b"bcabcw"] == 2
 
 
+def test_suffix_dedup_passages_that_end_at_a_sorted_word(spark):
+    """Repeats of 56 and 112 bytes (what the suffixes are sorted by at a time), some of them at a text's end."""
+    from hashtrend.llm.suffix_dedup import brute_force, maximal_repeats, suffix_dedup
+
+    passage = "".join(chr(97 + k * k * 7 % 26) + str(k) for k in range(60))
+    for n in (56, 112):
+        p = passage[:n]
+        lens, around, sizes, members = maximal_repeats([f"{p}\nOn".encode(), p.encode(), f"{p}\nEs".encode()], 50)
+        assert sorted(zip(lens.tolist(), sizes.tolist(), strict=True)) == [(n, 3), (n + 1, 2)]
+    ends = ["\nOnbleonat", "", "\nEsen", "\nThe", "", "\nThis"]
+    rows = [(10 * n + k, "." * (k % 3) + passage[:n] + end) for n in (56, 112) for k, end in enumerate(ends)] + [(2**63 - 1, passage)]
+    got = {
+        r.doc_id: (r.n_bytes, r.n_removed, len(r.span_starts), hashlib.sha256(r.kept).hexdigest())
+        for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
+    assert got == brute_force(rows)
+
+
 def test_embedding_dedup(spark):
     from hashtrend.llm.embed_dedup import Quantised, brute_force, near_duplicates
 
