@@ -2,8 +2,8 @@
 
 Each text is encoded by a byte-level vocabulary (A, on a space and the text) and by a sentencepiece model (B, which adds
 the space itself), one distinct word of a chunk at a time (``encoders``: both tokenizers give the ids of the whole).  The
-byte offsets at which a token of each ends are two ascending arrays; where both have an offset,
-a *group* of tokens ends.
+byte offsets at which a token of each ends are two ascending arrays; where both have an offset, a *group* of tokens ends.
+Tokens of both end with every word, so words are aligned once too and a text's groups are those of its words.
 
 **Diagonal run skipping.**  While the arrays agree at the current index shift, tokens correspond one to one: the run is
 probed by comparing slices of 1, 2, 4, ... ends at that shift, and the last slice that differs is halved down to the
@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.encoders import SEGMENT_CHARS, load_byte_level, load_pieces, tokenizer_path, words_of
+from hashtrend.llm.encoders import load_byte_level, load_pieces, tokenizer_path, words_of
 from hashtrend.llm.groups import checkpoint, documents_of, group_count, pack, unpack
 from hashtrend.llm.lexicon import distinct_words, document_frequencies, with_answers
 
@@ -47,6 +47,7 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 32 << 20
 MOST_BUCKETS = 32_000
 KEPT_WORDS = 400_000
+LINE_CHARS = 1 << 12  # words encoded together; both libraries take longer a character on longer lines
 _U32 = tx.U64(32)
 _JOINS = re.compile(r"\w(.*\w)?", re.DOTALL)
 
@@ -109,8 +110,8 @@ def align(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
     return cut_a, cut_b
 
 
-def group_text(ids_a: list[str], ids_b: list[str], cut_a: list[int], cut_b: list[int]) -> str:
-    """``a1,a2|b1;a3|b2,b3`` from decimal ids."""
+def group_texts(ids_a: list[str], ids_b: list[str], cut_a: list[int], cut_b: list[int]) -> list[str]:
+    """``a1,a2|b1`` of each group, from decimal ids."""
     out = []
     i = j = 0
     for p, q in zip(cut_a, cut_b, strict=True):
@@ -118,7 +119,7 @@ def group_text(ids_a: list[str], ids_b: list[str], cut_a: list[int], cut_b: list
         right = ids_b[j] if q == j + 1 else ",".join(ids_b[j:q])
         out.append(left + "|" + right)
         i, j = p, q
-    return ";".join(out)
+    return out
 
 
 class Encoders:
@@ -135,76 +136,87 @@ class Encoders:
 
     def _forget(self) -> None:
         self.place: dict[str, int] = {}
-        self.flat, self.count = [np.zeros(0, np.int64)] * 2, [np.zeros(0, np.int64)] * 2
+        self.groups: list[str] = []
+        self.links = np.zeros(0, np.uint64)
+        self.count = np.zeros((3, 0), np.int64)  # A tokens, B tokens and links of each word
         self.spelt = np.zeros(0, bool)
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
-        """Ids of A and B of each text, None where it is empty or their bytes differ from it.
+    def encode(self, texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, str] | None]:
+        """(A tokens, B tokens, links, group string) of each text, None where it is empty or the bytes of A or B differ
+        from it.  A link is the B id, shifted by 32 bits, and the A id.
 
-        A word is encoded once and its ids are kept, for at most ``KEPT_WORDS`` words before all are forgotten."""
+        Tokens of both sides end with every word, so no group crosses words: a word is encoded and aligned once and its
+        groups are kept, for at most ``KEPT_WORDS`` words before all are forgotten."""
         if len(self.place) > KEPT_WORDS:
             self._forget()
         place, known = self.place, len(self.place)
-        coded = [np.array([place.setdefault(w, len(place)) for w in words_of(t)] if t else [], np.int64) for t in texts]
-        flat_a, n_a, flat_b, n_b, spelt = self._words(list(islice(place, known, None)))
-        self.flat = [np.concatenate(p) for p in zip(self.flat, (flat_a, flat_b), strict=True)]
-        self.count = [np.concatenate(p) for p in zip(self.count, (n_a, n_b), strict=True)]
+        coded = [[place.setdefault(w, len(place)) for w in words_of(t)] if t else [] for t in texts]
+        groups, links, count, spelt = self._words(list(islice(place, known, None)))
+        self.groups += groups
+        self.links = np.concatenate((self.links, links))
+        self.count = np.concatenate((self.count, count), axis=1)
         self.spelt = np.concatenate((self.spelt, spelt))
-        first = [np.cumsum(n) - n for n in self.count]
+        first = np.cumsum(self.count[2]) - self.count[2]
         for code in coded:
-            if len(code) and self.spelt[code].all():
-                yield tuple(flat[tx.ranges(at[code], n[code])] for flat, at, n in zip(self.flat, first, self.count, strict=True))
+            at = np.array(code, np.int64)
+            if code and self.spelt[at].all():
+                n_a, n_b, n = self.count[:, at]
+                yield int(n_a.sum()), int(n_b.sum()), self.links[tx.ranges(first[at], n)], ";".join([self.groups[k] for k in code])
             else:
                 yield None
 
     def _words(self, words: list[str]):
-        """(A ids of all words, how many of each, B ids, how many of each, whether the ids spell each).
+        """(group string of each word, links of all words, counts of each, whether the ids spell each).
 
         Words are encoded many at a time: joined by spaces where ``words_of`` could cut them again, the others alone."""
         lines: list[list[int]] = [[]]
         size = 0
         for k, w in enumerate(words):
             joins = _JOINS.fullmatch(w) is not None
-            if lines[-1] and (not joins or size > SEGMENT_CHARS):
+            if lines[-1] and (not joins or size > LINE_CHARS):
                 lines.append([])
                 size = 0
             lines[-1].append(k)
-            size = size + len(w) if joins else SEGMENT_CHARS + 1
+            size = size + len(w) if joins else LINE_CHARS + 1
         lines = [line for line in lines if line]
         texts = [" ".join([words[k] for k in line]) for line in lines]
         ids_a = [e.ids for e in self.a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
         ids_b = self.b.encode(texts, num_threads=1) if texts else []
         spelt = np.ones(len(words), bool)
-        sides: tuple[list, list] = ([], [])
-        counts: tuple[list, list] = ([], [])
+        groups: list[str] = []
+        links, counts = [np.zeros(0, np.uint64)], [np.zeros((3, 0), np.int64)]
         for line, text, x, y in zip(lines, texts, ids_a, ids_b, strict=True):
             want = b" " + text.encode()
             if b"".join([self.bytes_a[i] for i in x]) == want and b"".join([self.bytes_b[i] for i in y]) == want:
                 ends = np.cumsum([1 + len(words[k].encode()) for k in line])
-                for side, count, ids, length in zip(sides, counts, (x, y), (self.length_a, self.length_b), strict=True):
-                    ids = np.array(ids, np.int64)
-                    side.append(ids)
-                    count.append(np.diff(np.searchsorted(np.cumsum(length[ids]), ends, side="right"), prepend=0))
+                found = self.aligned(np.array(x, np.int64), np.array(y, np.int64), ends)
+                groups += found[0]
+                links.append(found[1])
+                counts.append(found[2])
             elif len(line) > 1:  # some word of the line is not spelt: each on its own
                 for k in line:
-                    flat = self._words([words[k]])
-                    for side, count, ids, n in zip(sides, counts, flat[0:4:2], flat[1:4:2], strict=True):
-                        side.append(ids)
-                        count.append(n)
-                    spelt[k] = flat[4][0]
+                    own = self._words([words[k]])
+                    groups += own[0]
+                    links.append(own[1])
+                    counts.append(own[2])
+                    spelt[k] = own[3][0]
             else:
                 spelt[line[0]] = False
-                for side, count in zip(sides, counts, strict=True):
-                    side.append(np.zeros(0, np.int64))
-                    count.append(np.zeros(1, np.int64))
-        join = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        return join(sides[0]), join(counts[0]), join(sides[1]), join(counts[1]), spelt
-
-    def aligned(self, x: np.ndarray, y: np.ndarray):
-        """(group string, A ids of the links, B ids of the links)."""
-        cut_a, cut_b = align(np.cumsum(self.length_a[x]).tolist(), np.cumsum(self.length_b[y]).tolist())
-        groups = group_text(self.text_a[x].tolist(), self.text_b[y].tolist(), cut_a, cut_b)
-        return groups, x[np.array(cut_a) - 1], y[np.array(cut_b) - 1]
+                groups.append("")
+                counts.append(np.zeros((3, 1), np.int64))
+        return groups, np.concatenate(links), np.concatenate(counts, axis=1), spelt
+
+    def aligned(self, x: np.ndarray, y: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(group string of each word, links, counts of each word) of the ids of words that end at the bytes ``ends``."""
+        ends_a, ends_b = np.cumsum(self.length_a[x]), np.cumsum(self.length_b[y])
+        cut_a, cut_b = align(ends_a.tolist(), ends_b.tolist())
+        texts = group_texts(self.text_a[x].tolist(), self.text_b[y].tolist(), cut_a, cut_b)
+        last_a, last_b = np.array(cut_a) - 1, np.array(cut_b) - 1
+        stops = np.array([np.searchsorted(e, ends, side="right") for e in (ends_a, ends_b, ends_a[last_a])])
+        stop = stops[2].tolist()
+        groups = [";".join(texts[i:j]) for i, j in zip([0, *stop[:-1]], stop, strict=True)]
+        links = (y[last_b].astype(np.uint64) << _U32) | x[last_a].astype(np.uint64)
+        return groups, links, np.diff(stops, prepend=0, axis=1)
 
 
 @lru_cache(maxsize=1)
@@ -236,11 +248,11 @@ def _chunk_row(number: int, table: pa.Table, encoders: Encoders, buckets: int) -
     n_a, n_b, n_groups = (np.zeros(len(texts), np.int64) for _ in range(3))
     links = []
     found = {}
-    for k, ids in enumerate(encoders.encode(texts)):
-        if ids is not None:
-            groups, last_a, last_b = encoders.aligned(*ids)
-            n_a[k], n_b[k], n_groups[k] = len(ids[0]), len(ids[1]), len(last_a)
-            links.append((last_b.astype(np.uint64) << _U32) | last_a.astype(np.uint64))
+    for k, own in enumerate(encoders.encode(texts)):
+        if own is not None:
+            n_a[k], n_b[k], linked, groups = own
+            n_groups[k] = len(linked)
+            links.append(linked)
             found[k] = hashlib.sha256(groups.encode()).digest()
     digests = b"".join(found.get(k, bytes(32)) for k in range(len(texts)))
     every = np.concatenate(links) if links else np.zeros(0, np.uint64)
@@ -358,8 +370,8 @@ def token_groups(docs: DataFrame, path_a: str | None = None, path_b: str | None
                 part = batch.slice(lo, 256)
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 out = []
-                for ids in encoders.encode(texts):
-                    sides = [g.split("|") for g in encoders.aligned(*ids)[0].split(";")] if ids is not None else []
+                for own in encoders.encode(texts):
+                    sides = [g.split("|") for g in own[3].split(";")] if own is not None else []
                     out.append([{"a": list(map(int, s.split(","))), "b": list(map(int, t.split(",")))} for s, t in sides])
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), pa.array(out, pa.list_(pa.struct([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))])))],
