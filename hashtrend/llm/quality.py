@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hashtrend.llm import text as tx
-from hashtrend.llm.groups import documents_of
+from hashtrend.llm.groups import documents_of, release_memory
 from hashtrend.llm.labelled import crc_remainder, labelled_sample, pieces
 
 TERMS = 4096
@@ -32,6 +32,8 @@ RANK = 48
 SAMPLE = 4096
 NEIGHBOURS = 25
 SHARPNESS = 8
+_TERMS_AT_ONCE = 1 << 16
+_PIECE_BYTES = 1 << 20  # of whole rows, in a pipeline whose workers hold what earlier stages left
 
 
 def _kinds() -> np.ndarray:
@@ -99,10 +101,14 @@ def project(column, idf: np.ndarray, axes: np.ndarray) -> np.ndarray:
     weight = (weight * idf[term]).astype(np.float32)
     first = np.searchsorted(doc, np.arange(n + 1))
     norm = np.sqrt(np.add.reduceat(weight * weight, first[:-1]))
-    for lo in range(0, n, 2048):  # bounded intermediate
-        hi = min(n, lo + 2048)
+    lo = 0
+    while lo < n:  # a bounded number of terms at a time
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + _TERMS_AT_ONCE, side="right")) - 1)
         a, b = first[lo], first[hi]
-        out[lo:hi] = np.add.reduceat(weight[a:b, None] * axes[term[a:b]], first[lo:hi] - a, axis=0)
+        rows = axes[term[a:b]]
+        rows *= weight[a:b, None]
+        out[lo:hi] = np.add.reduceat(rows, first[lo:hi] - a, axis=0)
+        lo = hi
     out /= np.maximum(norm, 1e-12)[:, None]
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
@@ -156,7 +162,9 @@ class Neighbours:
         k = min(neighbours, len(self.labels))
         for lo in range(0, len(z), block):
             cos = z[lo : lo + block] @ self.vectors.T
-            near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            near = np.empty((len(cos), k), np.int64)
+            for at in range(0, len(cos), 64):  # bounded intermediate
+                near[at : at + 64] = np.argpartition(-cos[at : at + 64], k - 1, axis=1)[:, :k]
             label = self.labels[near]
             vote = np.maximum(np.take_along_axis(cos, near, 1), 1e-6).astype(np.float64) ** SHARPNESS
             vote *= np.where(label == 1, self.class_weight[1], self.class_weight[0])
@@ -191,10 +199,12 @@ def good_documents(docs: DataFrame, labels: DataFrame, train: F.Column, sample:
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
-        for batch in pieces(batches):
+        for batch in pieces(batches, _PIECE_BYTES):
             text = batch.column("text")
             s = own.score(text) if own else np.full(batch.num_rows, 0.5)
             yield batch.filter(pa.array(s >= 0.5))
+            del text, s
+            release_memory()
 
     return docs.mapInArrow(keep, docs.schema)
 
