@@ -32,12 +32,24 @@ def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> tx.U64(40)) % tx.U64(buckets)).astype(np.int64)
 
 
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """np.unique with index and inverse; a hash table finds the distinct ones, so only these are sorted."""
+    coded = pa.array(h, pa.uint64()).dictionary_encode()
+    code = coded.indices.to_numpy()
+    found = coded.dictionary.to_numpy()
+    at = np.flatnonzero(np.diff(np.maximum.accumulate(code), prepend=-1)) if len(code) else np.zeros(0, np.int64)
+    order = np.argsort(found)
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return found[order], at[order], place[code]
+
+
 def _one_chunk(number: int, ids, marks, data, offsets, fold: bool, buckets: int, weigh: bool, counted: bool) -> dict:
     if fold:
         data = tx.LOWER[data]
     starts, ends, first = tx.words(data, offsets, tx.NOT_SPACE)
     h = tx.word_hashes(data, starts, ends)
-    distinct, at, inverse = np.unique(h, return_index=True, return_inverse=True)
+    distinct, at, inverse = _distinct(h)
     bucket = _bucket_of(distinct, buckets)
     order = np.argsort(bucket, kind="stable")
     local = np.empty(len(order), np.uint32)
@@ -151,7 +163,8 @@ def ask(chunks: DataFrame, answer: Callable[[list[bytes], np.ndarray | None], np
     """(chunk, bucket, answers) rows: ``answer`` gets the distinct words of a bucket (and their summed weights) once.
 
     ``answers`` packs one ``dtype`` value per word the chunk sent to that bucket, in the order sent.  ``answer`` may
-    return a list of byte strings instead; they come back joined, with their lengths in front (``unpack_strings``).
+    return byte strings instead (``dtype`` None), as (length of each, all their bytes); they come back joined, with their
+    lengths in front (``unpack_strings``).
     With ``report``, each bucket adds a row with ``chunk`` -1 and the bytes that ``report(words, sums)`` returns.
     """
     sent = chunks.select("chunk", F.explode("parts").alias("p")).select("p.bucket", "chunk", "p.words", "p.weights")
@@ -160,9 +173,15 @@ def ask(chunks: DataFrame, answer: Callable[[list[bytes], np.ndarray | None], np
         words, sums, where = merge_words(table)
         values = answer(words, sums)
         chunk, blob = ([-1], [report(words, sums)]) if report else ([], [])
+        if dtype is None:
+            lens, joined = values
+            begin = np.cumsum(lens) - lens
         for c, which in zip(table["chunk"].to_pylist(), where, strict=True):
             chunk.append(c)
-            blob.append(pack(np.asarray(values, dtype)[which]) if dtype is not None else pack_strings([values[i] for i in which.tolist()]))
+            if dtype is None:
+                blob.append(pack_joined(lens[which], joined[tx.ranges(begin[which], lens[which])].tobytes()))
+            else:
+                blob.append(pack(np.asarray(values, dtype)[which]))
         return pa.table({"chunk": pa.array(chunk, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(chunk), pa.int32()), "answers": pa.array(blob, pa.binary())})
 
     return sent.groupBy("bucket").applyInArrow(look, "chunk long, bucket int, answers binary")
@@ -184,8 +203,12 @@ def merge_words(table: pa.Table):
 
 
 def pack_strings(items: list[bytes]) -> bytes:
-    head = np.array([len(items), *map(len, items)], np.uint32).tobytes()
-    return pack(head + b"".join(items))
+    return pack_joined(np.fromiter(map(len, items), np.int64, len(items)), b"".join(items))
+
+
+def pack_joined(lens: np.ndarray, joined: bytes) -> bytes:
+    head = np.concatenate(([len(lens)], lens)).astype(np.uint32).tobytes()
+    return pack(head + joined)
 
 
 def unpack_strings(blob: bytes) -> tuple[np.ndarray, bytes]:

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from hashtrend.llm import text as tx
 from hashtrend.llm.groups import checkpoint, documents_of, pack, unpack
 from hashtrend.llm.lexicon import ask, unpack_strings, with_answers, word_chunks
-from hashtrend.llm.token_counts import encode_words, tokenizer_path
+from hashtrend.llm.token_counts import tokenizer_path, word_ids
 
 WINDOW = 4096
 CLOSING_ID = 2
@@ -62,6 +62,12 @@ class Shard:
         self.docs, self.weight = doc[order], weight[order]
         self.posting = np.searchsorted(term[order], np.arange(_VOCABULARY + 1))
 
+    def forget(self, used: np.ndarray) -> None:
+        """Takes the postings of used documents out of the index; they are never neighbours again."""
+        keep = ~used[self.docs]
+        self.posting = np.concatenate(([0], np.cumsum(keep)))[self.posting]
+        self.docs, self.weight = self.docs[keep], self.weight[keep]
+
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         """All unused documents that score above 0 for a seed, best first (ties: earlier document)."""
         own = self.doc_terms[self.by_doc[seed] : self.by_doc[seed + 1]]
@@ -80,6 +86,7 @@ def fill_windows(shard: Shard, lens: np.ndarray, window: int) -> list[list[tuple
     used = np.zeros(shard.n, bool)
     windows: list[list[tuple[int, int, int]]] = []
     size = lens.tolist()
+    n_used, step = 0, max(64, shard.n // 10)
     next_unused, pending = 0, None  # pending: (document, start) that a cut left
     while True:
         if pending is None:
@@ -103,6 +110,9 @@ def fill_windows(shard: Shard, lens: np.ndarray, window: int) -> list[list[tuple
             if not room:
                 break
             if queue is None:
+                if (now := int(used.sum())) - n_used >= step:
+                    shard.forget(used)
+                    n_used = now
                 queue = iter(shard.neighbours(seed, used))
             following = next((d for d in queue if not used[d]), None)
             if following is None:
@@ -149,7 +159,8 @@ def tokenised(docs: DataFrame, path: str) -> DataFrame:
     chunks = word_chunks(documents_of(docs))
 
     def encode(words, _):
-        return [np.array(e.ids, np.uint16).tobytes() for e in encode_words(path, words)]
+        ids, count = word_ids(path, words)
+        return 2 * count, ids.astype(np.uint16).view(np.uint8)
 
     def finish(row: dict, blobs: list) -> pa.Table:
         sizes, raw = [np.zeros(0, np.int64)], []

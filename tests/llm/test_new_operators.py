@@ -334,6 +334,18 @@ def test_cross_tokens_edges(spark, chunk_bytes):
     assert cross_token_links(docs.limit(0)).collect() == []
 
 
+def test_words_are_aligned_once(monkeypatch):
+    from hashtrend.llm import cross_tokens as ct
+
+    seen = []
+    align = ct.align
+    monkeypatch.setattr(ct, "align", lambda a, b: seen.append(len(a)) or align(a, b))
+    encoders = ct.Encoders(*map(ct.tokenizer_path, (ct.TOKENIZER_A, ct.TOKENIZER_B)))
+    found = list(encoders.encode(["alpha beta " * 500 + "gamma", "gamma beta", ""]))
+    assert [len(f[2]) == f[3].count(";") + 1 for f in found[:2]] == [True, True] and found[2] is None
+    assert found[0][0] > 1000 and sum(seen) < 20
+
+
 def test_token_groups(spark):
     from hashtrend.llm.cross_tokens import token_groups
 

@@ -108,6 +108,74 @@ def test_suffix_dedup_passages_that_end_at_a_sorted_word(spark):
     assert got == brute_force(rows)
 
 
+def test_word_ids_of_joined_words(monkeypatch):
+    from hashtrend.llm import token_counts as tc
+
+    path = tc.tokenizer_path()
+    words = "the Fox, fox... don't it's \u00e9t\u00e9 e\u0301t\u00e9! \u0130stanbul x\u00bd 3rd a_b \U0001f389 <|endoftext|> a<| |> b\u00a0c \u5b57\u5b57 a' s,".split(" ")
+    words += [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" + "," * (k % 3) for k in range(400)]
+    want = [e.ids for e in tc.encode_words(path, [w.encode() for w in words])]
+    asked = []
+
+    class Counting:
+        def __init__(self, own):
+            self.own = own
+
+        def encode_batch_fast(self, texts, **options):
+            asked.extend(texts)
+            return self.own.encode_batch_fast(texts, **options)
+
+    counting = Counting(tc.load_tokenizer(path))
+    tc._closes_word(path)
+    monkeypatch.setattr(tc, "load_tokenizer", lambda _: counting)
+    for line in (512, 3):
+        asked.clear()
+        ids, count = tc.word_ids(path, [w.encode() for w in words], line)
+        stop = np.cumsum(count)
+        assert [ids[b - n : b].tolist() for b, n in zip(stop.tolist(), count.tolist(), strict=True)] == want
+    assert len(asked) < len(words)  # the long line held a word that is no run of its own, most short ones do not
+    assert [len(x) for x in tc.word_ids(path, [])] == [0, 0]
+
+
+def test_packing_index_forgets_used_documents():
+    from hashtrend.llm.lexicon import _distinct
+    from hashtrend.llm.packing import Shard, fill_windows
+
+    draw = np.random.default_rng(5)
+    lens = draw.integers(1, 90, 400)
+    first = np.concatenate(([0], np.cumsum(lens)))
+    ids = draw.integers(3, 500, first[-1]).astype(np.uint16)
+    ids[first[1:] - 1] = 2
+    idf = draw.random(1 << 16)
+    shard, same = (Shard(ids, first, idf, float(lens.mean())) for _ in range(2))
+    whole = len(shard.docs)
+    same.forget = lambda used: None
+    assert fill_windows(shard, lens, 256) == fill_windows(same, lens, 256)
+    assert len(shard.docs) < whole / 2
+    for h in (draw.integers(0, 50, 300).astype(np.uint64), np.zeros(0, np.uint64)):
+        for got, want in zip(_distinct(h), np.unique(h, return_index=True, return_inverse=True), strict=True):
+            assert np.array_equal(got, want)
+
+
+def test_quality_scores_need_little_memory():
+    import tracemalloc
+
+    from hashtrend.llm import quality as q
+
+    draw = np.random.default_rng(1)
+    vectors = draw.standard_normal((4096, q.RANK)).astype(np.float32)
+    axes = draw.standard_normal((q.TERMS, q.RANK)).astype(np.float32)
+    model = q.Neighbours(np.ones(q.TERMS, np.float32), axes, vectors, draw.integers(0, 2, 4096).astype(float), np.ones(2))
+    texts = pa.array([" ".join(f"w{int(x)}" for x in draw.integers(0, 5000, 400)) for _ in range(600)])
+    whole = np.concatenate([model.score(texts[k : k + 1]) for k in range(20)])
+    tracemalloc.start()
+    score = model.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    np.testing.assert_allclose(score[:20], whole, rtol=1e-4)
+    assert peak < 64 << 20, peak
+
+
 def test_embedding_dedup(spark):
     from hashtrend.llm.embed_dedup import Quantised, brute_force, near_duplicates
 
