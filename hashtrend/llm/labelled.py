@@ -32,7 +32,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, train: F.Col
     for value in (0, 1):
         best = known.filter(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(size // 2)
         chosen += [(r.doc_id, r.label) for r in best.collect()]
-    picked = spark.createDataFrame(chosen, "doc_id long, label int")
+    # an Arrow table: a list of rows would go through Python workers of another kind, which stay beside those of the operators
+    ids, values = zip(*chosen, strict=True) if chosen else ((), ())
+    picked = spark.createDataFrame(pa.table({"doc_id": pa.array(ids, pa.int64()), "label": pa.array(values, pa.int32())}))
     rows = documents_of(docs).join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"])
     return rows.select("doc_id", "text", "label"), totals
 

@@ -435,8 +435,10 @@ _OUT = "doc_id long, text_key long, n_bytes long, n_removed long, span_starts ar
 
 def _cut_documents(plan: _Plan):
     def finished(out, table, order):
-        done = _table(out, _ARROW_OUT)
-        return done.append_column("rest", table["rest"].take(pa.array(order, pa.int64()))) if "rest" in table.column_names else done
+        if "rest" not in table.column_names:
+            return _table(out, _ARROW_OUT)
+        text = pa.array([b.decode("utf-8", "ignore") for b in out["kept"]], pa.string())
+        return pa.table({"text": text, "rest": table["rest"].take(pa.array(order, pa.int64()))})
 
     def cut(key, table, answers):
         out: dict[str, list] = {f.name: [] for f in _ARROW_OUT}
@@ -494,8 +496,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT
     """Repeated passages of every document: removed spans and the bytes that stay.
 
     Returns doc_id, text_key (xxhash64 of the text), n_bytes, n_removed, span_starts, span_ends (byte offsets of the maximal removed runs, ends
-    exclusive) and kept (the remaining bytes).  With ``carry``, also ``rest``: a struct of the row's other columns and
-    of ``is_null``, whether the text was null.
+    exclusive) and kept (the remaining bytes).  With ``carry``, only ``text`` (the remaining bytes as characters; one cut
+    in part goes whole) and ``rest``: a struct of the row's other columns and of ``is_null``, whether the text was null.
     """
     rest = F.struct(*[docs[c] for c in docs.columns if c != "text"], docs["text"].isNull().alias("is_null"))
     docs = documents_of(docs, [rest.alias("rest")] if carry else []).withColumn("text_key", F.xxhash64("text"))
@@ -511,27 +513,20 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, hot_documents: int = HOT
         .groupBy("bucket")
         .applyInArrow(tidy(_find_repeats(plan)), _BACK)
     )
-    schema = StructType.fromDDL(_OUT)
-    if carry:
-        schema = schema.add(docs.schema["rest"])
+    schema = StructType([StructField("text", StringType()), docs.schema["rest"]]) if carry else StructType.fromDDL(_OUT)
     return by_gid(rows).cogroup(by_gid(shared.unionByName(holders))).applyInArrow(tidy(_cut_documents(plan)), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """The documents with their repeated passages cut out of ``text`` (a character cut in part goes whole) and their
     new ``n_chars``; all other columns and all rows stay.  The other columns travel with the text, so no row is looked
-    up again.
+    up again, and the step that cuts a text also decodes it: a second Python step in the same tasks would keep a second
+    worker a core for the rest of the session.
 
     Defined results are those of the module: null texts stay null, empty ones empty, rows that repeat a doc_id all stay,
     an empty table gives an empty result."""
 
-    def readable(batches):
-        for batch in batches:
-            texts = [b.decode("utf-8", "ignore") for b in batch.column("kept").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), batch.column("rest")], ["text", "rest"])
-
-    cut = suffix_dedup(docs, length, carry=True).select("kept", "rest")
-    cut = cut.mapInArrow(readable, StructType([StructField("text", StringType()), cut.schema["rest"]]))
+    cut = suffix_dedup(docs, length, carry=True)
     text = F.when(~F.col("rest.is_null"), F.col("text"))
     new = {"text": text.alias("text"), "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType).alias("n_chars") if "n_chars" in docs.columns else None}
     return cut.select(*[new.get(c) if c in new else F.col("rest").getField(c).alias(c) for c in docs.columns])

@@ -72,6 +72,30 @@ def test_suffix_dedup(spark, docs, edge, none):
     assert cut.columns == edge.columns and cut.count() == len(EDGE)
 
 
+def test_pipeline_stages_keep_one_python_worker_a_core(spark):
+    """No stage of the pipeline starts Python workers beside those of its operators; each lives on for the whole session."""
+    from hashtrend.llm.labelled import labelled_sample
+    from hashtrend.llm.suffix_dedup import brute_force, without_repeats
+
+    passage = "a passage of words that comes again and again in other documents "
+    rows = [(1, "a", passage + "ü"), (2, None, "x" + passage + "ö end"), (3, "c", None), (None, "d", passage), (2, "e", ""), (4, "f", passage + "ú")]
+    docs = spark.createDataFrame(pa.table(dict(zip(("doc_id", "rest", "text"), map(pa.array, zip(*rows, strict=True)), strict=True))))
+    cut = without_repeats(docs)
+    assert "MapInArrow" not in cut._jdf.queryExecution().toString()
+    got = sorted((r.doc_id or 9, r.rest or "", r.text) for r in cut.collect() if r.text is not None)
+    # ü, ö and ú begin with the same byte: where it goes with the passage, the character goes whole
+    want = [(1, "a", passage + "ü"), (2, "", "x end"), (2, "e", ""), (4, "f", ""), (9, "d", "")]
+    assert got == want and cut.filter("text is null").first().doc_id == 3
+    assert brute_force([(1, rows[0][2]), (4, rows[5][2])])[4][1] == len(passage) + 1  # one of the two bytes of ú
+
+    labels = spark.createDataFrame(pa.table({"doc_id": [1, 2, 4, 4], "quality": [1, 0, 1, 1]}))
+    chosen, totals = labelled_sample(docs, labels, "quality", F.lit(True), 10)
+    assert "ExistingRDD" not in chosen._jdf.queryExecution().toString()
+    assert totals == {0: 1, 1: 2} and sorted((r.doc_id, r.label) for r in chosen.collect()) == [(1, 1), (2, 0), (4, 1)]
+    chosen, totals = labelled_sample(docs, labels.limit(0), "quality", F.lit(True), 10)
+    assert totals == {} and chosen.collect() == [] and chosen.dtypes == [("doc_id", "bigint"), ("text", "string"), ("label", "int")]
+
+
 def test_maximal_repeats_hold_all_occurrences():
     from hashtrend.llm.suffix_dedup import maximal_repeats
 
